@@ -33,9 +33,25 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, train(docs.where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_packing": op2_packing,
     "op7_token_counts": op7_token_counts,
+    "op8_language_id": op8_language_id,
+    "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {}
