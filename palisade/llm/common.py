@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +55,32 @@ def batches(
             yield work(batch)
 
     return df.mapInArrow(run, schema)
+
+
+#: Bits of the bitmap that turns rows away before a join: its fixed size, as a power of two.
+BITMAP_BITS = 24
+
+
+def likely(df: DataFrame, key: str, wanted: DataFrame, rest: bool = False) -> DataFrame:
+    """df's rows whose key (a long) is likely among wanted's; with rest all rows, and a column `likely`.
+
+    A bitmap of fixed size (2 MB) over the keys' hashes is broadcast, so that rows which surely find nothing
+    need no shuffle. Rows that it lets through for nothing are for the join to sort out."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << BITMAP_BITS))
+    marks = wanted.select(place.alias("p")).groupBy(F.expr("p div 64").alias("block"))
+    marks = marks.agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("mask"))
+    table = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    for block, mask in marks.collect():
+        table[block] = mask
+    sent = df.sparkSession.sparkContext.broadcast(table)
+
+    def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in parts:
+            p = batch.column(batch.num_columns - 1).to_numpy()
+            hit = pa.array((bits[p >> 6] >> (p & 63)) & 1 == 1)
+            own = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+            yield own.append_column("likely", hit) if rest else own.filter(hit)
+
+    schema = df.withColumn("likely", F.lit(True)).schema if rest else df.schema
+    return df.withColumn("__place", place).mapInArrow(mark, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, stored
+from .common import columns, likely, stored
 from .graph import components
 from .shingles import WIDTH, shingle_sets
 
@@ -244,26 +244,15 @@ def _dealt():
 
 
 def _texts_of(docs: DataFrame, known: DataFrame, shared: DataFrame, width: int) -> DataFrame:
-    """node, text of one row for each node that shares a token. A bitmap of fixed size turns most other
-    rows away before the join."""
-    bits = 24
+    """node, text of one row for each node that shares a token."""
     first = known.join(shared.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     first = stored(first.where("doc_id IS NOT NULL"))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
-    marks = first.select(place.alias("p")).groupBy((F.expr("p div 64")).alias("block")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("mask"))
-    bitmap = np.zeros(1 << (bits - 6), np.int64)
-    for block, mask in marks.collect():
-        bitmap[block] = mask
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def marked(parts):
-        table = sent.value
+
+    def with_node(parts):
         for batch in parts:
-            p = batch.column("p").to_numpy()
-            own = batch.filter(pa.array((table[p >> 6] >> (p & 63)) & 1 == 1))
-            nodes = [_node(x) if len(x) else None for x in shingle_sets(own.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("text"), pa.array(nodes, pa.int64())], ["doc_id", "text", "node"])
+            nodes = [_node(x) if len(x) else None for x in shingle_sets(batch.column("text"), width)]
+            yield batch.append_column("node", pa.array(nodes, pa.int64()))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    likely = docs.where("doc_id IS NOT NULL").withColumn("p", place).mapInArrow(marked, f"doc_id {kind}, text string, node long")
-    return stored(likely.join(first, ["doc_id", "node"]).select("node", "text").dropDuplicates(["node"]))
+    some = likely(docs, "doc_id", first.select("doc_id")).mapInArrow(with_node, f"doc_id {kind}, text string, node long")
+    return stored(some.join(first, ["doc_id", "node"]).select("node", "text").dropDuplicates(["node"]))
