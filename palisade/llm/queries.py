@@ -34,6 +34,13 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import compare_with_next
+
+    found = compare_with_next(table(spark, sf_dir, "documents"))
+    return found.withColumns({x: F.lower(F.hex(x)) for x in ("fingerprint", "edited_fingerprint")})
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import join_similar
 
@@ -64,6 +71,7 @@ QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_packing": op2_packing,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_fingerprints": op4_fingerprints,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,

@@ -29,6 +29,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(text: str) -> np.ndarray:
+    words = text.encode().lower().split()
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+
+
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
     """For each text (null: empty) its distinct shingles of `width` words, sorted: A-Z lower-cased, words
     parted by ASCII white space. Fewer words make one shingle; no word makes none."""
