@@ -118,6 +118,22 @@ def train(
     return trees
 
 
+def predictor(trees: dict[str, ContextTree]):
+    """text -> (language, score, bits a byte), with a cache of its own."""
+    names = sorted(trees)
+    lengths = CodeLengths([trees[x] for x in names])
+
+    def predict(text: str | None) -> tuple[str, float, float | None]:
+        if not text or not names or not has_letter(text):
+            return UNKNOWN, 0.0, None
+        raw = text.encode()
+        total = [math.fsum(x) for x in zip(*map(lengths.__getitem__, SPLIT.findall(raw)), strict=True)]
+        best = min(range(len(names)), key=total.__getitem__)
+        return names[best], 1 / sum(2.0 ** max(-1000.0, total[best] - x) for x in total), total[best] / len(raw)
+
+    return predict
+
+
 def identify(df: DataFrame, trees: dict[str, ContextTree], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score and bits_per_byte of each row.
 
@@ -130,19 +146,10 @@ def identify(df: DataFrame, trees: dict[str, ContextTree], id_col: str = "doc_id
     models = docs.sparkSession.sparkContext.broadcast(trees)
 
     def make():
-        names = sorted(models.value)
-        lengths = CodeLengths([models.value[x] for x in names])
-
-        def predict(text: str | None) -> tuple[str, float, float | None]:
-            if not text or not names or not has_letter(text):
-                return UNKNOWN, 0.0, None
-            raw = text.encode()
-            total = [math.fsum(x) for x in zip(*map(lengths.__getitem__, SPLIT.findall(raw)), strict=True)]
-            best = min(range(len(names)), key=total.__getitem__)
-            return names[best], 1 / sum(2.0 ** max(-1000.0, total[best] - x) for x in total), total[best] / len(raw)
+        predict = predictor(models.value)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            lang, score, bits = zip(*(predict(x.as_py()) for x in batch.column("text")), strict=True)
+            lang, score, bits = zip(*(predict(x.as_py()) for x in batch.column("text")), strict=True) if batch.num_rows else ((), (), ())
             return pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())],
                 ["doc_id", "lang_pred", "score", "bits_per_byte"],
@@ -154,6 +161,25 @@ def identify(df: DataFrame, trees: dict[str, ContextTree], id_col: str = "doc_id
     return batches(docs, make, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
+def keep_identified(df: DataFrame, trees: dict[str, ContextTree], text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """df's rows, with all their columns, whose language is known with a score of `least` or more. Without any
+    tree nothing can be told and all rows stay."""
+    if not trees:
+        return df
+    models = df.sparkSession.sparkContext.broadcast(trees)
+
+    def make():
+        predict = predictor(models.value)
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = (predict(x.as_py()) for x in batch.column(text_col))
+            return batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found], pa.bool_()))
+
+        return work
+
+    return batches(df, make, df.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a document is kept from training: crc32 of its id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -17,13 +17,13 @@ def _tokenizer(name: str) -> str:
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_best_fit
 
-    return pack_best_fit(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_cost_balanced
 
-    pieces = pack_cost_balanced(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    pieces = pack_cost_balanced(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
@@ -41,6 +41,12 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({x: F.lower(F.hex(x)) for x in ("fingerprint", "edited_fingerprint")})
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import rate
+
+    return rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import join_similar
 
@@ -50,7 +56,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
-    return count_tokens(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +67,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import apply_rules
+
+    return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -72,9 +84,11 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_fingerprints": op4_fingerprints,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
+    "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {}
