@@ -1,3 +1,67 @@
-STAGES = []
+"""A corpus made ready for training: five operators of palisade.llm in a row over `documents`."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palisade.llm.common import likely, stored, table
+from palisade.llm.jaccard_join import join_similar
+from palisade.llm.language_id import held_out, keep_identified, train
+from palisade.llm.mixing import mix
+from palisade.llm.packing import pack_cost_balanced
+from palisade.llm.queries import tokenizer_path
+from palisade.llm.suffix_dedup import cut_repeats
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of no known language go: no text, no letter, or no clear winner."""
+    return keep_identified(docs.select(*COLUMNS), train(docs.where(~held_out())))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays. Rows without an id stay."""
+    docs = docs.select(*COLUMNS)
+    gone = stored(join_similar(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
+    marked = likely(docs, "doc_id", gone, rest=True)
+    doubtful = marked.where("likely").join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return marked.where("NOT likely").unionByName(doubtful).select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated strings of 200 bytes go from the texts; a character that loses some of its bytes goes whole."""
+    cut = cut_repeats(docs, carry=("lang", "source"), as_text=True).withColumnRenamed("kept", "text")
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix takes it."""
+    copies = mix(docs).where("copies > 0").select(F.col("doc_id").alias("id"), "copies")
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("id")))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    pieces = pack_cost_balanced(docs, tokenizer_path("byte_bpe_50k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+STAGES = [
+    ("language", language),
+    ("near_copies", near_copies),
+    ("repeats", repeats),
+    ("mixture", mixture),
+    ("packed", packed),
+]
+
+#: Trained models, token ids and Newton iterations are beyond SQL: the stages are tested against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
