@@ -1,0 +1,492 @@
+"""The library's registered queries, each with DuckDB SQL that says the same independently."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from palisade.functions import text as T
+from palisade.functions import validators as V
+from palisade.operators import coverage, paths, prompts, redact, scan, verdict
+from palisade.plans.rules import BY_ID, Rule
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+IPV4, CARD = BY_ID["ipv4-public"], BY_ID["payment-card"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- matches in SQL: the texts between matches give the places, in bytes
+
+def _matches_sql(source: str, key: str, text: str, regex: str) -> str:
+    return f"""
+    SELECT {key}, {text} AS body, v AS value,
+      list_sum(list_transform(gaps[1:i], lambda x: strlen(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: strlen(x))), 0) AS "offset"
+    FROM (SELECT {key}, {text}, gaps, hits, unnest(hits) AS v, unnest(range(1, len(hits) + 1)) AS i
+      FROM (SELECT {key}, {text}, regexp_split_to_array({text}, '{regex}') AS gaps, regexp_extract_all({text}, '{regex}') AS hits
+        FROM {source} WHERE {text} IS NOT NULL))"""
+
+
+_IP_RE, _CARD_RE = r"\b(?:\d{1,3}\.){3}\d{1,3}\b", r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,4}\b"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_IP_OK = f"regexp_full_match(value, '(?:{_OCTET}\\.){{3}}{_OCTET}')"
+_IP_N = "list_reduce(list_transform(string_split(value, '.'), lambda x: x::BIGINT), lambda a, b: a * 256 + b)"
+_BLOCKS = [(f"{a}/{b}", *V._block(a, b)) for a, b in V.RESERVED]
+_RESERVED = "CASE " + " ".join(f"WHEN n BETWEEN {lo} AND {hi} THEN '{name}'" for name, lo, hi in _BLOCKS) + " END"
+
+
+def _ip_sql(source: str, key: str, text: str) -> str:
+    """key, body, value, offset, block: valid dotted quads with their reserved block."""
+    return f"""SELECT *, {_RESERVED} AS block FROM (SELECT *, CASE WHEN {_IP_OK} THEN {_IP_N} END AS n
+      FROM ({_matches_sql(source, key, text, _IP_RE)})) WHERE n IS NOT NULL"""
+
+
+def _digest_sql(rule: str) -> str:
+    return f"substr(sha256('{rule}' || chr(0) || value), 1, 16)"
+
+
+_PUBLIC = f"SELECT doc_id, body, value, 'ipv4-public' AS rule_id, \"offset\", \"offset\" + strlen(value) AS \"end\", {_digest_sql('ipv4-public')} AS digest FROM ({_ip_sql('documents', 'doc_id', 'text')}) WHERE block IS NULL"
+_BARE = "replace(replace(value, ' ', ''), '-', '')"
+_LUHN = f"(list_sum(list_transform(range(1, length({_BARE}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse({_BARE}), i::INT, 1)::INT ELSE (substr(reverse({_BARE}), i::INT, 1)::INT * 2) // 10 + (substr(reverse({_BARE}), i::INT, 1)::INT * 2) % 10 END)) % 10 = 0)"
+_NOT_TEST = f"({_BARE} NOT IN ({', '.join(repr(x) for x in V.TEST_CARDS)}) AND {_BARE} <> repeat(substr({_BARE}, 1, 1), length({_BARE})))"
+_CARDS = f"SELECT doc_id, body, value, \"offset\" FROM ({_matches_sql('documents', 'doc_id', 'text', _CARD_RE)})"
+
+
+def _label_sql(labels: tuple[str, ...], view: str = "body", at: str = '"offset"') -> str:
+    window = f"(' ' || lower(substr({view}, greatest({at} - 63, 1)::INT, least({at}, 64)::INT)) || ' ')"
+    return f"regexp_matches({window}, '[^a-z0-9](?:{'|'.join(labels)})[^a-z0-9]')"
+
+
+def _public(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.findings(table(spark, sf_dir, "documents"), "doc_id", "text", [IPV4])
+
+
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of public addresses, and of card numbers before the label check, which none of these texts passes."""
+    docs = table(spark, sf_dir, "documents")
+    found = scan.candidates(docs, "doc_id", "text", [IPV4, CARD])
+    v = F.col("value")
+    stays = F.when(F.col("rule_id") == IPV4.id, V.public_ipv4(v)).otherwise(V.luhn(v) & V.not_test_card(v))
+    return found.where(stays).select("doc_id", "rule_id", "offset", "end", scan.digest(F.col("rule_id"), v).alias("digest"))
+
+
+_BOTH = f"""SELECT doc_id, rule_id, "offset", "end", digest FROM ({_PUBLIC}) UNION ALL
+  SELECT doc_id, 'payment-card', "offset", "offset" + strlen(value), {_digest_sql('payment-card')} FROM ({_CARDS}) WHERE {_LUHN} AND {_NOT_TEST}"""
+
+
+@query(f'SELECT doc_id, rule_id, "offset"::BIGINT AS "offset", "end"::BIGINT AS "end", digest FROM ({_PUBLIC})')
+def ipv4_public_findings(spark, sf_dir):
+    return _public(spark, sf_dir)
+
+
+@query(f'SELECT doc_id, "offset"::BIGINT AS "offset", sha256(value) AS value_sha256 FROM ({_matches_sql("documents", "doc_id", "text", _IP_RE)})')
+def ipv4_candidates(spark, sf_dir):
+    found = scan.candidates(table(spark, sf_dir, "documents"), "doc_id", "text", [IPV4])
+    return found.select("doc_id", "offset", F.sha2("value", 256).alias("value_sha256"))
+
+
+@query(f"SELECT page_id, 'ipv4-public' AS rule_id, \"offset\"::BIGINT AS \"offset\", (\"offset\" + strlen(value))::BIGINT AS \"end\", {_digest_sql('ipv4-public')} AS digest FROM ({_ip_sql('pages', 'page_id', 'html')}) WHERE block IS NULL")
+def ipv4_public_pages(spark, sf_dir):
+    return scan.findings(table(spark, sf_dir, "pages"), "page_id", "html", [IPV4])
+
+
+@query(f"SELECT coalesce(block, 'public') AS block, count(*) AS n FROM ({_ip_sql('documents', 'doc_id', 'text')}) GROUP BY 1")
+def ipv4_reserved_breakdown(spark, sf_dir):
+    found = scan.candidates(table(spark, sf_dir, "documents"), "doc_id", "text", [IPV4]).where(V.ipv4_number(F.col("value")).isNotNull())
+    return found.groupBy(F.coalesce(V.reserved_block(F.col("value")), F.lit("public")).alias("block")).agg(F.count("*").alias("n"))
+
+
+@query(f'SELECT doc_id, "offset"::BIGINT AS "offset", {_LUHN} AS luhn, {_NOT_TEST} AS not_test, {_label_sql(CARD.labels)} AS labelled FROM ({_CARDS})')
+def card_stages(spark, sf_dir):
+    """Each check of the card rule by itself: together they leave nothing of these texts."""
+    found = scan.candidates(table(spark, sf_dir, "documents"), "doc_id", "text", [CARD])
+    v = F.col("value")
+    return found.select("doc_id", "offset", V.luhn(v).alias("luhn"), V.not_test_card(v).alias("not_test"), V.near_label(F.col("view"), F.col("offset"), CARD.labels).alias("labelled"))
+
+
+def _by(column: str) -> Query:
+    def run(spark, sf_dir):
+        docs = table(spark, sf_dir, "documents").select("doc_id", column)
+        n = _both(spark, sf_dir).join(docs, "doc_id").groupBy(column, "rule_id").agg(F.count("*").alias("n"))
+        share = F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("rule_id")), 1)
+        return n.select(column, "rule_id", "n", share.alias("percent"))
+
+    run.__name__ = f"findings_by_{column}"
+    return run
+
+
+for _column in ("source", "lang"):
+    query(
+        f"SELECT {_column}, rule_id, n, round(100.0 * n / sum(n) OVER (PARTITION BY rule_id), 1) AS percent FROM (SELECT {_column}, rule_id, count(*) AS n FROM ({_BOTH}) JOIN documents USING (doc_id) GROUP BY ALL)"
+    )(_by(_column))
+
+
+@query(f"SELECT source, rule_id, count(*) AS n, count(DISTINCT digest) AS different FROM ({_BOTH}) JOIN documents USING (doc_id) GROUP BY ROLLUP (source, rule_id)")
+def findings_rollup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return _both(spark, sf_dir).join(docs, "doc_id").rollup("source", "rule_id").agg(F.count("*").alias("n"), F.count_distinct("digest").alias("different"))
+
+
+@query(f"SELECT doc_id, lang, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_BOTH}))")
+def clean_documents(spark, sf_dir):
+    return redact.clean(table(spark, sf_dir, "documents"), _both(spark, sf_dir), "doc_id").select("doc_id", "lang", "n_chars")
+
+
+@query(f"SELECT doc_id, lang, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM ({_BOTH}))")
+def flagged_documents(spark, sf_dir):
+    return redact.flagged(table(spark, sf_dir, "documents"), _both(spark, sf_dir), "doc_id").select("doc_id", "lang", "n_chars")
+
+
+@query(f"SELECT quality, toxic, count(*) AS findings, count(DISTINCT doc_id) AS documents FROM ({_BOTH}) JOIN labels USING (doc_id) GROUP BY ALL")
+def flagged_by_label(spark, sf_dir):
+    found = _both(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    return found.groupBy("quality", "toxic").agg(F.count("*").alias("findings"), F.count_distinct("doc_id").alias("documents"))
+
+
+@query(f"SELECT doc_id, count(*) AS n FROM ({_BOTH}) GROUP BY 1 ORDER BY n DESC, doc_id LIMIT 20")
+def top_documents_by_findings(spark, sf_dir):
+    """A top-k report: the 20 documents with most findings."""
+    return _both(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc_id").limit(20)
+
+
+@query(f'SELECT doc_id, rule_id, "offset"::BIGINT AS "offset", ("offset" - lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY "offset", rule_id))::BIGINT AS gap FROM ({_BOTH})')
+def finding_gap_to_previous(spark, sf_dir):
+    order = Window.partitionBy("doc_id").orderBy("offset", "rule_id")
+    return _both(spark, sf_dir).select("doc_id", "rule_id", "offset", (F.col("offset") - F.lag("end", 1, 0).over(order)).alias("gap"))
+
+
+_PREFIX = 'decode(encode(body)[1:"offset"::INT])'
+
+
+@query(
+    f"""SELECT doc_id, rule_id, "offset"::BIGINT AS "offset", 1 + length(before) - length(replace(before, chr(10), '')) AS line
+    FROM (SELECT *, array_to_string(list_transform(gaps, lambda x: x), '') AS before FROM (
+      SELECT doc_id, rule_id, "offset", list_filter([body[1:instr(body, value) - 1]], lambda x: true) AS gaps FROM ({_PUBLIC}) WHERE length(body) - length(replace(body, value, '')) = length(value)))"""
+)
+def finding_line_numbers(spark, sf_dir):
+    """Lines of the findings whose value stands once in its text (so that SQL can find it again)."""
+    docs = table(spark, sf_dir, "documents")
+    found = scan.checked(scan.candidates(docs, "doc_id", "text", [IPV4]), [IPV4])
+    once = F.length("view") - F.length(F.replace("view", F.col("value"), F.lit(""))) == F.length("value")
+    return found.where(once).select("doc_id", "rule_id", "offset", T.line_number(F.col("view"), F.col("offset")).alias("line"))
+
+
+@query(f"SELECT rule_id, digest, count(*) AS n, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_doc FROM ({_BOTH}) GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_values_across_docs(spark, sf_dir):
+    n = _both(spark, sf_dir).groupBy("rule_id", "digest").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
+    return n.where("n > 1")
+
+
+@query(f"SELECT doc_id, listed, more FROM (SELECT doc_id, array_to_string(list_sort(list(\"offset\"))[1:5], ',') AS listed, greatest(count(*) - 5, 0) AS more FROM ({_BOTH}) GROUP BY 1)")
+def finding_listing(spark, sf_dir):
+    listed = redact.listing(_both(spark, sf_dir), "doc_id")
+    return listed.select("doc_id", F.array_join(F.transform("listed", lambda x: x["offset"].cast("string")), ",").alias("listed"), "more")
+
+
+_WORD_CARD = r"\b(?:(?:[0-9]{4}[ -]?){3}[0-9]{1,4})\b"
+
+
+@query(f"SELECT doc_id, strlen(r) AS n_bytes, sha256(r) AS redacted_sha256 FROM (SELECT doc_id, regexp_replace(text, '{_CARD_RE}', '[REDACTED:payment-card]', 'g') AS r FROM documents)")
+def redacted_documents(spark, sf_dir):
+    """Everything that looks like a card number hidden, unchecked: one rule, so that SQL can say the same."""
+    docs = table(spark, sf_dir, "documents")
+    found = scan.candidates(docs, "doc_id", "text", [CARD]).select("doc_id", "rule_id", "offset", "end")
+    out = redact.redacted(docs, found, "doc_id", "text")
+    return out.select("doc_id", F.octet_length("redacted").cast("long").alias("n_bytes"), F.sha2("redacted", 256).alias("redacted_sha256"))
+
+
+@query(
+    """SELECT doc_id, i AS place, round(list_aggregate(string_split(v, ''), 'entropy'), 6) AS entropy FROM (
+    SELECT doc_id, unnest(hits) AS v, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, 'token = "([0-9a-f]{40})"', 1) AS hits FROM documents))"""
+)
+def hex_token_entropy(spark, sf_dir):
+    """Bits a byte of the hexadecimal tokens that texts assign."""
+    docs = table(spark, sf_dir, "documents")
+    hits = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit('token = "([0-9a-f]{40})"'), F.lit(1))).alias("i", "v"))
+    return hits.select("doc_id", (F.col("i") + 1).cast("long").alias("place"), F.round(V.entropy(F.col("v")), 6).alias("entropy"))
+
+
+@query(
+    r"""SELECT k AS keyword, count(*) AS documents FROM documents, (SELECT unnest(['token', 'key', 'password', 'secret', 'card', 'license', 'copyright', 'the', 'con']) AS k)
+    WHERE regexp_matches(lower(translate(text, chr(8490), '?')), '(?:^|[^a-z0-9_])' || k) GROUP BY 1"""
+)
+def keyword_prefilter_counts(spark, sf_dir):
+    """Documents that pass the keyword gate, keyword by keyword."""
+    from palisade.functions.matching import gate
+
+    words = ("token", "key", "password", "secret", "card", "license", "copyright", "the", "con")
+    docs = table(spark, sf_dir, "documents").select(T.byte_view("text").alias("view"))
+    rule = lambda w: Rule("gate", "credential", "", "x", True, 0, (w,))
+    hits = F.array(*(F.when(gate(rule(w), F.col("view")), w) for w in words))
+    return docs.select(F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("documents"))
+
+
+# ---- credentials: values are built from keys of the tables, alike in both engines, and scanned
+
+def _synth(name: str, rule_id: str, source: str, key: str, build: Callable[[Column], Column], sql_value: str, sql_valid: str, before: str = "") -> None:
+    """Texts with a value in each row, some spoiled; findings against a direct statement of what is valid."""
+
+    def run(spark, sf_dir):
+        rows = table(spark, sf_dir, source).select(F.col(key).alias("id"))
+        texts = rows.select("id", F.concat(F.lit(f"row {before}"), F.col("id").cast("string"), F.lit(" é: "), build(F.col("id").cast("string")), F.lit(" end")).alias("text"))
+        return scan.findings(texts, "id", "text", [BY_ID[rule_id]])
+
+    run.__name__ = name
+    at = f"strlen('row {before}' || {key} || ' é: ')"
+    query(
+        f"""SELECT id, '{rule_id}' AS rule_id, start_at::BIGINT AS "offset", (start_at + strlen(value))::BIGINT AS "end", {_digest_sql(rule_id)} AS digest
+        FROM (SELECT {key} AS id, {at} AS start_at, {sql_value} AS value FROM {source}) WHERE {sql_valid}"""
+    )(run)
+
+
+_ENOUGH = "list_aggregate(string_split(value, ''), 'entropy') >= 3.0"
+_md5 = lambda k, salt="": F.md5(F.concat(F.lit(salt), k).cast("binary"))
+_synth(
+    "aws_key_synth", "aws-access-key-id", "customer", "c_custkey",
+    lambda k: F.concat(F.lit("AKIA"), F.when(k.endswith("7"), F.lit("A" * 9 + "EXAMPLE")).otherwise(F.upper(F.substring(_md5(k), 1, 16)))),
+    "'AKIA' || CASE WHEN c_custkey % 10 = 7 THEN 'AAAAAAAAAEXAMPLE' ELSE upper(substr(md5(c_custkey::VARCHAR), 1, 16)) END",
+    f"value NOT LIKE '%EXAMPLE' AND {_ENOUGH}",
+)
+_synth(
+    "github_token_synth", "github-token", "orders", "o_orderkey",
+    lambda k: F.concat(F.lit("ghp_"), F.substring(F.concat(_md5(k), _md5(k, "x")), 1, 36), F.when(k.endswith("3"), "0").otherwise("")),
+    "'ghp_' || substr(md5(o_orderkey::VARCHAR) || md5('x' || o_orderkey), 1, 36) || CASE WHEN o_orderkey % 10 = 3 THEN '0' ELSE '' END",
+    f"length(value) = 40 AND {_ENOUGH}",
+)
+_synth(
+    "google_key_synth", "google-api-key", "customer", "c_custkey",
+    lambda k: F.concat(F.lit("AIza"), F.substring(F.concat(_md5(k), _md5(k, "x")), 1, 34), F.when(k.endswith("1"), "-").otherwise("_")),
+    "'AIza' || substr(md5(c_custkey::VARCHAR) || md5('x' || c_custkey), 1, 34) || CASE WHEN c_custkey % 10 = 1 THEN '-' ELSE '_' END",
+    f"value NOT LIKE '%-' AND {_ENOUGH}",
+)
+_synth(
+    "slack_token_synth", "slack-token", "orders", "o_orderkey",
+    lambda k: F.concat(F.lit("xoxb-"), F.when(k.endswith("5"), F.lit("a" * 24)).otherwise(_md5(k))),
+    "'xoxb-' || CASE WHEN o_orderkey % 10 = 5 THEN repeat('a', 24) ELSE md5(o_orderkey::VARCHAR) END",
+    _ENOUGH,
+)
+_synth(
+    "stripe_key_synth", "stripe-live-secret-key", "supplier", "s_suppkey",
+    lambda k: F.concat(F.lit("sk_live_"), F.substring(_md5(k), 1, 24)),
+    "'sk_live_' || substr(md5(s_suppkey::VARCHAR), 1, 24)",
+    _ENOUGH,
+)
+_synth(
+    "openai_key_synth", "openai-api-key", "customer", "c_custkey",
+    lambda k: F.concat(F.lit("sk-"), F.substring(_md5(k), 1, 20), F.lit("T3BlbkFJ"), F.substring(_md5(k, "x"), 1, 20)),
+    "'sk-' || substr(md5(c_custkey::VARCHAR), 1, 20) || 'T3BlbkFJ' || substr(md5('x' || c_custkey), 1, 20)",
+    _ENOUGH,
+)
+_ssn = lambda k: F.concat(F.lpad((k.cast("long") * 7 % 900).cast("string"), 3, "0"), F.lit("-"), F.lpad((k.cast("long") % 100).cast("string"), 2, "0"), F.lit("-"), F.lpad((k.cast("long") * 13 % 10000).cast("string"), 4, "0"))
+_synth(
+    "ssn_synth", "us-ssn", "customer", "c_custkey", _ssn,
+    "lpad((c_custkey * 7 % 900)::VARCHAR, 3, '0') || '-' || lpad((c_custkey % 100)::VARCHAR, 2, '0') || '-' || lpad((c_custkey * 13 % 10000)::VARCHAR, 4, '0')",
+    "value NOT LIKE '666%' AND value NOT LIKE '___-00-%' AND value NOT LIKE '%-0000' AND value NOT IN ('078-05-1120', '219-09-9999', '123-45-6789') AND replace(value, '-', '') <> repeat(value[1], 9)",
+    before="SSN ",
+)
+
+
+@query(
+    """SELECT c_custkey AS id, n17 || substr('10X98765432', (p % 11 + 1)::INT, 1) AS with_check, list_contains([1, 2], 2) AND p % 11 <> c_custkey % 11 AS spoiled_fails
+    FROM (SELECT c_custkey, n17, list_reduce(list_prepend(0, list_transform(string_split(n17, ''), lambda x: x::BIGINT)), lambda a, b: (a + b) * 2 % 11) AS p
+      FROM (SELECT c_custkey, lpad((c_custkey * 7919 % 1000000)::VARCHAR, 17, '1') AS n17 FROM customer))"""
+)
+def cn_id_synth(spark, sf_dir):
+    """Identity numbers completed with their check character, and whether another one fails."""
+    n17 = F.lpad((F.col("c_custkey") * 7919 % 1000000).cast("string"), 17, "1")
+    marks = F.array(*(F.lit(c) for c in "0123456789X"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), n17.alias("n17"))
+    good = F.element_at(F.filter(F.transform(marks, lambda c: F.concat(F.col("n17"), c)), V.mod_11), 1)
+    # check c fits the sum p when (p + c) % 11 is 1
+    other = F.concat("n17", F.element_at(marks, (F.pmod(1 - F.col("id") % 11, F.lit(11)) + 1).cast("int")))
+    return rows.select("id", good.alias("with_check"), (~V.mod_11(other)).alias("spoiled_fails"))
+
+
+def _b64url(c: Column) -> Column:
+    return F.translate(F.base64(c.cast("binary")), "+/=\r\n", "-_")
+
+
+def _jwts(spark, sf_dir) -> DataFrame:
+    """A token for each customer: even ones signed with the published key, odd ones with a hash of their own."""
+    k = F.col("c_custkey").cast("string")
+    head = _b64url(F.lit('{"alg":"HS256","typ":"JWT"}'))
+    body = _b64url(F.concat(F.lit('{"sub":"'), k, F.lit('","name":"someone or other"}')))
+    signed = F.concat(head, F.lit("."), body)
+    sample = _b64url(F.unhex(V._hmac(signed, V.SAMPLE_KEY, 256)))
+    own = _b64url(F.unhex(F.sha2(k.cast("binary"), 256)))
+    token = F.concat(signed, F.lit("."), F.when(F.col("c_custkey") % 2 == 0, sample).otherwise(own))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("bearer "), token, F.lit(";")).alias("text"))
+
+
+@query(
+    """SELECT c_custkey AS id, 'jwt' AS rule_id, 7::BIGINT AS "offset",
+      (7 + 36 + 1 + ceil(strlen('{"sub":"' || c_custkey || '","name":"someone or other"}') * 4 / 3) + 1 + 43)::BIGINT AS "end" FROM customer WHERE c_custkey % 2 = 1"""
+)
+def jwt_synth(spark, sf_dir):
+    """Tokens are found whole; those signed with the published key are samples."""
+    return scan.findings(_jwts(spark, sf_dir), "id", "text", [BY_ID["jwt"]]).select("id", "rule_id", "offset", "end")
+
+
+@query(
+    """SELECT s_suppkey AS id, 'private-key-block' AS rule_id, strlen('key ' || s_suppkey || chr(10))::BIGINT AS "offset",
+      strlen('key ' || s_suppkey || chr(10) || '-----BEGIN RSA PRIVATE KEY-----')::BIGINT AS "end" FROM supplier WHERE s_suppkey % 3 <> 0"""
+)
+def pem_synth(spark, sf_dir):
+    """Key blocks; a third of them have no body."""
+    k = F.col("s_suppkey").cast("string")
+    body = F.when(F.col("s_suppkey") % 3 == 0, "none").otherwise(F.sha2(k.cast("binary"), 256))
+    text = F.concat(F.lit("key "), k, F.lit("\n-----BEGIN RSA "), F.lit("PRIVATE KEY-----\n"), body, F.lit("\n"))
+    return scan.findings(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), text.alias("text")), "id", "text", [BY_ID["private-key-block"]])\
+        .select("id", "rule_id", "offset", "end")
+
+
+# ---- encodings
+
+@query('SELECT doc_id, rule_id, 2 + 2 * length(body[1:instr(body, value) - 1])::BIGINT AS "offset" FROM (' + _PUBLIC + ") WHERE length(body) - length(replace(body, value, '')) = length(value)")
+def utf16_roundtrip(spark, sf_dir):
+    """Texts as UTF-16 with its mark: the same findings, at the places they have there (values that stand once)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    content = F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))
+    found, _ = scan.scan_content(docs.select("doc_id", content.alias("content")), "doc_id", "content", [IPV4])
+    once = scan.checked(scan.candidates(docs, "doc_id", "text", [IPV4]), [IPV4]).where(F.length("view") - F.length(F.replace("view", F.col("value"), F.lit(""))) == F.length("value"))
+    once = once.select("doc_id", scan.digest(F.col("rule_id"), F.col("value")).alias("digest"))
+    return found.join(once, ["doc_id", "digest"]).select("doc_id", "rule_id", "offset")
+
+
+@query(
+    """SELECT CASE doc_id % 4 WHEN 0 THEN 'utf-32' WHEN 1 THEN 'binary' WHEN 2 THEN '' ELSE CASE WHEN length(text) = 0 THEN '' ELSE '' END END AS skip, count(*) AS n FROM documents GROUP BY 1"""
+)
+def binary_sniff(spark, sf_dir):
+    """Content in four forms by id: with a UTF-32 mark, with a NUL byte, as it is, as UTF-16."""
+    raw = F.col("text").cast("binary")
+    k = F.col("doc_id") % 4
+    content = (
+        F.when(k == 0, F.concat(F.unhex(F.lit("FFFE0000")), raw)).when(k == 1, F.concat(F.substring(raw, 1, 100), F.unhex(F.lit("00")), raw))
+        .when(k == 2, raw).otherwise(F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE")))
+    )
+    return table(spark, sf_dir, "documents").select(T.skipped(content).alias("skip")).groupBy("skip").agg(F.count("*").alias("n"))
+
+
+# ---- coverage, versions, prompts, paths, verdicts
+
+def _log(spark, sf_dir) -> DataFrame:
+    """The events as a log: a reason for each type, with a path that differs from row to row."""
+    reason = F.concat(F.lit("reading /tmp/run/"), F.col("user_id").cast("string"), F.lit("/x.txt by "), F.lit('\\"'), F.col("event_type"), F.lit('\\"'))
+    version = F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string"), F.lit("."), (F.col("user_id") % 12).cast("string"), F.lit(".0"), F.when(F.col("user_id") % 5 == 0, "-rc.1").otherwise(""))
+    return table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("time"), reason.alias("reason"), version.alias("version"))
+
+
+@query(
+    """SELECT 'reading "…" by "' || event_type || '"' AS reason, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM events), 1) AS percent,
+      epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM events GROUP BY event_type"""
+)
+def coverage_summary(spark, sf_dir):
+    found = coverage.summary(_log(spark, sf_dir))
+    return found.select("reason", "n", "percent", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
+
+
+@query(
+    """SELECT event_type, count(*) FILTER (WHERE ts >= middle) AS kept, count(*) FILTER (WHERE ts < middle) AS older
+    FROM events, (SELECT date_trunc('day', min(ts) + (max(ts) - min(ts)) / 2) AS middle FROM events) GROUP BY 1"""
+)
+def coverage_since(spark, sf_dir):
+    """Records since the day in the middle of the log, and those before."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    span = events.agg(F.unix_micros(F.min("ts")).alias("a"), F.unix_micros(F.max("ts")).alias("b")).first()
+    day = spark.range(1).select(F.date_format(F.timestamp_micros(F.lit((span["a"] + span["b"]) // 2)), "yyyy-MM-dd").alias("d")).first()["d"]
+    late = F.coalesce(F.col("ts") >= coverage.parsed_time(F.lit(day)), F.lit(False))
+    return events.groupBy("event_type").agg(F.count_if(late).alias("kept"), F.count_if(~late).alias("older"))
+
+
+@query(
+    """SELECT version, count(*) AS n FROM (SELECT 'v' || (user_id % 3) || '.' || (user_id % 12) || '.0' || CASE WHEN user_id % 5 = 0 THEN '-rc.1' ELSE '' END AS version, user_id FROM events)
+    WHERE user_id % 3 > 1 OR (user_id % 3 = 1 AND (user_id % 12 > 4 OR (user_id % 12 = 4 AND user_id % 5 <> 0))) GROUP BY 1"""
+)
+def semver_filter(spark, sf_dir):
+    """Records of version 1.4.0 or later: a prerelease is before its release."""
+    kept, _ = coverage.since(_log(spark, sf_dir), "v1.4.0")
+    return kept.groupBy("version").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT conv_id, turn, token, count(*) AS n FROM (SELECT conv_id, turn, unnest(['notes/' || conv_id || '.md,', 'a' || turn]) AS token FROM conversations WHERE role = 'user') GROUP BY ALL"""
+)
+def prompt_at_tokens(spark, sf_dir):
+    """User turns that name two files and hold an address, which names none."""
+    users = table(spark, sf_dir, "conversations").where("role = 'user'")
+    prompt = F.concat(F.lit("see @notes/"), F.col("conv_id").cast("string"), F.lit(".md, mail me@example.org\n@a"), F.col("turn").cast("string"))
+    return users.select("conv_id", "turn", F.explode(prompts.at_tokens(prompt)).alias("token")).groupBy("conv_id", "turn", "token").agg(F.count("*").alias("n"))
+
+
+_NAMES = (".env", ".env.local", ".env.example", "credentials", "config.json", "kubeconfig", "notes.txt")
+_DIRS = (".aws", ".docker", ".kube", "src")
+
+
+@query(
+    f"""SELECT class, count(*) AS n FROM (SELECT CASE WHEN base IN ('.env', '.env.local') THEN 'a dotenv file' WHEN dir = '.aws' AND base = 'credentials' THEN 'an AWS credentials file'
+      WHEN dir = '.docker' AND base = 'config.json' THEN 'a Docker registry auth file' WHEN base = 'kubeconfig' THEN 'a kubeconfig' ELSE 'none' END AS class
+      FROM (SELECT ({list(_NAMES)})[1 + p_partkey % 7] AS base, ({list(_DIRS)})[1 + p_partkey % 4] AS dir FROM part)) GROUP BY 1"""
+)
+def guarded_paths(spark, sf_dir):
+    pick = lambda own: F.element_at(F.array(*map(F.lit, own)), (F.col("p_partkey") % len(own) + 1).cast("int"))
+    path = F.concat(F.lit("/home/u"), F.col("p_partkey").cast("string"), F.lit("/"), pick(_DIRS), F.lit("/"), pick(_NAMES))
+    return table(spark, sf_dir, "part").groupBy(F.coalesce(paths.guarded_class(path), F.lit("none")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""SELECT verdict, count(*) AS n FROM (SELECT d.doc_id, CASE WHEN d.doc_id % 50 = 7 THEN 'deny' WHEN d.doc_id % 50 = 9 OR f.doc_id IS NOT NULL THEN CASE WHEN d.doc_id % 3 = 0 THEN 'ask' ELSE 'deny' END
+      WHEN d.doc_id % 50 = 11 OR d.doc_id % 50 = 13 THEN 'abstain' WHEN d.doc_id % 50 = 15 THEN 'notice' ELSE 'allow' END AS verdict
+      FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM ({_PUBLIC})) f USING (doc_id)) GROUP BY 1"""
+)
+def verdict_per_call(spark, sf_dir):
+    """Each document as a call: some with an override, a refusal, a gap, or content that can't be read."""
+    k = F.col("doc_id") % 50
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    override = F.when(k == 7, "").when(F.col("doc_id") % 3 == 0, "checked by hand")
+    calls = docs.select(F.col("doc_id").alias("call_id"), F.lit(verdict.TOOL).alias("event"), override.alias("override"), F.lit(False).alias("bypass"))
+    found = _public(spark, sf_dir).select(F.col("doc_id").alias("call_id"), "rule_id")
+    skips = docs.where(k.isin(13, 15)).select(F.col("doc_id").alias("call_id"), F.when(k == 13, T.UTF32).otherwise(T.BINARY).alias("skip"))
+    troubles = docs.where(k.isin(9, 11)).select(F.col("doc_id").alias("call_id"), F.when(k == 11, "a gap").alias("gap"), F.when(k == 9, "a refusal").alias("refusal"))
+    return verdict.verdicts(calls, found, skips, troubles).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT tool, verdict, count(*) AS n FROM (SELECT ['Read', 'Bash', 'Grep', 'PowerShell'][1 + conv_id % 4] AS tool,
+      CASE conv_id % 4 WHEN 0 THEN CASE WHEN conv_id % 8 = 0 THEN 'deny' ELSE 'allow' END WHEN 2 THEN 'allow' ELSE 'abstain' END AS verdict FROM conversations WHERE role = 'user' AND turn = 0) GROUP BY ALL"""
+)
+def tool_call_verdicts(spark, sf_dir):
+    """First user turns as tool calls, from payload to verdict: reads of a guarded file or of one that is absent,
+    shell commands, and a search that sends no content."""
+    from palisade.sources import payloads
+
+    first = table(spark, sf_dir, "conversations").where("role = 'user' AND turn = 0")
+    k = F.col("conv_id") % 4
+    tool = F.element_at(F.array(*map(F.lit, ("Read", "Bash", "Grep", "PowerShell"))), (k + 1).cast("int"))
+    own = F.concat(F.lit("/data/"), F.col("conv_id").cast("string"))
+    read = F.when(F.col("conv_id") % 8 == 0, F.concat(own, F.lit("/.env"))).otherwise(F.concat(own, F.lit("/absent.txt")))
+    given = F.struct(F.when(k == 0, read).alias("file_path"), F.when(k.isin(1, 3), F.lit("ls")).alias("command"), F.when(k == 2, F.lit("x")).alias("pattern"))
+    raw = F.to_json(F.struct(F.lit("PreToolUse").alias("hook_event_name"), F.lit("/data").alias("cwd"), tool.alias("tool_name"), F.to_json(given).alias("tool_input")))
+    calls, _ = payloads(first.select("conv_id", raw.alias("raw")), "conv_id", "raw")
+    there = first.where("conv_id % 8 = 0").select(F.concat(own, F.lit("/.env")).alias("path"), F.lit("file").alias("kind"), F.lit("A=1").cast("binary").alias("content"))
+    sent, troubles = verdict.targets(calls, there)
+    found, skips = scan.scan_content(sent.withColumn("target", F.struct("call_id", "label")), "target", "content")
+    decided = verdict.verdicts(
+        calls.withColumn("override", F.lit(None).cast("string")), found.select("target.call_id", "rule_id"), skips.select("target.call_id", "skip"), troubles
+    )
+    return decided.join(calls.select("call_id", "tool_name"), "call_id").groupBy(F.col("tool_name").alias("tool"), "verdict").agg(F.count("*").alias("n"))

@@ -1 +1,6 @@
-"""See the package README."""
+"""Where texts, payloads and logs come from and where results go."""
+
+from palisade.sources.readers import coverage_log, files, payloads
+from palisade.sources.writers import append_coverage, write_clean, write_redacted
+
+__all__ = ["append_coverage", "coverage_log", "files", "payloads", "write_clean", "write_redacted"]
