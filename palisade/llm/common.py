@@ -61,13 +61,21 @@ def batches(
 BITMAP_BITS = 24
 
 
-def likely(df: DataFrame, key: str, wanted: DataFrame, rest: bool = False) -> DataFrame:
-    """df's rows whose key (a long) is likely among wanted's; with rest all rows, and a column `likely`.
+def likely(
+    df: DataFrame,
+    key: str,
+    wanted: DataFrame,
+    rest: bool = False,
+    then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None,
+    schema: str | None = None,
+) -> DataFrame:
+    """df's rows whose key is likely in wanted's one column; with rest all rows, and a column `likely`.
 
     A bitmap of fixed size (2 MB) over the keys' hashes is broadcast, so that rows which surely find nothing
-    need no shuffle. Rows that it lets through for nothing are for the join to sort out."""
-    place = F.pmod(F.xxhash64(key), F.lit(1 << BITMAP_BITS))
-    marks = wanted.select(place.alias("p")).groupBy(F.expr("p div 64").alias("block"))
+    need no shuffle. Rows that it lets through for nothing are for the join to sort out. then: what to make
+    of the rows in the same pass, with its schema."""
+    size = F.lit(1 << BITMAP_BITS)
+    marks = wanted.select(F.pmod(F.xxhash64(wanted.columns[0]), size).alias("p")).groupBy(F.expr("p div 64").alias("block"))
     marks = marks.agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("mask"))
     table = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     for block, mask in marks.collect():
@@ -80,7 +88,26 @@ def likely(df: DataFrame, key: str, wanted: DataFrame, rest: bool = False) -> Da
             p = batch.column(batch.num_columns - 1).to_numpy()
             hit = pa.array((bits[p >> 6] >> (p & 63)) & 1 == 1)
             own = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
-            yield own.append_column("likely", hit) if rest else own.filter(hit)
+            own = own.append_column("likely", hit) if rest else own.filter(hit)
+            yield then(own) if then else own
+
+    given = schema or (df.withColumn("likely", F.lit(True)).schema if rest else df.schema)
+    return df.withColumn("__place", F.pmod(F.xxhash64(key), size)).mapInArrow(mark, given)
+
+
+#: Bytes of text that batch work looks at together.
+SLICE = 1 << 20
+
 
-    schema = df.withColumn("likely", F.lit(True)).schema if rest else df.schema
-    return df.withColumn("__place", place).mapInArrow(mark, schema)
+def slices(texts: pa.Array, size: int = SLICE) -> Iterator[list[bytes]]:
+    """Neighbouring texts as UTF-8 (null: empty), some `size` bytes together, so that what is made of them
+    stays small however large a batch is."""
+    held, n = [], 0
+    for x in texts.cast(pa.binary()):
+        held.append(x.as_py() or b"")
+        n += len(held[-1])
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held

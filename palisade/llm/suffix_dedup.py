@@ -16,6 +16,7 @@ Texts are known by the 64-bit hash of their bytes; equal texts are one text with
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import partial
 
 import numpy as np
@@ -30,9 +31,9 @@ from .common import columns, likely, stored
 WIDTH = 200
 GRAM = 32
 #: Bytes of text, anchors and windows that a task works on at once.
-BYTES = 1 << 25
-HELD = 2_000_000
-SORTED = 500_000
+BYTES = 1 << 21
+HELD = 500_000
+SORTED = 200_000
 #: Spans of one anchor beyond which its windows are dealt by their own hash.
 MANY = 20_000
 #: Characters of eight bytes that the shallow sort looks at.
@@ -106,33 +107,28 @@ ROW = "h long, span long, n int, key long, lo int, hi int"
 
 
 def _rows(parts, width):
-    """A row for each span of the task; places of spans that the task has met before are covered already
-    and go on under their text's hash, merged, with n = 2."""
-    seen: dict[tuple[int, int], int] = {}
-    held: list[tuple] = []
+    """A row for each span of the task. Of spans that it holds several times one row stands for all, with
+    n = 2; the others' places are covered already and go on under their text's key, merged."""
+    held: list[np.ndarray] = []
+    n = 0
 
     def out():
-        again = [i for i, r in enumerate(held) if seen[r[0], r[1]] > 1]
-        given, rows, open_ = set(), [], None
-        repeated = set(again)
-        for i, (h, span, key, lo, hi) in enumerate(held):
-            if i not in repeated:
-                rows.append((h, span, 1, key, lo, hi))
-                continue
-            if (h, span) not in given:
-                given.add((h, span))
-                rows.append((h, span, 2, key, lo, hi))
-            if open_ and open_[0] == key and lo <= open_[2] + width:
-                open_ = (key, open_[1], hi)
-            else:
-                if open_:
-                    rows.append((open_[0], open_[0], 2, *open_))
-                open_ = (key, lo, hi)
-        if open_:
-            rows.append((open_[0], open_[0], 2, *open_))
-        types = (np.int64, np.int64, np.int32, np.int64, np.int32, np.int32)
-        names = [x.split()[0] for x in ROW.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(np.array(x, t)) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        h, span, key, lo, hi = np.concatenate(held, axis=1)
+        order = np.lexsort((span, h))
+        new = np.r_[True, (h[order][1:] != h[order][:-1]) | (span[order][1:] != span[order][:-1])]
+        sizes = np.diff(np.r_[np.flatnonzero(new), len(order)])
+        times = np.empty(len(order), np.int64)
+        times[order] = np.repeat(sizes, sizes)
+        first = np.zeros(len(order), bool)
+        first[order[new]] = True
+        rest = ~first
+        k, a, b = key[rest], lo[rest], hi[rest]
+        start = np.r_[True, (k[1:] != k[:-1]) | (a[1:] > b[:-1] + width)] if len(k) else np.zeros(0, bool)
+        stop = np.r_[start[1:], True] if len(k) else start
+        k, a, b = k[start], a[start], b[stop]
+        values = (np.r_[h[first], k], np.r_[span[first], k], np.r_[np.minimum(times[first], 2), np.full(len(k), 2)], np.r_[key[first], k], np.r_[lo[first], a], np.r_[hi[first], b])
+        kinds = (np.int64, np.int64, np.int32, np.int64, np.int32, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(v.astype(t)) for v, t in zip(values, kinds, strict=True)], [x.split()[0] for x in ROW.split(", ")])
 
     for batch in parts:
         for data, ends, keys in _chunks(batch):
@@ -140,14 +136,14 @@ def _rows(parts, width):
             owner = np.searchsorted(ends, first, side="right")
             begin = np.r_[0, ends[:-1]][owner]
             view = memoryview(np.ascontiguousarray(data))
-            for a, p, f, t, o, b in zip(h.astype(np.int64).tolist(), place.tolist(), first.tolist(), last.tolist(), owner.tolist(), begin.tolist(), strict=True):
-                span = (xxhash.xxh3_64_intdigest(view[f : t + width], p - f) & 0x7FFFFFFFFFFFFFFF)
-                seen[a, span] = seen.get((a, span), 0) + 1
-                held.append((a, span, int(keys[o]), f - b, t - b))
-        if len(held) > HELD:
+            spans = (xxhash.xxh3_64_intdigest(view[f : t + width], p - f) for p, f, t in zip(place.tolist(), first.tolist(), last.tolist(), strict=True))
+            span = np.fromiter(spans, np.uint64, len(first)).astype(np.int64)
+            held.append(np.stack([h.astype(np.int64), span, keys[owner], first - begin, last - begin]))
+            n += len(first)
+        if n > HELD:
             yield out()
-            held, seen = [], {}
-    if held:
+            held, n = [], 0
+    if n:
         yield out()
 
 
@@ -351,32 +347,43 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return stored(covered.unionByName(sorted_).distinct())
 
 
-def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """doc_id, kept (binary: the bytes that are left), n_bytes, n_removed and n_spans of each row.
+def cut_repeats(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, carry: Sequence[str] = (), as_text: bool = False
+) -> DataFrame:
+    """doc_id, the columns to carry along, kept (binary: the bytes that are left), n_bytes, n_removed and n_spans
+    of each row. as_text: kept is text, without the characters of which only some bytes are left.
 
     A byte goes if a string of `width` bytes over it also starts anywhere else, in the same text or another;
     all strings are judged on the input. Texts are whole UTF-8 (null: empty); shorter ones than `width` keep
     all. Equal texts repeat one another, repeated rows too. Ids may be null or repeated: a row for each row.
     An empty table gives an empty table; other columns are not looked at.
     """
-    docs = columns(df, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.xxhash64("text"))
+    own = [f"carried_{i}" for i in range(len(carry))]
+    docs = columns(df, doc_id=id_col, text=text_col, **dict(zip(own, carry, strict=True)))
+    docs = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.xxhash64("text"))
     runs = repeated_runs(docs.select("key", "text").where(F.octet_length("text") >= width), width)
     runs = stored(runs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs")))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kinds = ", ".join(f"{x} {docs.schema[x].dataType.simpleString()}" for x in ("doc_id", *own))
     marked = likely(docs, "key", runs.select("key"), rest=True)
-    hit = marked.where("likely").join(runs, "key", "left").select("doc_id", "text", "runs")
-    rest = marked.where("NOT likely").select("doc_id", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
+    hit = marked.where("likely").join(runs, "key", "left").select("doc_id", *own, "text", "runs")
+    rest = marked.where("NOT likely").select("doc_id", *own, "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
 
     def cut(parts):
         for batch in parts:
             kept, spans = [], []
-            for text, own in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                left, n = _cut(text, [(x["lo"], x["hi"] + width) for x in own or ()])
+            for text, met in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                left, n = _cut(text, [(x["lo"], x["hi"] + width) for x in met or ()])
                 kept.append(left)
                 spans.append(n)
             size = pc.binary_length(batch.column("text").cast(pa.binary())).cast(pa.int64())
             kept = pa.array(kept, pa.binary())
             gone = pc.subtract(size, pc.binary_length(kept).cast(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), kept, size, gone, pa.array(spans, pa.int64())], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
-
-    return hit.unionByName(rest).mapInArrow(cut, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
+            if as_text:
+                kept = pa.array([x.decode(errors="ignore") for x in kept.to_pylist()], pa.string())
+            same = ("doc_id", *own)
+            yield pa.RecordBatch.from_arrays(
+                [*map(batch.column, same), kept, size, gone, pa.array(spans, pa.int64())], [*same, "kept", "n_bytes", "n_removed", "n_spans"]
+            )
+
+    found = hit.unionByName(rest).mapInArrow(cut, f"{kinds}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
+    return found.withColumnsRenamed(dict(zip(own, carry, strict=True)))
