@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 #: Bytes that are looked at to tell binary content, and the most that are matched raw.
 SNIFFED = 8192
@@ -49,7 +50,7 @@ def encoding(content: Column | str) -> Column:
     )
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def utf16_to_utf8(content: pd.Series, kind: pd.Series) -> pd.Series:
     """UTF-16 after its mark, null for other kinds; lone surrogates become U+FFFD, a last odd byte is dropped."""
 

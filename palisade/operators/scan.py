@@ -40,8 +40,9 @@ def candidates(df: DataFrame, key: str, text: str, which: Sequence[Rule]) -> Dat
     likely = df.where(may_match(which, F.col(text).cast("string")))
     viewed = likely.select(F.col(key), T.byte_view(text).alias("view"))
     each = [F.transform(matches(r, F.col("view")), _of(r.id, i)) for i, r in enumerate(which)]
-    found = viewed.withColumn("found", F.concat(*each) if len(each) > 1 else each[0]).where(F.size("found") > 0)
-    return found.select(key, "view", F.explode("found").alias("m")).select(key, "view", "m.*")
+    # explode_outer: for explode, the optimizer would look for matches once more, to see whether there are any
+    found = viewed.select(key, "view", F.explode_outer(F.concat(*each) if len(each) > 1 else each[0]).alias("m"))
+    return found.where(F.col("m").isNotNull()).select(key, "view", "m.*")
 
 
 def checked(found: DataFrame, which: Sequence[Rule]) -> DataFrame:

@@ -37,5 +37,6 @@ def payloads(df: DataFrame, key: str, raw: str) -> tuple[DataFrame, DataFrame]:
 
 def coverage_log(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The log's rows, and one row that counts the lines which are no JSON."""
-    read = spark.read.schema(f"{LOG}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(list(paths))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    read = spark.read.text(list(paths)).select(F.from_json("value", f"{LOG}, _bad string", options).alias("r")).select("r.*")
     return read.where("_bad IS NULL").drop("_bad"), read.agg(F.count("_bad").alias("bad_lines"))
