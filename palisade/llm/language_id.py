@@ -1,89 +1,129 @@
 """Operator 8: language identification by prediction by partial matching.
 
-Each language has a context tree over bytes: contexts of up to ORDER preceding bytes within the
-white-space delimited word (a space stands before and after it), with counts of the byte that follows.
-A byte costs its share at the longest known context, after the escapes from longer ones (method C:
-escape d / (n + d) with n counts of d different bytes); below the empty context all 256 bytes are
-alike. The counts are frozen once trained, so a word's code length is a constant and is kept in a
-bounded cache; a text's code length is the exact sum over all its words.
+Each language has a context tree over bytes: contexts of up to ORDER bytes, with counts of the byte that follows.
+A byte costs its share at the longest known context, after the escapes from longer known ones (method C: escape
+d / (n + d), where n counts of d different bytes were seen); below the empty context all 256 bytes are alike.
+Contexts seen once are left out. The counts are frozen once trained, so a byte's code length after a known context
+is a constant for each language: the trees are laid out as one table from context and byte to the code lengths in
+all languages, and a text's exact code lengths are sums of table rows. Bytes beyond the table go down the shorter
+contexts in the same way, escapes added.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, batches, columns
+from .common import batches, columns, slices
+from .hashing import Table
 
 ORDER = 4
-#: Bounds of the training sample and of the models that are broadcast.
+#: Bounds of the training sample and of the models: documents a language, contexts with a byte a language, languages.
 TRAIN_DOCS = 200
-TRAIN_WORDS = 20_000
-LANGUAGES = 256
-CACHED = 200_000
-LONGEST_CACHED = 48
+TRAIN_GRAMS = 200_000
+LANGUAGES = 64
 UNKNOWN = "und"
-SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
+#: What stands before a text's first byte.
+BEGIN = b" " * ORDER
 #: Any character of a word that isn't a digit or an underscore: a cheap first look for letters.
 MAYBE_LETTER = re.compile(r"[^\W\d_]")
 
 
-class ContextTree:
-    """Frozen code lengths in bits: of a byte after a known context, and of leaving that context."""
-
-    def __init__(self, words: dict[bytes, int], order: int = ORDER):
-        counts: dict[bytes, dict[int, int]] = defaultdict(lambda: defaultdict(int))
-        for word, n in words.items():
-            text = b" " + word + b" "
-            for i in range(1, len(text)):
-                for k in range(min(order, i) + 1):
-                    counts[text[i - k : i]][text[i]] += n
-        self.order = order
-        self.bits: dict[bytes, float] = {}
-        self.escape: dict[bytes, float] = {}
-        for context, after in counts.items():
-            n, d = sum(after.values()), len(after)
-            if n < 2 and context:
-                continue  # seen once: no better than the shorter context
-            self.escape[context] = -math.log2(d / (n + d))
-            for byte, c in after.items():
-                self.bits[context + bytes((byte,))] = -math.log2(c / (n + d))
-
-    def code_length(self, word: bytes) -> float:
-        text, total = b" " + word + b" ", 0.0
-        bits, escape, order = self.bits, self.escape, self.order
-        for i in range(1, len(text)):
-            for k in range(min(order, i), -1, -1):
-                found = bits.get(text[i - k : i + 1])
-                if found is not None:
-                    total += found
-                    break
-                total += escape.get(text[i - k : i], 0.0)
-            else:
-                total += 8.0
-        return total
-
-
-class CodeLengths(dict):
-    """word -> its code length in each language; CACHED words at most."""
-
-    def __init__(self, trees: list[ContextTree]):
-        super().__init__()
-        self.trees = trees
-
-    def __missing__(self, word: bytes) -> list[float]:
-        found = [tree.code_length(word) for tree in self.trees]
-        if len(word) <= LONGEST_CACHED:
-            if len(self) >= CACHED:
-                self.clear()
-            self[word] = found
-        return found
+def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte of the texts with the ORDER bytes before it, as a number; where each text ends."""
+    data = np.frombuffer(b"".join(BEGIN + x for x in texts), np.uint8).astype(np.int64)
+    grams = np.zeros(max(0, len(data) - ORDER), np.int64)
+    for j in range(ORDER + 1):
+        grams = (grams << 8) | data[j : j + len(grams)]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    keep = np.ones(len(grams), bool)
+    gaps = np.cumsum(sizes + ORDER)[:-1] - ORDER
+    for j in range(ORDER):
+        keep[gaps + j] = False
+    return grams[keep], np.cumsum(sizes)
+
+
+def _tagged(m: int, gram: np.ndarray, context: bool = False) -> np.ndarray:
+    """Numbers of m bytes apart from those of other lengths, and contexts from contexts with a byte."""
+    return ((m + 8 * context) << 8 * (ORDER + 1)) | gram
+
+
+class _Tree:
+    """One language: for m = 1 to ORDER + 1 the known contexts of m - 1 bytes and those with a byte."""
+
+    def __init__(self, gram: np.ndarray, count: np.ndarray):
+        self.bits, self.escape = {}, {}
+        for m in range(1, ORDER + 2):
+            own, at = np.unique(gram & ((1 << 8 * m) - 1), return_inverse=True)
+            c = np.bincount(at, count)
+            context, where = np.unique(own >> 8, return_inverse=True)
+            n, d = np.bincount(where, c), np.bincount(where)
+            known = (n >= 2) | (m == 1)
+            self.escape[m] = context[known], -np.log2(d / (n + d))[known]
+            self.bits[m] = own[known[where]], -np.log2(c / (n + d)[where])[known[where]]
+
+    @staticmethod
+    def _find(pair: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known, values = pair
+        if not len(known):
+            return np.zeros(len(keys), bool), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = known[at] == keys
+        return hit, np.where(hit, values[at], 0.0)
+
+    def escapes(self, context: np.ndarray, m: int) -> np.ndarray:
+        return self._find(self.escape[m], context)[1]
+
+    def code_length(self, gram: np.ndarray, m: int) -> np.ndarray:
+        """Of the last byte after the m - 1 before it."""
+        if m == 0:
+            return np.full(len(gram), 8.0)
+        hit, bits = self._find(self.bits[m], gram)
+        rest = self.escapes(gram >> 8, m) + self.code_length(gram & ((1 << 8 * (m - 1)) - 1), m - 1)
+        return np.where(hit, bits, rest)
+
+
+class Models:
+    """The frozen trees of all languages as one table of code lengths."""
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.names = sorted(counts)
+        trees = [_Tree(*counts[x]) for x in self.names]
+        keys, rows = [], []
+        for m in range(1, ORDER + 2):
+            for part, context in (("bits", False), ("escape", True)):
+                own = np.unique(np.concatenate([getattr(t, part)[m][0] for t in trees])) if trees else np.empty(0, np.int64)
+                keys.append(_tagged(m, own, context))
+                rows.append(np.stack([t.escapes(own, m) if context else t.code_length(own, m) for t in trees], axis=1) if trees else np.empty((0, 0)))
+        keys = np.concatenate(keys)
+        self.table = Table(keys, np.arange(len(keys), dtype=np.int32), -1)
+        self.rows = np.concatenate(rows).astype(np.float32)
+
+    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
+        """In bits: a row for each text, a column for each language."""
+        grams, ends = _grams(texts)
+        total = np.zeros((len(grams), len(self.names)), np.float32)
+        left = np.arange(len(grams))
+        for m in range(ORDER + 1, 0, -1):
+            own = grams[left] & ((1 << 8 * m) - 1)
+            at = self.table.get(_tagged(m, own))
+            hit = at >= 0
+            total[left[hit]] += self.rows[at[hit]]
+            left, own = left[~hit], own[~hit]
+            escape = self.table.get(_tagged(m, own >> 8, True))
+            known = escape >= 0
+            total[left[known]] += self.rows[escape[known]]
+        total[left] += np.float32(8.0)
+        sums = np.zeros((len(texts), len(self.names)))
+        full = np.flatnonzero(np.diff(np.r_[0, ends]) > 0)
+        if len(full):
+            sums[full] = np.add.reduceat(total, np.r_[0, ends[:-1]][full], axis=0, dtype=np.float64)
+        return sums
 
 
 def has_letter(text: str) -> bool:
@@ -91,93 +131,81 @@ def has_letter(text: str) -> bool:
     return found is not None and (found[0].isalpha() or any(unicodedata.category(c)[0] == "L" for c in text))
 
 
+def _counted(parts):
+    for batch in parts:
+        for texts in slices(batch.column("text")):
+            gram, n = np.unique(_grams(texts)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+
 def train(
-    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = TRAIN_DOCS, words: int = TRAIN_WORDS
-) -> dict[str, ContextTree]:
-    """A tree for each language, from the whole texts of a bounded sample: the `docs` documents of each
-    language with the smallest hash of id and text, their `words` most frequent words, LANGUAGES
-    languages at most (the most frequent). Rows with a null text or language teach nothing."""
+    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = TRAIN_DOCS, grams: int = TRAIN_GRAMS
+) -> Models:
+    """Models from the whole texts of a bounded sample: the `docs` documents of each language with the smallest
+    hash of id and text, their `grams` most frequent contexts with a byte, LANGUAGES languages at most (the most
+    frequent). Rows with a null text or language teach nothing."""
     rows = columns(labelled, doc_id=id_col, text=text_col, lang=lang_col).where("text IS NOT NULL AND lang IS NOT NULL")
     rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
     langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    trees = {}
-    for lang in sorted(langs):
+    counts = {}
+    for lang in langs:
         own = rows.where(F.col("lang") == lang)
         # The hash alone is sorted first: the texts of the sample are read once it is known.
         last = own.select("h").orderBy("h").limit(docs).agg(F.max("h")).first()[0]
-        counted = (
-            own.where(F.col("h") <= last)
-            .select(F.explode(F.expr(rf"regexp_extract_all(text, '{WORD}', 0)".replace("\\", "\\\\"))).alias("word"))
-            .groupBy("word")
-            .count()
-            .orderBy(F.desc("count"), "word")
-            .limit(words)
-            .collect()
-        )
-        trees[lang] = ContextTree({r[0].encode(): r[1] for r in counted if len(r[0]) <= 256})
-    return trees
-
-
-def predictor(trees: dict[str, ContextTree]):
-    """text -> (language, score, bits a byte), with a cache of its own."""
-    names = sorted(trees)
-    lengths = CodeLengths([trees[x] for x in names])
-
-    def predict(text: str | None) -> tuple[str, float, float | None]:
-        if not text or not names or not has_letter(text):
-            return UNKNOWN, 0.0, None
-        raw = text.encode()
-        total = [math.fsum(x) for x in zip(*map(lengths.__getitem__, SPLIT.findall(raw)), strict=True)]
-        best = min(range(len(names)), key=total.__getitem__)
-        return names[best], 1 / sum(2.0 ** max(-1000.0, total[best] - x) for x in total), total[best] / len(raw)
-
-    return predict
-
-
-def identify(df: DataFrame, trees: dict[str, ContextTree], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        sample = own.where(F.col("h") <= last).select("text").mapInArrow(_counted, "gram long, n long")
+        found = sample.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(grams).toArrow()
+        counts[lang] = found.column("gram").to_numpy(), found.column("n").to_numpy()
+    return Models(counts)
+
+
+def predictions(models: Models, texts: pa.Array) -> list[tuple[str, float, float | None]]:
+    """(language, score, bits a byte) of each text."""
+    found: list = []
+    for part in slices(texts):
+        for raw, total in zip(part, models.code_lengths(part), strict=True):
+            if not models.names or not has_letter(raw.decode()):
+                found.append((UNKNOWN, 0.0, None))
+                continue
+            best = int(total.argmin())
+            score = 1 / np.exp2(np.maximum(total[best] - total, -1000.0)).sum()
+            found.append((models.names[best], float(score), float(total[best] / len(raw))))
+    return found
+
+
+def identify(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score and bits_per_byte of each row.
 
     lang_pred has the shortest code length for the whole text (a tie: the first name); score is its
     posterior probability with all languages alike beforehand. Null texts, texts without a letter and
-    any text when there is no tree are UNKNOWN with score 0. Ids may be null or repeated: a row for
+    any text when there is no model are UNKNOWN with score 0. Ids may be null or repeated: a row for
     each row. An empty table gives an empty table; other columns are not looked at.
     """
     docs = columns(df, doc_id=id_col, text=text_col)
-    models = docs.sparkSession.sparkContext.broadcast(trees)
-
-    def make():
-        predict = predictor(models.value)
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            lang, score, bits = zip(*(predict(x.as_py()) for x in batch.column("text")), strict=True) if batch.num_rows else ((), (), ())
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())],
-                ["doc_id", "lang_pred", "score", "bits_per_byte"],
-            )
+    sent = docs.sparkSession.sparkContext.broadcast(models)
 
-        return work
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lang, score, bits = zip(*predictions(sent.value, batch.column("text")), strict=True) if batch.num_rows else ((), (), ())
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())],
+            ["doc_id", "lang_pred", "score", "bits_per_byte"],
+        )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return batches(docs, make, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+    return batches(docs, lambda: work, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
-def keep_identified(df: DataFrame, trees: dict[str, ContextTree], text_col: str = "text", least: float = 0.5) -> DataFrame:
+def keep_identified(df: DataFrame, models: Models, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """df's rows, with all their columns, whose language is known with a score of `least` or more. Without any
-    tree nothing can be told and all rows stay."""
-    if not trees:
+    model nothing can be told and all rows stay."""
+    if not models.names:
         return df
-    models = df.sparkSession.sparkContext.broadcast(trees)
-
-    def make():
-        predict = predictor(models.value)
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = (predict(x.as_py()) for x in batch.column(text_col))
-            return batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found], pa.bool_()))
+    sent = df.sparkSession.sparkContext.broadcast(models)
 
-        return work
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = predictions(sent.value, batch.column(text_col))
+        return batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found], pa.bool_()))
 
-    return batches(df, make, df.schema)
+    return batches(df, lambda: work, df.schema)
 
 
 def held_out(doc_id: str = "doc_id"):
