@@ -94,10 +94,10 @@ QUERIES = {
 #: Exact results that SQL can state, if slowly; the other queries are held against brute force in tests/llm.
 ORACLES: dict[str, str] = {
     "op3_suffix_dedup": """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
-w AS (SELECT doc_id, s, hash(substr(x, 2 * s + 1, 400)) AS h FROM (SELECT doc_id, x, unnest(range(0, n - 199)) AS s FROM d)),
-dup AS (SELECT doc_id, s FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
-run AS (
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, s, hash(substr(x, 2 * s + 1, 400)) AS h FROM (SELECT doc_id, x, unnest(range(0, n - 199)) AS s FROM d)),
+dup AS MATERIALIZED (SELECT doc_id, s FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+run AS MATERIALIZED (
   SELECT doc_id, min(s) AS a, max(s) + 200 AS b FROM (
     SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM (
       SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 1 ELSE 0 END AS fresh FROM dup))
