@@ -4,10 +4,12 @@
    hash space, the magnitude of its most frequent shingle. Shingles are ordered by it, rare ones first.
 2. Prefixes: sets with similarity >= s share a shingle among the first n - ceil(s * n) + 1 of each, in any
    common order. Only prefixes are shuffled, and of those only shingles that several sets hold go on.
-3. Groups: each set is compared with one leader, the smallest set that shares its prefix shingles most
-   often; verified links make groups of similar sets, so that a large family is one connected group.
-4. Token-group matrix: for each shared prefix shingle, which groups hold it, with bounds on their sizes and
-   positions. A set is a candidate for another group only where these bounds allow the similarity.
+3. Groups: each set is compared with the one leader that shares its prefix shingles most often. The leader of a
+   shingle is the set that has it earliest in its order: it has the fewest shingles of its own, as the original
+   of a family of copies does. Verified links make groups of similar sets; a second round holds sets against the
+   largest group that shares their shingles. So a large family becomes one connected group.
+4. Token-group matrix: for each prefix shingle that several groups share, which groups hold it, with bounds on
+   their sizes and positions. A set is a candidate for another group only where these bounds allow the similarity.
 5. A candidate group is opened chunk by chunk: a set whose overlap with the union of the chunk's shingles is
    too small is turned away at once, the others are compared with its members up to the first link, as
    all members are connected already. Nothing is lost: links between groups are all found, links within
@@ -59,7 +61,7 @@ def _ranges(parts, width, bits):
         for own in shingle_sets(batch.column(0), width):
             held.append((own >> np.uint64(32)).astype(np.uint32))
             n += len(own)
-        if n > 8_000_000:
+        if n > 3_000_000:
             yield out()
             held, n = [], 0
     if held:
@@ -118,7 +120,7 @@ def _prefixes(parts, table, width, share):
             sizes.append(np.full(len(first), n, np.int32))
             places.append(np.arange(len(first), dtype=np.int32))
             salts.append((np.uint64(node & 0xFFFFFFFFFFFFFFFF) % deal).astype(np.int32))
-        if len(seen) > 1_000_000:
+        if len(seen) > 200_000:
             seen.clear()
         if tokens:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, sizes, places, salts)], ["token", "node", "n", "place", "salt"])
@@ -149,26 +151,35 @@ def _open(key, members: pa.Table, queries: pa.Table, width, share) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _links(asked: DataFrame, members: DataFrame, texts: DataFrame, width: int, share: float) -> DataFrame:
-    """a, b: verified links from asked (node, goal) into groups, members (goal, node). Groups are opened
+def _links(asked: DataFrame, members: DataFrame, docs: DataFrame, known: DataFrame, width: int, share: float) -> DataFrame:
+    """a, b: verified links from asked (node, goal) into groups, members (node, goal). Groups are opened
     by chunks and queries dealt by parts, so that no task holds more than CHUNK and QUERIES or so."""
     chunks = F.greatest(F.ceil(F.col("size") / CHUNK), F.lit(1))
     parts = F.greatest(F.ceil(F.col("asking") / QUERIES), F.lit(1))
     goals = asked.groupBy("goal").agg(F.count("*").alias("asking")).join(members.groupBy("goal").agg(F.count("*").alias("size")), "goal")
     goals = goals.select("goal", chunks.cast("int").alias("chunks"), parts.cast("int").alias("parts"))
-    left = (
-        members.join(goals, "goal")
-        .select("goal", "node", F.pmod(F.hash("node"), "chunks").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        .join(texts, "node")
-    )
-    right = (
-        asked.join(goals, "goal")
-        .select("goal", "node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.hash("node"), "parts").alias("part"))
-        .join(texts, "node")
-    )
+    chunk, part = F.pmod(F.hash("node"), "chunks"), F.pmod(F.hash("node"), "parts")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    units = members.join(goals, "goal").select("goal", "node", chunk.alias("chunk"), every("parts").alias("part"), F.lit(False).alias("asks"))
+    units = units.unionByName(asked.join(goals, "goal").select("goal", "node", every("chunks").alias("chunk"), part.alias("part"), F.lit(True).alias("asks")))
+    placed = stored(_with_texts(units, docs, known, width))
     unit = ("goal", "chunk", "part")
-    left, right = (x.select(*(F.col(c).alias(c) for c in (*unit, "node", "text"))) for x in (left, right))
-    return left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInArrow(partial(_open, width=width, share=share), "a long, b long")
+    left, right = (placed.where(F.col("asks") == x).select(*(F.col(c).alias(c) for c in (*unit, "node", "text"))) for x in (False, True))
+    return stored(left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInArrow(partial(_open, width=width, share=share), "a long, b long"))
+
+
+def _with_texts(units: DataFrame, docs: DataFrame, known: DataFrame, width: int) -> DataFrame:
+    """units (by node) with the text of one row for each node; rows of no unit are turned away first."""
+    first = known.join(units.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    own = stored(units.join(first.where("doc_id IS NOT NULL"), "node"))
+
+    def with_node(batch):
+        nodes = [_node(x) if len(x) else None for x in shingle_sets(batch.column("text"), width)]
+        return batch.append_column("node", pa.array(nodes, pa.int64()))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    some = likely(docs, "doc_id", own.select("doc_id"), then=with_node, schema=f"doc_id {kind}, text string, node long")
+    return some.join(own, ["doc_id", "node"])
 
 
 def _identities(parts, width):
@@ -196,63 +207,59 @@ def join_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select("text").mapInArrow(partial(_prefixes, table=levels, width=width, share=share), "token long, node long, n int, place int, salt int")
     alike = Window.partitionBy("token", "salt")
     shared = stored(
-        rows.withColumn("leader", F.min("node").over(alike))
+        rows.withColumn("leader", F.min(F.struct("place", "node")).over(alike)["node"])
+        .withColumn("least", F.min("node").over(alike))
         .withColumn("last", F.max("node").over(alike))
-        .where((F.col("leader") < F.col("last")) | _dealt())
-        .drop("last")
+        .where((F.col("least") < F.col("last")) | (F.shiftright("token", 56) > HOT))
+        .select("token", "node", "n", "place", "leader")
         .dropDuplicates(["token", "node"])
     )
-    texts = _texts_of(docs, known, shared, width)
-
-    # Groups: each set and the leader that it meets most often; leaders of a dealt token meet each other.
-    met = shared.where("node <> leader").select("node", "leader")
-    dealt = shared.where(_dealt()).select("token", F.col("leader").alias("node")).distinct()
-    top = dealt.groupBy("token").agg(F.min("node").alias("leader"))
-    met = met.unionByName(dealt.join(top, "token").where("node <> leader").select("node", "leader"))
-    best = met.groupBy("node", "leader").count().groupBy("node").agg(F.max(F.struct("count", (-F.col("leader")).alias("x"))).alias("best"))
-    asked = stored(best.select("node", (-F.col("best.x")).alias("goal")))
-    leaders = asked.select("goal").distinct().withColumn("node", F.col("goal"))
-    found = stored(_links(asked, leaders, texts, width, share))
+    percent = round(share * 100)
+    # Of the prefix, the part that a leader has to share to be asked: a guess, as asking is no condition.
+    often = 5 * F.col("times") >= F.col("n") - F.ceil(F.col("n") * share)
+
+    # Round one: sets and leaders.
+    met = shared.where("node <> leader").groupBy("node", F.col("leader").alias("goal"), "n").agg(F.count("*").alias("times"))
+    asked = stored(_best(met.where(often)))
+    leaders = asked.select("goal").distinct().select(F.col("goal").alias("node"), "goal")
+    found = _links(asked, leaders, docs, known, width, share)
+    held = shared.drop("leader").join(components(found), "node", "left").withColumn("goal", F.coalesce("component", "node")).drop("component")
+    held = _straddling(held)
+
+    # Round two: sets and the largest group around them.
+    met = held.where("goal <> top").groupBy("node", F.col("top").alias("goal"), "n").agg(F.count("*").alias("times"))
+    asked = stored(_best(met.where(often)))
+    members = held.select("node", "goal").distinct()
+    found = found.unionByName(_links(asked, members.join(asked.select("goal").distinct(), "goal", "left_semi"), docs, known, width, share))
     grouped = components(found)
+    held = held.drop("goal", "top", "size").join(grouped, "node", "left").withColumn("goal", F.coalesce("component", "node")).drop("component")
+    held = _straddling(held)
 
-    percent = round(share * 100)
     # The matrix: which groups hold a shared token, and the bounds of what they hold there.
-    grouped = shared.select("node").distinct().join(grouped, "node", "left").select("node", F.coalesce("component", "node").alias("goal"))
-    sizes = grouped.groupBy("goal").agg(F.count("*").alias("size"))
-    grouped = stored(grouped.join(sizes, "goal"))
-    held = shared.join(grouped, "node")
-    matrix = held.groupBy("token", "goal", "size").agg(F.min("n").alias("least"), F.max(100 * F.col("n") - (100 + percent) * F.col("place")).alias("reach"))
-    several = matrix.groupBy("token").agg(F.count("*").alias("goals")).where("goals > 1").select("token")
-    matrix = stored(matrix.join(several, "token").select("token", F.col("goal").alias("other"), F.col("size").alias("other_size"), "least", "reach"))
+    reach = F.max(100 * F.col("n") - (100 + percent) * F.col("place"))
+    matrix = held.groupBy("token", F.col("goal").alias("other"), F.col("size").alias("other_size")).agg(F.min("n").alias("least"), reach.alias("reach"))
     # overlap >= percent / (100 + percent) * (n + other n), and overlap <= n - place on either side
     near = ((100 + percent) * (F.col("n") - F.col("place")) >= percent * (F.col("n") + F.col("least"))) & (F.col("reach") >= percent * F.col("n"))
     smaller = F.struct(F.col("size"), F.col("goal")) < F.struct(F.col("other_size"), F.col("other"))
-    candidates = stored(
-        held.join(matrix, "token").where(smaller & near).select("node", F.col("other").alias("goal")).distinct()
-    )
-    more = stored(_links(candidates, grouped.select("goal", "node").join(candidates.select("goal").distinct(), "goal"), texts, width, share))
-    whole = components(found.unionByName(more))
+    candidates = stored(held.join(matrix, "token").where(smaller & near).select("node", F.col("other").alias("goal")).distinct())
+    singles = candidates.select(F.col("goal").alias("node")).distinct().join(grouped, "node", "left_anti").select("node", F.col("node").alias("goal"))
+    members = grouped.withColumnRenamed("component", "goal").join(candidates.select("goal").distinct(), "goal", "left_semi").select("node", "goal")
+    whole = components(found.unionByName(_links(candidates, members.unionByName(singles), docs, known, width, share)))
 
     named = known.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.where("node IS NOT NULL").groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("component_id"))
     return named.join(least, named["component"] == least["of"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _dealt():
-    """Tokens that are dealt by salt: a part of one may hold a single set while others hold more."""
-    return F.shiftright("token", 56) > HOT
+def _best(met: DataFrame) -> DataFrame:
+    """node, goal: the goal that a node meets most often."""
+    return met.groupBy("node").agg(F.max(F.struct("times", "goal")).alias("best")).select("node", "best.goal")
 
 
-def _texts_of(docs: DataFrame, known: DataFrame, shared: DataFrame, width: int) -> DataFrame:
-    """node, text of one row for each node that shares a token."""
-    first = known.join(shared.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    first = stored(first.where("doc_id IS NOT NULL"))
-
-    def with_node(parts):
-        for batch in parts:
-            nodes = [_node(x) if len(x) else None for x in shingle_sets(batch.column("text"), width)]
-            yield batch.append_column("node", pa.array(nodes, pa.int64()))
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    some = likely(docs, "doc_id", first.select("doc_id")).mapInArrow(with_node, f"doc_id {kind}, text string, node long")
-    return stored(some.join(first, ["doc_id", "node"]).select("node", "text").dropDuplicates(["node"]))
+def _straddling(held: DataFrame) -> DataFrame:
+    """Rows of held (token, node, n, place, goal) whose token several groups hold, with the size of their group
+    as far as it holds any shared token, and the token's largest group as top."""
+    sizes = held.select("node", "goal").distinct().groupBy("goal").agg(F.count("*").alias("size"))
+    held = stored(held.join(sizes, "goal"))
+    tokens = held.groupBy("token").agg(F.min("goal").alias("a"), F.max("goal").alias("b"), F.max(F.struct("size", "goal")).alias("t"))
+    return stored(held.join(tokens.where("a < b").select("token", F.col("t.goal").alias("top")), "token"))

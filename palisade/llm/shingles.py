@@ -6,8 +6,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
+from .common import slices
+
 WIDTH = 5
-CACHED = 400_000
+#: Word hashes that a worker keeps.
+CACHED = 150_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,7 +40,11 @@ def word_hashes(text: str) -> np.ndarray:
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
     """For each text (null: empty) its distinct shingles of `width` words, sorted: A-Z lower-cased, words
     parted by ASCII white space. Fewer words make one shingle; no word makes none."""
-    words = [(x or b"").lower().split() for x in texts.cast(pa.binary()).to_pylist()]
+    return [x for part in slices(texts) for x in _sets(part, width)]
+
+
+def _sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    words = [x.lower().split() for x in texts]
     counts = np.fromiter(map(len, words), np.int64, len(words))
     ids = np.fromiter((_HASHES[w] for own in words for w in own), np.uint64, int(counts.sum()))
     ends = np.cumsum(counts)
