@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, likely, stored
+from .common import columns, likely, small_batches, stored
 from .graph import components
-from .shingles import WIDTH, shingle_sets
+from .shingles import WIDTH, shingle_sets, sliced_sets
 
 #: Cells of the rarity table (one byte each), as a power of two: its fixed size.
 CELL_BITS = 24
@@ -58,12 +58,13 @@ def _ranges(parts, width, bits):
         return pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], ["r", "blob"])
 
     for batch in parts:
-        for own in shingle_sets(batch.column(0), width):
-            held.append((own >> np.uint64(32)).astype(np.uint32))
-            n += len(own)
-        if n > 3_000_000:
-            yield out()
-            held, n = [], 0
+        for sets in sliced_sets(batch.column(0), width):
+            for own in sets:
+                held.append((own >> np.uint64(32)).astype(np.uint32))
+                n += len(own)
+            if n > 2_000_000:
+                yield out()
+                held, n = [], 0
     if held:
         yield out()
 
@@ -106,24 +107,25 @@ def _prefixes(parts, table, width, share):
     """A row for each prefix shingle of each set that is new to the task."""
     levels, seen = table.value, set()
     for batch in parts:
-        tokens, nodes, sizes, places, salts = [], [], [], [], []
-        for own in shingle_sets(batch.column(0), width):
-            if not len(own) or (node := _node(own)) in seen:
-                continue
-            seen.add(node)
-            n = len(own)
-            level = levels[(own >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64)
-            first = np.sort((level << np.uint64(56)) | (own >> np.uint64(8)))[: n - _needed(n, share) + 1]
-            deal = np.uint64(1) << np.maximum(first >> np.uint64(56), np.uint64(HOT)) - np.uint64(HOT)
-            tokens.append(first.astype(np.int64))
-            nodes.append(np.full(len(first), node, np.int64))
-            sizes.append(np.full(len(first), n, np.int32))
-            places.append(np.arange(len(first), dtype=np.int32))
-            salts.append((np.uint64(node & 0xFFFFFFFFFFFFFFFF) % deal).astype(np.int32))
-        if len(seen) > 200_000:
-            seen.clear()
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, sizes, places, salts)], ["token", "node", "n", "place", "salt"])
+        for sets in sliced_sets(batch.column(0), width):
+            tokens, nodes, sizes, places, salts = [], [], [], [], []
+            for own in sets:
+                if not len(own) or (node := _node(own)) in seen:
+                    continue
+                seen.add(node)
+                n = len(own)
+                level = levels[(own >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64)
+                first = np.sort((level << np.uint64(56)) | (own >> np.uint64(8)))[: n - _needed(n, share) + 1]
+                deal = np.uint64(1) << np.maximum(first >> np.uint64(56), np.uint64(HOT)) - np.uint64(HOT)
+                tokens.append(first.astype(np.int64))
+                nodes.append(np.full(len(first), node, np.int64))
+                sizes.append(np.full(len(first), n, np.int32))
+                places.append(np.arange(len(first), dtype=np.int32))
+                salts.append((np.uint64(node & 0xFFFFFFFFFFFFFFFF) % deal).astype(np.int32))
+            if len(seen) > 200_000:
+                seen.clear()
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, sizes, places, salts)], ["token", "node", "n", "place", "salt"])
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -199,6 +201,11 @@ def join_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are not looked at.
     """
     docs = columns(df, doc_id=id_col, text=text_col)
+    with small_batches(docs.sparkSession):
+        return _joined(docs, width, share)
+
+
+def _joined(docs: DataFrame, width: int, share: float) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = stored(docs.mapInArrow(partial(_identities, width=width), f"doc_id {kind}, n_shingles long, node long"))
@@ -207,7 +214,7 @@ def join_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select("text").mapInArrow(partial(_prefixes, table=levels, width=width, share=share), "token long, node long, n int, place int, salt int")
     alike = Window.partitionBy("token", "salt")
     shared = stored(
-        rows.withColumn("leader", F.min(F.struct("place", "node")).over(alike)["node"])
+        rows.withColumn("leader", F.min_by("node", "place").over(alike))
         .withColumn("least", F.min("node").over(alike))
         .withColumn("last", F.max("node").over(alike))
         .where((F.col("least") < F.col("last")) | (F.shiftright("token", 56) > HOT))

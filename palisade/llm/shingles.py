@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -10,7 +12,7 @@ from .common import slices
 
 WIDTH = 5
 #: Word hashes that a worker keeps.
-CACHED = 150_000
+CACHED = 100_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,7 +42,13 @@ def word_hashes(text: str) -> np.ndarray:
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
     """For each text (null: empty) its distinct shingles of `width` words, sorted: A-Z lower-cased, words
     parted by ASCII white space. Fewer words make one shingle; no word makes none."""
-    return [x for part in slices(texts) for x in _sets(part, width)]
+    return [x for part in sliced_sets(texts, width) for x in part]
+
+
+def sliced_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[list[np.ndarray]]:
+    """The same, some texts at a time."""
+    for part in slices(texts):
+        yield _sets(part, width)
 
 
 def _sets(texts: list[bytes], width: int) -> list[np.ndarray]:
