@@ -12,7 +12,7 @@ from .common import slices
 
 WIDTH = 5
 #: Word hashes that a worker keeps.
-CACHED = 100_000
+CACHED = 250_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
