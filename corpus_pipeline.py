@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.llm.common import likely, stored, table
@@ -21,13 +21,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_identified(docs.select(*COLUMNS), train(docs.where(~held_out())))
 
 
+def row_key() -> Column:
+    """What tells rows apart where ids are null or repeated: the id (null last), then 64-bit hashes of the text and
+    of the rest. It depends on the row alone, so it can be made anew; rows that share it are equal."""
+    rest = (x for c in COLUMNS[2:] for x in (F.col(c), F.col(c).isNull()))
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), F.xxhash64(*rest).alias("rest"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays. Rows without an id stay."""
-    docs = docs.select(*COLUMNS)
-    gone = stored(join_similar(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
-    marked = likely(docs, "doc_id", gone, rest=True)
-    doubtful = marked.where("likely").join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    return marked.where("NOT likely").unionByName(doubtful).select(*COLUMNS)
+    """Of each group of linked documents one row stays: the first by row_key, so the one with the smallest id, and one
+    with an id before those without. Of equal rows one stays. Texts without a word link with nothing: all stay."""
+    docs = docs.select(*COLUMNS).withColumn("row", row_key())
+    found = join_similar(docs, id_col="row").withColumn("gone", F.expr("doc_id <> component_id"))
+    found = found.groupBy(F.col("doc_id").alias("key"), "gone", F.expr("n_shingles > 0").alias("linked")).agg(F.count("*").alias("n"))
+    listed = stored(found.where("gone OR (linked AND n > 1)").select("key", "gone"))
+    marked = likely(docs, "row", listed.select("key"), rest=True)
+    doubtful = marked.where("likely")
+    unlisted = doubtful.join(listed, F.col("row") == F.col("key"), "left_anti")
+    repeated = doubtful.join(listed.where("NOT gone"), F.col("row") == F.col("key"), "left_semi").select(*COLUMNS).distinct()
+    return marked.where("NOT likely").unionByName(unlisted).select(*COLUMNS).unionByName(repeated)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +49,13 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes it."""
-    copies = mix(docs).where("copies > 0").select(F.col("doc_id").alias("id"), "copies")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("id")))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Each row comes as often as the mix takes it; equal rows divide what the mix takes of them all."""
+    docs = docs.select(*COLUMNS).withColumn("row", row_key())
+    copies = mix(docs, id_col="row").groupBy(F.col("doc_id").alias("key")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    taken = docs.join(copies.where("copies > 0"), F.col("row") == F.col("key"))
+    taken = taken.withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy("row")))
+    taken = taken.withColumn("own", F.expr("cast(copies div n + if(nth <= copies % n, 1, 0) as int)")).where("own > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("own")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import os
+import random
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from palisade.llm.common import stored
+from palisade.llm.mixing import mix
 
 from .test_near_and_repeats import brute_components, brute_cut
 
@@ -43,6 +46,41 @@ def test_stages_against_brute_force(spark):
     assert all(r["n"] == copies[r["doc_id"]] * r["of"] for r in whole)
 
 
+def counted(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def test_one_row_of_each_group_stays(spark, odd_ids):
+    r = random.Random(5)
+    text = lambda k: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(k))
+    again, copied, third, alone, nobody = (text(60) for _ in range(5))
+    rows = [(1, again)] * 3 + [(None, copied), (2, copied), (None, copied), (3, third), (7, third), (7, alone), (None, nobody), (None, nobody), (9, " "), (9, " ")]
+    docs = spark.createDataFrame([(i, x, "en", "a", len(x)) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    single = stored(P.near_copies(spark, docs, DATA))
+    want = Counter({(1, again): 1, (2, copied): 1, (3, third): 1, (7, alone): 1, (None, nobody): 1, (9, " "): 2})
+    assert counted(single.select("doc_id", "text")) == want
+    assert counted(P.repeats(spark, single, DATA).select("doc_id", "text")) == want
+    left = P.near_copies(spark, odd_ids, DATA).select("doc_id", "text")
+    assert counted(left) == {(1, "one two three four five six"): 1, (1, "other"): 1, (None, None): 1}
+
+
+def test_row_keys_tell_nulls_apart(spark):
+    rows = [(1, "some words here", *x) for x in (("en", None, 5), (None, "en", 5), ("en", None, 5), ("en", "en", None))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert P.near_copies(spark, docs, DATA).count() == 1
+    assert docs.select(P.row_key().alias("row")).distinct().count() == 3
+
+
+def test_mixture_of_repeated_ids(spark, odd_ids):
+    rows = [(7, f"words {i} here", "en", "a", 1) for i in range(6)] + [(None, "same again", "en", "a", 1)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for given in (docs, odd_ids):
+        taken, of = counted(P.mixture(spark, given, DATA)), counted(given)
+        assert set(taken) <= set(of) and all(n <= 2 * of[x] for x, n in taken.items())
+        words = sum(len(x[1].split()) * n for x, n in taken.items())
+        assert words == sum(x["taken"] for x in mix(given.withColumn("row", P.row_key()), id_col="row").collect())
+
+
 def test_nothing_else_imports_this_package():
     root = Path(__file__).parents[2]
     others = [p for p in root.joinpath("palisade").rglob("*.py") if "llm" not in p.relative_to(root).parts]
