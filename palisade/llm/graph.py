@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node that links lead to) for each node of links (a, b).
 
-    Each round a node takes the smallest label around it and then that label's own label, so the rounds
-    are few even along chains. A hub's labels are combined before they are shuffled."""
+    Each round the labels' labels around a node are taken by the node and by its own label (which hooks whole trees
+    onto smaller ones), then every label gives way to its own. So rounds grow with the logarithm of a chain's
+    length: 7 or 8 for 100 nodes, 18 or 19 for 100,000. Labels only get smaller; rounds go on until none does.
+    A hub's labels are combined before they are shuffled."""
     both = stored(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")))
-    for _ in range(most):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "near").alias("c"), F.col("component").alias("was"))
+    least = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
+    labels = stored(least.withColumn("above", F.col("label")))
+    while True:
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("above").alias("near"))
+        met = labels.join(near, labels["node"] == near["a"])
+        own = F.struct("node", F.least("label", "above", "near").alias("c"), F.col("label").alias("was"))
+        hooked = F.struct(F.col("label").alias("node"), F.col("near").alias("c"), F.lit(None).cast(labels.schema["label"].dataType).alias("was"))
+        step = met.select(F.explode(F.array(own, hooked)).alias("x")).groupBy("x.node").agg(F.min("x.c").alias("c"), F.max("x.was").alias("was"))
         step = stored(step)
-        above = step.select(F.col("node").alias("up"), F.col("c").alias("up_c"))
-        new = stored(step.join(above, step["c"] == above["up"]).select("node", F.col("up_c").alias("component"), (F.col("up_c") < F.col("was")).alias("moved")))
-        labels = new.select("node", "component")
-        if new.where("moved").limit(1).count() == 0:
-            return labels
-    raise RuntimeError(f"components did not settle in {most} rounds")
+        if step.where("c < was").limit(1).count() == 0:
+            return step.select("node", F.col("c").alias("component"))
+        up = step.select(F.col("node").alias("up"), F.col("c").alias("above"))
+        labels = stored(step.join(up, step["c"] == up["up"]).select("node", F.col("c").alias("label"), "above"))

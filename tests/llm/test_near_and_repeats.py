@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from palisade.llm.graph import components
 from palisade.llm.jaccard_join import join_similar
 from palisade.llm.suffix_dedup import anchors, cut_repeats, sorted_suffixes
 
@@ -67,6 +68,17 @@ def test_join_edges(empty, odd_ids):
     assert got == sorted(map(str, [(None, 2, 1), (1, 2, 1), (1, 1, 1), (1, 1, 1), (None, 0, None)]))
 
 
+def test_components_of_long_chains(spark):
+    r = random.Random(7)
+    nodes = [r.randrange(-(1 << 63), 1 << 63) for _ in range(1300)]
+    chain, small, star = nodes[:1000], nodes[1000:1100], nodes[1100:]
+    links = [*zip(chain, chain[1:], strict=False), *zip(small, small[1:], strict=False), *((star[0], x) for x in star), (small[1], small[0])]
+    df = spark.createDataFrame([x if r.random() < 0.5 else x[::-1] for x in links], "a long, b long").repartition(3)
+    got = {x["node"]: x["component"] for x in components(df).collect()}
+    assert got == {x: min(own) for own in (chain, small, star) for x in own}
+    assert components(df.where("false")).count() == 0
+
+
 def brute_cut(texts, width):
     raw = [(x or "").encode() for x in texts]
     times = defaultdict(int)
