@@ -5,11 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but space, tab, newline, vertical tab, form feed and return.
@@ -21,39 +20,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. Only a local master may do without one (tests): there a
+    temporary folder is made."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         own = spark.conf.get("spark.checkpoint.dir", None)
+        if not own and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder, and a cluster needs one")
         context.setCheckpointDir(own or tempfile.mkdtemp(prefix="palisade-"))
     return context.getCheckpointDir()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written once to the shared folder as Parquet and read back: later steps neither repeat its
-    work nor depend on an executor's disk."""
+    work nor depend on an executor's disk. Small row groups: writers hold one in memory."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
-    """While an operator runs its jobs: Arrow batches of so many rows at most, as texts may be long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    own = int(before)
-    spark.conf.set(name, str(min(own, rows) if own > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+#: Bytes of a stored row group, and of an Arrow batch that goes to Python.
+ROW_GROUP = 32 << 20
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches, as texts may be long. It only ever lowers the session's setting and is
+    not taken back, so operators that run at once don't disturb each other."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).lower().removesuffix("b")) > BATCH:
+        spark.conf.set(name, str(BATCH))
 
 
 def columns(df: DataFrame, **named: str) -> DataFrame:
     """Only the columns an operator works on, under the operator's own names, so that further
-    columns of the input cannot clash with them."""
+    columns of the input cannot clash with them. What goes to Python goes in small batches."""
+    small_batches(df.sparkSession)
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in named.items()))
 
 
@@ -110,7 +113,7 @@ def likely(
 
 
 #: Bytes of text that batch work looks at together.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def slices(texts: pa.Array, size: int = SLICE) -> Iterator[list[bytes]]:
@@ -125,3 +128,26 @@ def slices(texts: pa.Array, size: int = SLICE) -> Iterator[list[bytes]]:
             held, n = [], 0
     if held:
         yield held
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers spread over all 64 bits, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def most_frequent(counts: DataFrame, n: str, limit: int) -> Column:
+    """A condition on counts' column n that at most `limit` rows meet, those with the largest numbers: what may be
+    sent to every task. Found from a histogram with a row for each small number and each power of two."""
+    small = 1 << 10
+    level = F.when(F.col(n) < small, F.col(n)).otherwise(F.floor(F.log2(n)) + small).cast("long")
+    total, least = 0, None
+    for row in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect(), reverse=True):
+        total += row["rows"]
+        if total > limit:
+            break
+        least = row["level"]
+    if least is None:
+        return F.lit(False)
+    return F.col(n) >= (least if least < small else 1 << (least - small))

@@ -3,7 +3,7 @@
 Each language has a context tree over bytes: contexts of up to ORDER bytes, with counts of the byte that follows.
 A byte costs its share at the longest known context, after the escapes from longer known ones (method C: escape
 d / (n + d), where n counts of d different bytes were seen); below the empty context all 256 bytes are alike.
-Contexts seen once are left out. The counts are frozen once trained, so a byte's code length after a known context
+The counts are frozen once trained, so a byte's code length after a known context
 is a constant for each language: the trees are laid out as one table from context and byte to the code lengths in
 all languages, and a text's exact code lengths are sums of table rows. Bytes beyond the table go down the shorter
 contexts in the same way, escapes added.
@@ -16,17 +16,17 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, columns, slices
+from .common import SLICE, batches, columns, slices, small_batches
 from .hashing import Table
 
 ORDER = 4
-#: Bounds of the training sample and of the models: documents a language, contexts with a byte a language, languages.
+#: Bounds of the labelled rows that the models are fitted on: of a language, and of all together (with more languages
+#: than TRAIN_DOCS fit in, each has fewer rows, one at least).
 TRAIN_DOCS = 200
-TRAIN_GRAMS = 200_000
-LANGUAGES = 64
+TRAIN_ROWS = 4000
 UNKNOWN = "und"
 #: What stands before a text's first byte.
 BEGIN = b" " * ORDER
@@ -34,13 +34,29 @@ BEGIN = b" " * ORDER
 MAYBE_LETTER = re.compile(r"[^\W\d_]")
 
 
-def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Each byte of the texts with the ORDER bytes before it, as a number; where each text ends."""
-    data = np.frombuffer(b"".join(BEGIN + x for x in texts), np.uint8).astype(np.int64)
+def _pieces(texts: list[bytes], size: int = SLICE):
+    """Lists of (text's number, ORDER bytes before, bytes), some `size` bytes together: long texts come in pieces."""
+    held, n = [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, len(text), size):
+            before = text[at - ORDER : at] if at else BEGIN
+            held.append((i, before + text[at : at + size]))
+            n += len(held[-1][1])
+            if n >= size:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
+def _grams(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte after the first ORDER of each piece with the ORDER bytes before it, as a number; where each
+    piece's end."""
+    data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
     grams = np.zeros(max(0, len(data) - ORDER), np.int64)
     for j in range(ORDER + 1):
         grams = (grams << 8) | data[j : j + len(grams)]
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    sizes = np.fromiter((len(x) - ORDER for x in pieces), np.int64, len(pieces))
     keep = np.ones(len(grams), bool)
     gaps = np.cumsum(sizes + ORDER)[:-1] - ORDER
     for j in range(ORDER):
@@ -63,9 +79,8 @@ class _Tree:
             c = np.bincount(at, count)
             context, where = np.unique(own >> 8, return_inverse=True)
             n, d = np.bincount(where, c), np.bincount(where)
-            known = (n >= 2) | (m == 1)
-            self.escape[m] = context[known], -np.log2(d / (n + d))[known]
-            self.bits[m] = own[known[where]], -np.log2(c / (n + d)[where])[known[where]]
+            self.escape[m] = context, -np.log2(d / (n + d))
+            self.bits[m] = own, -np.log2(c / (n + d)[where])
 
     @staticmethod
     def _find(pair: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +121,14 @@ class Models:
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """In bits: a row for each text, a column for each language."""
-        grams, ends = _grams(texts)
+        sums = np.zeros((len(texts), len(self.names)))
+        for pieces in _pieces(texts):
+            grams, ends = _grams([x for _, x in pieces])
+            own = np.add.reduceat(self._each(grams), np.r_[0, ends[:-1]], axis=0, dtype=np.float64)
+            np.add.at(sums, [i for i, _ in pieces], own)
+        return sums
+
+    def _each(self, grams: np.ndarray) -> np.ndarray:
         total = np.zeros((len(grams), len(self.names)), np.float32)
         left = np.arange(len(grams))
         for m in range(ORDER + 1, 0, -1):
@@ -119,11 +141,7 @@ class Models:
             known = escape >= 0
             total[left[known]] += self.rows[escape[known]]
         total[left] += np.float32(8.0)
-        sums = np.zeros((len(texts), len(self.names)))
-        full = np.flatnonzero(np.diff(np.r_[0, ends]) > 0)
-        if len(full):
-            sums[full] = np.add.reduceat(total, np.r_[0, ends[:-1]][full], axis=0, dtype=np.float64)
-        return sums
+        return total
 
 
 def has_letter(text: str) -> bool:
@@ -133,29 +151,38 @@ def has_letter(text: str) -> bool:
 
 def _counted(parts):
     for batch in parts:
-        for texts in slices(batch.column("text")):
-            gram, n = np.unique(_grams(texts)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], ["gram", "n"])
+        own: dict[str, list[bytes]] = {}
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            own.setdefault(lang, []).append(text.encode())
+        for lang, texts in own.items():
+            for pieces in _pieces(texts):
+                gram, n = np.unique(_grams([x for _, x in pieces])[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
 def train(
-    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = TRAIN_DOCS, grams: int = TRAIN_GRAMS
+    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = TRAIN_DOCS, rows: int = TRAIN_ROWS
 ) -> Models:
-    """Models from the whole texts of a bounded sample: the `docs` documents of each language with the smallest
-    hash of id and text, their `grams` most frequent contexts with a byte, LANGUAGES languages at most (the most
-    frequent). Rows with a null text or language teach nothing."""
-    rows = columns(labelled, doc_id=id_col, text=text_col, lang=lang_col).where("text IS NOT NULL AND lang IS NOT NULL")
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    counts = {}
-    for lang in langs:
-        own = rows.where(F.col("lang") == lang)
-        # The hash alone is sorted first: the texts of the sample are read once it is known.
-        last = own.select("h").orderBy("h").limit(docs).agg(F.max("h")).first()[0]
-        sample = own.where(F.col("h") <= last).select("text").mapInArrow(_counted, "gram long, n long")
-        found = sample.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(grams).toArrow()
-        counts[lang] = found.column("gram").to_numpy(), found.column("n").to_numpy()
-    return Models(counts)
+    """Models of all languages from the whole texts of a bounded sample: the `docs` documents of each language with
+    the smallest hash of id and text, `rows` of all languages together (but one of each). Rows with a null text or
+    language teach nothing. The table is read twice, however many languages there are: for the hashes, of which
+    each task keeps the smallest, and for the sample's texts. The models' size grows with the sample alone."""
+    given = columns(labelled, doc_id=id_col, text=text_col, lang=lang_col).where("text IS NOT NULL AND lang IS NOT NULL")
+    hashed = given.withColumn("h", F.xxhash64("doc_id", "text"))
+    first = hashed.select("lang", "h").withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= docs)
+    hashes = {r["lang"]: sorted(r["hs"]) for r in first.groupBy("lang").agg(F.collect_list("h").alias("hs")).collect()}
+    if not hashes:
+        return Models({})
+    own = max(1, min(docs, rows // len(hashes)))
+    last = labelled.sparkSession.createDataFrame([(lang, hs[:own][-1]) for lang, hs in hashes.items()], "lang string, last long")
+    sample = hashed.join(F.broadcast(last), "lang").where("h <= last").select("lang", "text")  # a row for each language is sent
+    found = sample.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    lang, gram, n = found.column("lang").combine_chunks().dictionary_encode(), found.column("gram").to_numpy(), found.column("n").to_numpy()
+    code = lang.indices.to_numpy()
+    order = np.lexsort((gram, code))
+    code, gram, n = code[order], gram[order], n[order]
+    cuts = np.searchsorted(code, np.arange(len(lang.dictionary) + 1))
+    return Models({name: (gram[a:b], n[a:b]) for name, a, b in zip(lang.dictionary.to_pylist(), cuts, cuts[1:], strict=False)})
 
 
 def predictions(models: Models, texts: pa.Array) -> list[tuple[str, float, float | None]]:
@@ -195,17 +222,19 @@ def identify(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(df: DataFrame, models: Models, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """df's rows, with all their columns, whose language is known with a score of `least` or more. Without any
-    model nothing can be told and all rows stay."""
+    """df's rows, with all their columns, whose language is known with a score of `least` or more: null texts and
+    texts without a letter go, and those that two languages explain equally well. Without any model nothing can be
+    told and all rows stay. Only texts and verdicts pass through Python."""
     if not models.names:
         return df
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(models)
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = predictions(sent.value, batch.column(text_col))
-        return batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def identified(texts: pa.Array) -> pa.Array:
+        return pa.array([lang != UNKNOWN and score >= least for lang, score, _ in predictions(sent.value, texts)], pa.bool_())
 
-    return batches(df, lambda: work, df.schema)
+    return df.where(identified(F.col(f"`{text_col}`")))
 
 
 def held_out(doc_id: str = "doc_id"):

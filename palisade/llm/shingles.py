@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from .common import slices
+from .common import mixed, slices
 
 WIDTH = 5
 #: Word hashes that a worker keeps.
@@ -28,12 +28,6 @@ class _WordHashes(dict):
 _HASHES = _WordHashes()
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def word_hashes(text: str) -> np.ndarray:
     words = text.encode().lower().split()
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
@@ -59,7 +53,7 @@ def _sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     rolled = np.zeros(max(0, len(ids) - width + 1), np.uint64)
     for j in range(width):
         rolled = rolled * _STEP + ids[j : j + len(rolled)]
-    rolled = _mixed(rolled)
+    rolled = mixed(rolled)
     found = []
     for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
         if n >= width:
@@ -68,7 +62,7 @@ def _sets(texts: list[bytes], width: int) -> list[np.ndarray]:
             h = np.array([n], np.uint64)
             for x in ids[end - n : end]:
                 h = h * _STEP + x
-            found.append(_mixed(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+            found.append(mixed(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
         else:
             found.append(np.empty(0, np.uint64))
     return found

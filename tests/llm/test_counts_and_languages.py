@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from palisade.llm.language_id import BEGIN, ORDER, UNKNOWN, Models, _grams, held_out, identify, keep_identified, train
@@ -39,7 +40,6 @@ def brute(train_texts, text):
         for i in range(ORDER, len(s)):
             for k in range(ORDER + 1):
                 counts[s[i - k : i]][s[i]] += 1
-    counts = {c: v for c, v in counts.items() if sum(v.values()) >= 2 or c == b""}
     s, total = BEGIN + text, 0.0
     for i in range(ORDER, len(s)):
         for k in range(ORDER, -1, -1):
@@ -60,9 +60,12 @@ def test_code_lengths_are_exact():
     r = random.Random(3)
     some = lambda letters: [bytes(r.choice(letters) for _ in range(r.randint(0, 200))) for _ in range(5)]
     own = {"a": some(b"abcd e"), "b": some(b"bcdx f")}
-    models = Models({k: np.unique(_grams(t)[0], return_counts=True) for k, t in own.items()})
+    models = Models({k: np.unique(_grams([BEGIN + x for x in t])[0], return_counts=True) for k, t in own.items()})
     unseen = [bytes(r.choice(b"abcdx ef\xff") for _ in range(r.randint(0, 50))) for _ in range(60)]
     assert np.allclose(models.code_lengths(unseen), [[brute(own[k], x) for k in models.names] for x in unseen], atol=1e-3)
+    # a text of several pieces
+    long = bytes(r.choice(b"abcdx ef") for _ in range(300_000))
+    assert np.allclose(models.code_lengths([b"", long, b"ab"])[1], [brute(own[k], long) for k in models.names], rtol=1e-5)
 
 
 def test_languages(spark):
@@ -78,6 +81,21 @@ def test_languages(spark):
     assert {x["doc_id"] for x in keep_identified(docs, models).collect()} == {*range(200), 903}
 
 
+def test_training_sample(spark):
+    """The rows with the smallest hashes of each language, all of the languages there are, their whole texts."""
+    rows = [(i, f"text {i} of " + "xyz" * (i % 7), f"l{i % 90:02d}" if i % 3 else "main") for i in range(600)] + [(None, "no id", "main"), (5, None, "l01"), (6, "no lang", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    hashed = docs.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64("doc_id", "text")).collect()
+    for limits, own in (((3, 10_000), 3), ((4, 130), 2), ((4, 5), 1)):
+        models, want = train(docs, docs=limits[0], rows=limits[1]), {}
+        for lang in {x["lang"] for x in hashed}:
+            texts = [x["text"].encode() for x in sorted((x for x in hashed if x["lang"] == lang), key=lambda x: x["h"])[:own]]
+            want[lang] = np.unique(_grams([BEGIN + x for x in texts])[0], return_counts=True)
+        assert models.names == sorted(want) and len(want) == 61
+        again = Models(want)
+        assert np.array_equal(models.rows, again.rows) and np.array_equal(models.table.keys, again.table.keys)
+
+
 def test_no_languages(documents, empty, odd_ids):
     models = train(empty)
     assert {r["lang_pred"] for r in identify(odd_ids, models).collect()} == {UNKNOWN}
