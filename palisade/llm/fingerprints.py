@@ -1,7 +1,7 @@
 """Operator 4: document fingerprints by consistent weighted sampling.
 
-A text's terms are its pairs of neighbouring words (a lone word: itself), lower-cased in A-Z, weighted by how
-often they occur and hashed to TERMS buckets. For each of SAMPLES hash functions and each term, r and c are
+A text's terms are its pairs of neighbouring words (a lone word: itself), lower-cased in A-Z, known by a 64-bit hash
+and weighted by how often they occur. For each of SAMPLES hash functions and each term, r and c are
 gamma(2, 1) and b uniform, all derived from the term alone; with weight w
 
     t = floor(ln w / r + b),  ln a = ln c - r * (t - b) - r,
@@ -14,74 +14,119 @@ it. A fingerprint keeps 16 bits of each sample. Nothing depends on other texts o
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, stored
+from .common import columns, mixed, stored
 from .shingles import word_hashes
 
 SAMPLES = 64
-TERM_BITS = 18
 EMPTY = bytes(2 * SAMPLES)
+#: Terms that are drawn for together: their numbers stay in a processor's cache.
+BLOCK = 256
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _levels() -> np.ndarray:
+    """The middles of 2 ** 16 equal parts between 0 and 1."""
+    return (np.arange(1 << 16) + 0.5) / (1 << 16)
 
 
-def _part(x: np.ndarray, shift: int) -> np.ndarray:
-    """24 bits as a number between 0 and 1, neither included."""
-    return (((x >> np.uint64(shift)) & np.uint64(0xFFFFFF)).astype(np.float32) + np.float32(0.5)) / np.float32(1 << 24)
+def _gamma_quantiles() -> np.ndarray:
+    """gamma(2, 1) at each level: 1 - (1 + x) exp(-x) turned round by Newton's method."""
+    p = _levels()
+    x = np.where(p < 0.5, np.sqrt(2 * p), -np.log1p(-p) + 1.0)
+    for _ in range(60):
+        x = np.maximum(x - (-np.expm1(-x) - x * np.exp(-x) - p) / (x * np.exp(-x)), x / 8)
+    return x
 
 
-def draws(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c and b of each term (rows) and sample (columns)."""
-    x = _mixed(terms.astype(np.uint64)[:, None] * np.uint64(SAMPLES) + np.arange(1, SAMPLES + 1, dtype=np.uint64))
-    y = _mixed(x + np.uint64(0x9E3779B97F4A7C15))
-    r = -np.log(_part(x, 0)) - np.log(_part(x, 24))
-    c = -np.log(_part(y, 0)) - np.log(_part(y, 24))
-    b = _part(_mixed(x ^ y), 20)
-    return r, np.log(c), b
+#: What 16 random bits stand for: an exponential number, and a gamma(2, 1) one.
+_EXPONENTIAL = (-np.log(_levels())).astype(np.float32)
+_GAMMA = _gamma_quantiles().astype(np.float32)
+_OF_SAMPLE = mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-@lru_cache(maxsize=1)
-def _of_weight_one() -> np.ndarray:
-    """ln a of all terms at weight 1, where t is 0: 64 MB, once for each worker process."""
-    table = np.empty((1 << TERM_BITS, SAMPLES), np.float32)
-    for at in range(0, len(table), 1 << 14):
-        r, ln_c, b = draws(np.arange(at, at + (1 << 14)))
-        table[at : at + (1 << 14)] = ln_c + r * b - r
-    return table
+def draws(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, c and b of each term (rows) and sample (columns), from 64 bits for each; c is a sum of two exponentials,
+    so that its small values are as fine as they have to be."""
+    x = mixed(terms.astype(np.uint64)[:, None] ^ _OF_SAMPLE)
+    part = [((x >> np.uint64(shift)) & np.uint64(0xFFFF)).view(np.int64) for shift in (0, 16, 32, 48)]
+    c = _EXPONENTIAL.take(part[0], mode="clip") + _EXPONENTIAL.take(part[1], mode="clip")
+    b = (part[3].astype(np.float32) + np.float32(0.5)) * np.float32(1 / (1 << 16))
+    return _GAMMA.take(part[2], mode="clip"), c, b
+
+
+class Samples:
+    """For each sample the least ln a so far, its term and its t; of equal values the smaller term's counts."""
+
+    def __init__(self):
+        self.least = np.full(SAMPLES, np.inf, np.float32)
+        self.term = np.zeros(SAMPLES, np.uint64)
+        self.t = np.zeros(SAMPLES, np.int64)
+
+    def add(self, terms: np.ndarray, weights: np.ndarray | None = None) -> Samples:
+        """Takes in sorted terms; without weights all weigh one, so that t is 0."""
+        every = np.arange(SAMPLES)
+        for at in range(0, len(terms), BLOCK):
+            own = terms[at : at + BLOCK]
+            r, c, b = draws(own)
+            t = None if weights is None else np.floor(np.log(weights[at : at + BLOCK].astype(np.float32))[:, None] / r + b)
+            b -= np.float32(1) if t is None else t + np.float32(1)
+            ln_a = np.log(c, out=c)
+            ln_a += np.multiply(r, b, out=b)
+            best = ln_a.argmin(axis=0)
+            self._meet(ln_a[best, every], own[best], np.zeros(SAMPLES, np.int64) if t is None else t[best, every].astype(np.int64))
+        return self
+
+    def _meet(self, least: np.ndarray, term: np.ndarray, t: np.ndarray) -> None:
+        better = (least < self.least) | ((least == self.least) & (term < self.term))
+        self.least, self.term, self.t = (np.where(better, x, y) for x, y in ((least, self.least), (term, self.term), (t, self.t)))
+
+    def joined(self, other: Samples) -> Samples:
+        self._meet(other.least, other.term, other.t)
+        return self
+
+    def fingerprint(self) -> bytes:
+        if not np.isfinite(self.least).any():
+            return EMPTY
+        return (mixed(mixed(self.term) + self.t.astype(np.uint64)) >> np.uint64(48)).astype(">u2").tobytes()
+
+
+Weighted = tuple[np.ndarray, np.ndarray]
+
+
+def weighted_terms(text: str) -> Weighted:
+    """Distinct 64-bit terms, sorted, and how often each occurs."""
+    ids = word_hashes(text)
+    if len(ids) > 1:
+        ids = mixed(ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:])
+    return np.unique(ids, return_counts=True)
 
 
 def weighted_sample(terms: np.ndarray, weights: np.ndarray) -> bytes:
-    """The fingerprint of distinct terms (below 2 ** TERM_BITS) with whole weights; none: EMPTY."""
-    if not len(terms):
-        return EMPTY
-    ln_a = _of_weight_one()[terms]
-    t = np.zeros((len(terms), SAMPLES), np.int64) if (weights > 1).any() else None
-    if t is not None:
-        more = np.flatnonzero(weights > 1)
-        r, ln_c, b = draws(terms[more])
-        t[more] = np.floor(np.log(weights[more].astype(np.float32))[:, None] / r + b)
-        ln_a[more] = ln_c - r * (t[more] - b) - r
-    best = ln_a.argmin(axis=0)
-    chosen = terms[best].astype(np.uint64)
-    level = t[best, np.arange(SAMPLES)].astype(np.uint64) if t is not None else np.uint64(0)
-    return (_mixed(chosen * np.uint64(1 << 20) + level + np.uint64(1)) >> np.uint64(48)).astype(">u2").tobytes()
+    """The fingerprint of distinct sorted terms with whole weights; none: EMPTY."""
+    light = weights == 1
+    return Samples().add(terms[light]).add(terms[~light], weights[~light]).fingerprint()
+
+
+def both_samples(one: Weighted, other: Weighted) -> tuple[bytes, bytes]:
+    """Both fingerprints; terms that weigh one in both are drawn for once."""
+    (p, v), (q, w) = one, other
+    in_both = np.intersect1d(p[v == 1], q[w == 1], assume_unique=True)
+    common, found = Samples().add(in_both), []
+    for terms, weights in (one, other):
+        rest = ~np.isin(terms, in_both, assume_unique=True)
+        light = weights == 1
+        own = Samples().add(terms[rest & light]).add(terms[~light], weights[~light])
+        found.append(own.joined(common).fingerprint())
+    return found[0], found[1]
 
 
 def fingerprint(text: str) -> bytes:
-    ids = word_hashes(text)
-    if len(ids) > 1:
-        ids = _mixed(ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:])
-    return weighted_sample(*np.unique((ids >> np.uint64(64 - TERM_BITS)).astype(np.int64), return_counts=True))
+    return weighted_sample(*weighted_terms(text))
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -96,11 +141,13 @@ def likeness(a: bytes, b: bytes) -> float:
 RESULT = "n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
-def _compared(text: str, own: bytes, after: str, its: bytes) -> tuple:
-    n = len(text)
-    edited = text[: n - n // 4] + after[: n // 4]
-    of_edited = own if edited == text else fingerprint(edited)
-    return n, hashlib.sha256(edited.encode()).hexdigest(), own, of_edited, likeness(own, of_edited), likeness(own, its)
+def _edited(text: str, after: str) -> str:
+    n = len(text) // 4
+    return text[: len(text) - n] + after[:n]
+
+
+def _compared(text: str, own: bytes, edited: str, of_edited: bytes, its: bytes) -> tuple:
+    return len(text), hashlib.sha256(edited.encode()).hexdigest(), own, of_edited, likeness(own, of_edited), likeness(own, its)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -128,19 +175,24 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing = (None,) * len(result)
 
     def within(parts):
-        first = last = None
+        """A row is done when the next is known, and waits for its own successor's fingerprint."""
+        first = last = waiting = None
         for batch in parts:
             rows = []
             for doc_id, text, h in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "h")), strict=True):
-                own = last[3] if last and last[1] == text else fingerprint(text)
                 if last:
-                    rows.append((last[0], *_compared(last[1], last[3], text, own), 0, None, None))
-                last = (doc_id, text, h, own)
+                    edited = _edited(last[1], text)
+                    own, of_edited = both_samples(weighted_terms(last[1]), weighted_terms(edited))
+                    if waiting:
+                        rows.append((waiting[0], *_compared(*waiting[1:], own), 0, None, None))
+                    waiting = (last[0], last[1], own, edited, of_edited)
+                last = (doc_id, text, h)
                 first = first or last
             if rows:
                 yield _batch(rows, full)
         if last:
-            yield _batch([(x[0], *nothing, edge, x[2], x[1]) for x, edge in ((first, 1), (last, 2))], full)
+            rows = [(waiting[0], *_compared(*waiting[1:], fingerprint(last[1])), 0, None, None)] if waiting else []
+            yield _batch(rows + [(x[0], *nothing, edge, x[2], x[1]) for x, edge in ((first, 1), (last, 2))], full)
 
     kind_name = kind.simpleString()
     done = stored(docs.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").mapInArrow(within, f"doc_id {kind_name}, {RESULT}, edge int, h long, text string"))
@@ -159,7 +211,10 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def across(parts):
         for batch in parts:
-            rows = [(i, *_compared(t, fingerprint(t), x, fingerprint(x))) for i, t, x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            rows = []
+            for i, t, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                edited = _edited(t, x)
+                rows.append((i, *_compared(t, fingerprint(t), edited, fingerprint(edited), fingerprint(x))))
             if rows:
                 yield _batch(rows, small)
 

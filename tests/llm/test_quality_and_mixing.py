@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade.llm import kneser_ney as K
-from palisade.llm.fingerprints import compare_with_next, fingerprint, likeness
+from palisade.llm.fingerprints import EMPTY, SAMPLES, both_samples, compare_with_next, draws, fingerprint, likeness, weighted_sample, weighted_terms
 from palisade.llm.hashing import Table
 from palisade.llm.mixing import mix, targets
 from palisade.llm.quality_features import features
@@ -33,7 +33,49 @@ def test_fingerprints(documents, texts, empty, odd_ids):
         assert r["n_chars"] == len(x) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert r["fingerprint"] == fingerprint(x) and r["edited_fingerprint"] == fingerprint(edited)
         assert r["near_edited"] == likeness(fingerprint(x), fingerprint(edited)) and r["near_next"] == likeness(fingerprint(x), fingerprint(after))
-    assert compare_with_next(empty).count() == 0 and compare_with_next(odd_ids).count() == 5
+    assert compare_with_next(empty).count() == 0
+    # null first, ties by the text's hash; the last is followed by the first
+    odd = odd_ids.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).orderBy("doc_id", "h").collect()
+    want = sorted((str(x["doc_id"]), len(x["text"]), likeness(fingerprint(x["text"]), fingerprint(odd[(k + 1) % 5]["text"]))) for k, x in enumerate(odd))
+    assert sorted((str(x["doc_id"]), x["n_chars"], x["near_next"]) for x in compare_with_next(odd_ids).collect()) == want
+
+
+def test_draws_are_distributed_right():
+    r, c, b = (x.ravel().astype(float) for x in draws(np.arange(4000, dtype=np.uint64)))
+    for x in (r, c):  # gamma(2, 1)
+        assert abs(x.mean() - 2) < 0.02 and abs(x.var() - 2) < 0.05
+        for q in (0.05, 0.5, 2.0, 6.0):
+            assert abs((x < q).mean() - (1 - (1 + q) * math.exp(-q))) < 0.005
+    assert abs(b.mean() - 0.5) < 0.005 and abs(b.var() - 1 / 12) < 0.002
+    assert abs(np.corrcoef([r, c, b]) - np.eye(3)).max() < 0.01
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sampler_by_definition(seed):
+    """Each sample is the term and level with the least a, term by term."""
+    rng = random.Random(seed)
+    terms = np.array(sorted({rng.getrandbits(64) for _ in range(rng.choice([1, 5, 700]))}), np.uint64)
+    weights = np.array([rng.choice([1, 1, 1, 2, 9, 1000]) for _ in terms])
+    r, c, b = draws(terms)
+    got = weighted_sample(terms, weights)
+    for k in range(SAMPLES):
+        found = []
+        for i, w in enumerate(weights.tolist()):
+            ri, ci, bi = (float(x[i, k]) for x in (r, c, b))
+            t = math.floor(math.log(w) / ri + bi)
+            found.append((math.log(ci) - ri * (t - bi) - ri, i, t))
+        a, i, t = min(found)
+        if sum(x[0] < a + 1e-4 for x in found) == 1:
+            # the same term at the same level alone gives the same 16 bits
+            level = weighted_sample(terms[i : i + 1], weights[i : i + 1])
+            assert got[2 * k : 2 * k + 2] == level[2 * k : 2 * k + 2]
+
+
+def test_long_texts_without_a_common_word_are_unlike():
+    a, b = (" ".join(f"{x}{i}" for i in range(400_000)) for x in "ab")
+    assert likeness(fingerprint(a), fingerprint(b)) < 0.05 and fingerprint(" \n") == EMPTY
+    half = " ".join([*(f"a{i}" for i in range(200_000)), *(f"b{i}" for i in range(200_000))])
+    assert abs(likeness(fingerprint(a), fingerprint(half)) - 1 / 3) < 0.2
 
 
 def test_collision_rate_is_weighted_jaccard():
@@ -42,6 +84,7 @@ def test_collision_rate_is_weighted_jaccard():
     for _ in range(150):
         words = [r.choice("abcdefghij") * r.randint(1, 2) for _ in range(120)]
         a, b = " ".join(words), " ".join(words[: r.randint(0, 120)] + [r.choice("klm") for _ in range(30)])
+        assert both_samples(weighted_terms(a), weighted_terms(b)) == (fingerprint(a), fingerprint(b))
         p, q = pairs(a), pairs(b)
         want = sum((p & q).values()) / sum((p | q).values())
         errors.append(likeness(fingerprint(a), fingerprint(b)) - want)
