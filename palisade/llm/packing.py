@@ -7,6 +7,7 @@ to its last sequence, so padding is under one sequence a window.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -20,6 +21,8 @@ from .tokens import encoder
 
 #: Tokens that are packed together.
 WINDOW = 1 << 21
+#: Share of padding that cost-balanced packing may use to leave documents whole.
+SLACK = 0.01
 
 
 def _windows(parts: Iterator[pa.RecordBatch], path: str, end_id: int | None, window: int):
@@ -100,46 +103,39 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int
     return bins
 
 
-def cost_balanced(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[list[tuple[int, int, int]]]:
-    """As many bins as the tokens need, of (document, start, length).
-
-    Documents go in descending order of cost (linear * n + quadratic * n * n), each to the bin of
-    lowest cost so far among those with room for it. What fits nowhere is cut: its head fills the
-    roomiest bin, the lower cost first, and the rest is placed as a document of its own."""
-    total = sum(lengths)
-    n_bins = -(-total // capacity)
-    bins: list[list[tuple[int, int, int]]] = [[] for _ in range(n_bins)]
-    room = np.full(n_bins, capacity, np.int64)
-    room[-1:] -= n_bins * capacity - total  # only the last is left with padding
-    cost = np.zeros(n_bins)
-
-    def put(bin_: int, d: int, at: int, n: int) -> None:
-        bins[bin_].append((d, at, n))
-        room[bin_] -= n
-        cost[bin_] += linear * n + quadratic * n * n
-
-    whole = int((room == capacity).sum())
-    used, rest = 0, []
-    for d in sorted(range(len(lengths)), key=lambda d: (-lengths[d], d)):
-        at = 0
-        while lengths[d] - at >= capacity and used < whole:
-            put(used, d, at, capacity)
-            used, at = used + 1, at + capacity
-        if at < lengths[d]:
-            rest.append((lengths[d] - at, d, at))
-    rest.sort(key=lambda x: (-x[0], x[1]))
-    for n, d, at in rest:
+def cost_balanced(lengths: list[int], capacity: int, linear: float, quadratic: float, slack: float = 0.0) -> list[list[tuple[int, int, int]]]:
+    """As many bins as the tokens and a share `slack` of padding need (fewer if some stay empty), of (document,
+    start, length).
+
+    Overlong documents fill whole bins; what is left of them waits. The other documents go in descending order of
+    cost (linear * n + quadratic * n * n), each to the bin of lowest cost so far among those with room for it, then
+    the waiting rests in the same way. What fits nowhere is cut: its head fills the roomiest bin, the lower cost
+    first, and so on with the rest. So documents that fit a bin are cut only when no rest is there to be cut."""
+    n_bins = math.ceil(sum(lengths) * (1 + slack) / capacity)
+    bins: list[list[tuple[int, int, int]]] = []
+    order = sorted(range(len(lengths)), key=lambda d: (-lengths[d], d))
+    rests = []
+    for d in order:
+        if lengths[d] > capacity:
+            whole = lengths[d] // capacity
+            bins += [[(d, i * capacity, capacity)] for i in range(whole)]
+            if lengths[d] > whole * capacity:
+                rests.append((lengths[d] - whole * capacity, d, whole * capacity))
+    rests.sort(key=lambda x: (-x[0], x[1]))
+    open_: list[list[tuple[int, int, int]]] = [[] for _ in range(n_bins - len(bins))]
+    room, cost = np.full(len(open_), capacity, np.int64), np.zeros(len(open_))
+    for n, d, at in [*((lengths[d], d, 0) for d in order if lengths[d] <= capacity), *rests]:
         while n:
-            fits = np.flatnonzero(room[used:] >= n)
-            if len(fits):
-                bin_, part = used + int(fits[np.argmin(cost[used:][fits])]), n
-            else:
-                most = np.flatnonzero(room[used:] == room[used:].max())
-                bin_ = used + int(most[np.argmin(cost[used:][most])])
-                part = int(room[bin_])
-            put(bin_, d, at, part)
+            fits = np.flatnonzero(room >= n)
+            if not len(fits):
+                fits = np.flatnonzero(room == room.max())
+            bin_ = int(fits[np.argmin(cost[fits])])
+            part = min(n, int(room[bin_]))
+            open_[bin_].append((d, at, part))
+            room[bin_] -= part
+            cost[bin_] += linear * part + quadratic * part * part
             n, at = n - part, at + part
-    return bins
+    return bins + [x for x in open_ if x]
 
 
 PIECE = (
@@ -148,11 +144,11 @@ PIECE = (
 )
 
 
-def _cost_balanced_pieces(parts, path, capacity, end_id, linear, quadratic, window, kind):
+def _cost_balanced_pieces(parts, path, capacity, end_id, linear, quadratic, slack, window, kind):
     numbers = _numbers()
     for docs in _windows(parts, path, end_id, window):
         rows: dict[str, list] = {k: [] for k in ("doc_id", *(x.split()[0] for x in PIECE.split(", ")))}
-        for pieces in cost_balanced([len(ids) for _, ids in docs], capacity, linear, quadratic):
+        for pieces in cost_balanced([len(ids) for _, ids in docs], capacity, linear, quadratic, slack):
             number, offset = next(numbers), 0
             tokens = sum(n for _, _, n in pieces)
             cost = sum(linear * n + quadratic * n * n for _, _, n in pieces)
@@ -175,6 +171,7 @@ def pack_cost_balanced(
     end_id: int | None = 0,
     linear: float = 1.0,
     quadratic: float = 1 / 1024,
+    slack: float = SLACK,
     window: int = WINDOW,
 ) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens,
@@ -190,7 +187,7 @@ def pack_cost_balanced(
     from pyspark.sql.pandas.types import to_arrow_type
 
     run = partial(
-        _cost_balanced_pieces, path=path, capacity=capacity, end_id=end_id, linear=linear, quadratic=quadratic, window=window, kind=to_arrow_type(kind)
+        _cost_balanced_pieces, path=path, capacity=capacity, end_id=end_id, linear=linear, quadratic=quadratic, slack=slack, window=window, kind=to_arrow_type(kind)
     )
     return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, {PIECE}")
 
