@@ -20,7 +20,11 @@ from .common import WORD, columns, stored
 CAP = 2
 #: Documents of one source and size that are ranked together.
 RANKED = 1000
-ITERATIONS = 40
+#: Newton steps after which the mix is given up: with halved intervals, some 60 suffice.
+ITERATIONS = 100
+#: Strata (source and size) that are sent to all tasks; more are joined, dealt by hash.
+SENT = 200_000
+SALTS = 16
 
 
 def word_count(text: str = "text") -> Column:
@@ -28,24 +32,36 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.expr(f"regexp_count({text}, '{pattern}')"), F.lit(0)).cast("long")
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """sizes with rank, from 0, by the source's code points (null last): parts of the range are ranked on their own
+    and moved by the rows before them, so that no task holds all sources."""
+    key = F.col("source").cast("binary").asc_nulls_last()
+    parts = stored(sizes.repartitionByRange(key).withColumn("part", F.spark_partition_id()))
+    # one row for each part
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = parts.groupBy("part").agg(F.count("*").alias("m")).select("part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("moved"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
+    return parts.withColumn("nth", nth).join(moved, "part").withColumn("rank", F.col("moved") + F.col("nth")).drop("part", "moved", "nth")
+
+
 def targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = CAP) -> DataFrame:
     """source, source_size, target from source, source_size: `share` of all sizes by weight, in order of
     the source's code points (null last) with repeating weights; a target stops at cap * source_size and
     the excess goes to the rest by weight. One row for each source."""
-    order = Window.orderBy(F.col("source").cast("binary").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    by_cap = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").cast("binary").asc_nulls_last())
-    before, after = by_cap.rowsBetween(Window.unboundedPreceding, -1), by_cap.rowsBetween(0, Window.unboundedFollowing)
-    # Sources that reach their cap come first in order of cap / weight. A source's level is what a unit of
-    # weight gets if all before it are full; it rises up to the first source that isn't full, then falls.
-    filled = (
-        sizes.withColumn("weight", weight)
-        .withColumn("most", cap * F.col("source_size"))
-        .withColumn("total", share * F.sum("source_size").over(Window.partitionBy()))
-        .withColumn("level", (F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-        .withColumn("level", F.max("level").over(Window.partitionBy()))
-    )
-    return filled.select("source", "source_size", F.least(F.col("most"), F.col("weight") * F.col("level")).cast("double").alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("rank") % len(weights) + 1).cast("int"))
+    most = cap * F.col("source_size")
+    weighed = stored(_ranked(sizes).select("source", "source_size", weight.alias("weight"), most.cast("double").alias("most")))
+    # The level is what a unit of weight gets. Sources that it takes over their cap are full; what they leave raises
+    # it for the others, until no more are full.
+    level, full = 0.0, -1
+    while True:
+        over = F.col("weight") * level > F.col("most")
+        of_full, of_rest = F.when(over, F.col("most")).otherwise(0.0), F.when(over, 0.0).otherwise(F.col("weight"))
+        now = weighed.agg(F.sum("source_size").alias("total"), F.count_if(over).alias("full"), F.sum(of_full).alias("held"), F.sum(of_rest).alias("weight")).first()
+        if now["full"] == full or not now["weight"]:
+            break
+        full, level = now["full"], (share * now["total"] - now["held"]) / now["weight"]
+    return weighed.select("source", "source_size", F.least(F.col("most"), F.col("weight") * level).alias("target"))
 
 
 def _rate(z: Column, tilt: Column, cap: float) -> Column:
@@ -90,9 +106,10 @@ def tilts(counts: DataFrame, wanted: DataFrame, cap: float = CAP, iterations: in
                 F.when(F.col("target") >= cap * F.col("source_size"), 0.0).otherwise(F.abs(gap) / F.greatest("target", F.lit(1.0))).alias("off"),
             )
         )
-        if (state.agg(F.max("off")).first()[0] or 0.0) <= close:
-            break
-    return state
+        off = state.agg(F.max("off")).first()[0] or 0.0
+        if off <= close:
+            return state
+    raise RuntimeError(f"no tilt found in {iterations} steps: a source's tokens are off their target by a share of {off}")
 
 
 def copies(counts: DataFrame, solved: DataFrame, cap: int = CAP) -> DataFrame:
@@ -147,10 +164,16 @@ def mix(
     given = copies(counts, tilts(counts, wanted, cap), cap)
     # Large strata are dealt into parts by hash; each part gets its share of copies by cumulative rounding
     # and ranks its documents alone.
-    same = F.col("d.source").eqNullSafe(F.col("g.source")) & (F.col("d.size") == F.col("g.size"))
+    given, sized = stored(given), docs.where("size > 0")
+    salts = 1 if given.count() <= SENT else SALTS
+    if salts == 1:
+        given = F.broadcast(given.withColumn("salt", F.lit(0)))
+    else:
+        given = given.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = F.col("d.source").eqNullSafe(F.col("g.source")) & (F.col("d.size") == F.col("g.size")) & (F.col("d.salt") == F.col("g.salt"))
     part = F.pmod(F.xxhash64("d.doc_id"), F.ceil(F.col("g.n") / RANKED))
     dealt = (
-        docs.where("size > 0")
+        sized.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "doc_id"), F.lit(salts)).cast("int"))
         .alias("d")
         .join(given.alias("g"), same)
         .select("d.doc_id", "d.source", "d.size", "g.n", F.col("g.copies").alias("of_all"), part.alias("part"))

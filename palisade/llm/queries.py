@@ -23,8 +23,8 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_cost_balanced
 
-    pieces = pack_cost_balanced(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    pieces = pack_cost_balanced(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")).withColumn("ids_crc32", F.crc32("ids"))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "sequence_cost")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 QUERIES = {

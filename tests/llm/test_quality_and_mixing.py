@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from palisade.llm import kneser_ney as K
 from palisade.llm.fingerprints import EMPTY, SAMPLES, both_samples, compare_with_next, draws, fingerprint, likeness, weighted_sample, weighted_terms
 from palisade.llm.hashing import Table
-from palisade.llm.mixing import mix, targets
+from palisade.llm import mixing
+from palisade.llm.mixing import mix, targets, tilts
 from palisade.llm.quality_features import features
 from palisade.llm.quality_rules import apply_rules, binomial_tail, chosen_rungs
 
@@ -135,8 +136,52 @@ def test_mix(spark):
     assert all(x["size"] == size[i] and x["copies"] in (0, 1, 2) and x["taken"] == x["copies"] * size[i] for i, x in first.items())
 
 
+def brute_tilt(sizes, target, cap=2):
+    """The dual's solution by halving: rates min(cap, exp(tilt * size / (size + mean))) that give the target."""
+    mean = sum(s * n for s, n in sizes.items()) / sum(sizes.values())
+    low, high = -500.0, 500.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        got = sum(s * n * min(cap, math.exp(min(50, middle * s / (s + mean)))) for s, n in sizes.items())
+        low, high = (middle, high) if got < target else (low, middle)
+    return low, mean
+
+
+@pytest.mark.parametrize("sent", [mixing.SENT, 0])
+def test_rates_solve_the_dual(spark, monkeypatch, sent):
+    """Tilts equal those of an independent solver, and copies follow the rates, largest sizes first."""
+    monkeypatch.setattr(mixing, "SENT", sent)
+    r = random.Random(8)
+    rows = [(i, " ".join(["w"] * r.choice([0, 1, 2, 9, 50, 400])), r.choice(["a", "a", "a", "b", None])) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(docs).collect()
+    strata, taken = {}, Counter()
+    for x in got:
+        strata.setdefault(x["source"], Counter())[x["size"]] += 1
+        taken[x["source"], x["size"]] += x["copies"]
+    want = brute_targets({s: sum(k * n for k, n in own.items()) for s, own in strata.items()})
+    counts = spark.createDataFrame([(s, k, n) for s, own in strata.items() for k, n in own.items()], "source string, size long, n long")
+    wanted = spark.createDataFrame([(s, sum(k * n for k, n in strata[s].items()), float(t)) for s, t in want.items()], "source string, source_size long, target double")
+    solved = {x["source"]: x["tilt"] for x in tilts(counts, wanted).collect()}
+    for s, own in strata.items():
+        if want[s] >= 2 * sum(k * n for k, n in own.items()):
+            assert all(taken[s, k] == 2 * n for k, n in own.items() if k)
+            continue
+        tilt, mean = brute_tilt(own, want[s])
+        assert solved[s] == pytest.approx(tilt, abs=1e-6)
+        for k, n in own.items():
+            # the smallest sizes settle what rounding leaves
+            if k >= 9:
+                assert abs(taken[s, k] - n * min(2, math.exp(tilt * k / (k + mean)))) <= 1
+    with pytest.raises(RuntimeError):
+        tilts(counts, wanted, iterations=1)
+
+
 def test_mix_edges(documents, empty, odd_ids, texts):
-    assert mix(empty).count() == 0 and mix(odd_ids).count() == 5 and mix(documents).count() == len(texts)
+    assert mix(empty).count() == 0 and mix(documents).count() == len(texts)
+    # 1.5 * (6 + 6 + 1 + 1) = 21 words: three quarters for "a", a quarter for null sources
+    odd = sorted((str(x["doc_id"]), str(x["source"]), x["size"], x["taken"] <= 2 * x["size"], x["target"]) for x in mix(odd_ids).collect())
+    assert odd == [("1", "None", 6, True, 5.25), ("1", "a", 1, True, 15.75), ("1", "a", 1, True, 15.75), ("None", "None", 0, True, 5.25), ("None", "a", 6, True, 15.75)]
     assert {r["taken"] for r in mix(documents.where("text = ''")).collect()} == {0}
 
 
