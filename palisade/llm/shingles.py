@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 
-from .common import mixed, slices
+from .common import SLICE, mixed, slices
 
 WIDTH = 5
 #: Word hashes that a worker keeps.
@@ -28,41 +29,50 @@ class _WordHashes(dict):
 _HASHES = _WordHashes()
 
 
+_SPACE = re.compile(rb"[ \t\n\r\x0b\f]")
+
+
+def word_ids(raw: bytes) -> np.ndarray:
+    """The hash of each word, parted by ASCII white space. Long texts are split in parts, so that their words are
+    never held as objects all together."""
+    found, at = [], 0
+    while len(raw) - at > SLICE and (space := _SPACE.search(raw, at + SLICE)):
+        words = raw[at : space.start()].split()
+        found.append(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)))
+        at = space.end()
+    words = (raw[at:] if at else raw).split()
+    found.append(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)))
+    return found[0] if len(found) == 1 else np.concatenate(found)
+
+
 def word_hashes(text: str) -> np.ndarray:
-    words = text.encode().lower().split()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    """The same of A-Z lower-cased."""
+    return word_ids(text.encode().lower())
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
-    """For each text (null: empty) its distinct shingles of `width` words, sorted: A-Z lower-cased, words
-    parted by ASCII white space. Fewer words make one shingle; no word makes none."""
-    return [x for part in sliced_sets(texts, width) for x in part]
+    """For each text (null: empty) its distinct shingles of `width` words as sorted 64-bit hashes: A-Z lower-cased,
+    words parted by ASCII white space. Fewer words make one shingle; no word makes none."""
+    return [shingles(x.as_py() or b"", width) for x in texts.cast(pa.binary())]
 
 
 def sliced_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[list[np.ndarray]]:
     """The same, some texts at a time."""
     for part in slices(texts):
-        yield _sets(part, width)
-
-
-def _sets(texts: list[bytes], width: int) -> list[np.ndarray]:
-    words = [x.lower().split() for x in texts]
-    counts = np.fromiter(map(len, words), np.int64, len(words))
-    ids = np.fromiter((_HASHES[w] for own in words for w in own), np.uint64, int(counts.sum()))
-    ends = np.cumsum(counts)
-    rolled = np.zeros(max(0, len(ids) - width + 1), np.uint64)
-    for j in range(width):
-        rolled = rolled * _STEP + ids[j : j + len(rolled)]
-    rolled = mixed(rolled)
-    found = []
-    for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
-        if n >= width:
-            found.append(np.unique(rolled[end - n : end - width + 1]))
-        elif n:
-            h = np.array([n], np.uint64)
-            for x in ids[end - n : end]:
-                h = h * _STEP + x
-            found.append(mixed(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-        else:
-            found.append(np.empty(0, np.uint64))
-    return found
+        yield [shingles(x, width) for x in part]
+
+
+def shingles(raw: bytes, width: int = WIDTH) -> np.ndarray:
+    ids = word_ids(raw.lower())
+    if len(ids) >= width:
+        rolled = ids[: len(ids) - width + 1].copy()
+        for j in range(1, width):
+            rolled *= _STEP
+            rolled += ids[j : j + len(rolled)]
+        return np.unique(mixed(rolled))
+    if not len(ids):
+        return ids
+    h = np.array([len(ids)], np.uint64)
+    for x in ids:
+        h = h * _STEP + x
+    return mixed(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))

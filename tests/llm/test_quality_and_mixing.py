@@ -243,11 +243,11 @@ def test_rules(spark, documents, texts, empty, odd_ids):
 # ---- language model
 
 def brute_model(texts):
-    """Interpolated modified Kneser-Ney by definition: ln p(byte | context)."""
+    """Interpolated modified Kneser-Ney by definition: ln p(word | context)."""
     order = K.ORDER
     counts = {order: Counter()}
     for t in texts:
-        s = K.BEGIN + t + K.END
+        s = ("<s>",) * (order - 1) + tuple(t) + ("</s>",)
         for i in range(order - 1, len(s)):
             counts[order][s[i - order + 1 : i + 1]] += 1
     for m in range(order - 1, 0, -1):
@@ -263,43 +263,55 @@ def brute_model(texts):
         for g, v in c.items():
             after[m].setdefault(g[:-1], []).append(v)
 
-    def p(context, byte):
+    def p(context, word):
         m = len(context) + 1
-        below = p(context[1:], byte) if m > 1 else 1 / 256
+        below = p(context[1:], word) if m > 1 else 1 / (len(counts[1]) + 1)
         if context not in after[m]:
             return below
         own = after[m][context]
         gamma = sum(d[m][min(v, 3) - 1] for v in own) / sum(own)
-        v = counts[m].get(context + bytes([byte]), 0)
+        v = counts[m].get((*context, word), 0)
         return (v - d[m][min(v, 3) - 1]) / sum(own) + gamma * below if v else gamma * below
 
     return p
 
 
-@pytest.mark.parametrize("table", [1 << 20, 300])
+@pytest.mark.parametrize("table", [1 << 19, 20, 0])
 def test_perplexities(spark, table):
-    """Also where most of the model lies beyond the broadcast table."""
+    """Also where most of the model, or all of it, lies beyond the broadcast table."""
     r = random.Random(6)
-    make = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(1, 120)))
-    trusted = [make("aabbc d") for _ in range(30)]
-    scored = [*trusted[:5], *(make("aabbc d") for _ in range(15)), "abc abd", None, ""]
+    make = lambda words: " ".join(r.choice(words) for _ in range(r.randint(1, 60)))
+    vocabulary = ["a", "a", "a", "B", "b", "cé", "dd", "the", "the", *(f"w{i}" for i in range(20))]
+    trusted = [make(vocabulary) for _ in range(30)]
+    scored = [*trusted[:5], *(make(vocabulary + ["never", "seen", "A"]) for _ in range(15)), "only unknown words", None, "", " \n"]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(scored)], "doc_id long, text string, lang string").withColumn("text", F.coalesce("text", F.lit("")))
-    got = {x["doc_id"]: x["perplexity"] for x in K.perplexities(docs, spark.createDataFrame([(t,) for t in trusted], "text string"), table).collect()}
-    p = brute_model([t.encode() for t in trusted])
+    got = {x["doc_id"]: x["perplexity"] for x in K.perplexities(docs.repartition(3), spark.createDataFrame([(t,) for t in trusted], "text string"), table).collect()}
+    p = brute_model([t.split() for t in trusted])
     for i, t in enumerate(scored):
-        if not t:
+        if not (t or "").split():
             assert got[i] is None
             continue
-        s = K.BEGIN + t.encode() + K.END
+        s = ("<s>",) * (K.ORDER - 1) + tuple(t.split()) + ("</s>",)
         total = sum(math.log(p(s[j - K.ORDER + 1 : j], s[j])) for j in range(K.ORDER - 1, len(s)))
-        assert got[i] == pytest.approx(math.exp(-total / (len(t) + 1)), rel=1e-3)
+        assert got[i] == pytest.approx(math.exp(-total / (len(t.split()) + 1)), rel=1e-3)
 
 
 def test_quality(documents, empty, odd_ids, spark, texts):
-    labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(0, 0), (None, 1), (1, None)], "doc_id long, quality long")
-    got = {x["doc_id"]: x for x in K.rate(documents, labels).collect()}
-    assert len(got) == len(texts) and all(got[i]["kept"] for i in range(2, 60)) and not got[[i for i, x in enumerate(texts) if x is None][0]]["kept"]
-    assert K.rate(empty, labels).count() == 0 and K.rate(odd_ids, labels.where("false")).count() == 5
+    """Thresholds are quantiles of trusted texts that the model was not fitted on."""
+    labels = spark.createDataFrame([(i, 1) for i in range(80)] + [(0, 0), (None, 1), (1, None)], "doc_id long, quality long")
+    rows = K.rate(documents, labels, quantile=0.8)
+    rows = rows.withColumn("training", K._in_training()).collect()
+    got = {x["doc_id"]: x for x in rows}
+    assert len(rows) == len(got) == len(texts)
+    held = [x for i, x in got.items() if 1 <= i < 80 and not x["training"] and x["perplexity"] is not None]
+    for x in rows:
+        own = sorted(y["perplexity"] for y in held if y["lang"] == x["lang"])
+        assert x["threshold"] == own[math.ceil(0.8 * len(own)) - 1]
+        assert x["kept"] == (x["perplexity"] is not None and x["perplexity"] <= x["threshold"])
+    assert {x["kept"] for x in rows} == {True, False} and got[[i for i, x in enumerate(texts) if x is None][0]]["perplexity"] is None
+    assert K.rate(empty, labels).count() == 0
+    odd = sorted((str(x["doc_id"]), x["n_words"], x["kept"]) for x in K.rate(odd_ids, labels.where("false")).collect())
+    assert odd == [("1", 1, True), ("1", 1, True), ("1", 6, True), ("None", 0, False), ("None", 6, True)]
 
 
 def test_table():
