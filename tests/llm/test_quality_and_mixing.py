@@ -276,7 +276,7 @@ def brute_model(texts):
     return p
 
 
-@pytest.mark.parametrize("table", [1 << 19, 20, 0])
+@pytest.mark.parametrize("table", [1 << 17, 20, 0])
 def test_perplexities(spark, table):
     """Also where most of the model, or all of it, lies beyond the broadcast table."""
     r = random.Random(6)
