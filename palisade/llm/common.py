@@ -78,38 +78,25 @@ def batches(
 BITMAP_BITS = 24
 
 
-def likely(
-    df: DataFrame,
-    key: str,
-    wanted: DataFrame,
-    rest: bool = False,
-    then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None,
-    schema: str | None = None,
-) -> DataFrame:
+def likely(df: DataFrame, key: str, wanted: DataFrame, rest: bool = False) -> DataFrame:
     """df's rows whose key is likely in wanted's one column; with rest all rows, and a column `likely`.
 
     A bitmap of fixed size (2 MB) over the keys' hashes is broadcast, so that rows which surely find nothing
-    need no shuffle. Rows that it lets through for nothing are for the join to sort out. then: what to make
-    of the rows in the same pass, with its schema."""
+    need no shuffle. Rows that it lets through for nothing are for the join to sort out. Only hashes go to Python."""
     size = F.lit(1 << BITMAP_BITS)
     marks = wanted.select(F.pmod(F.xxhash64(wanted.columns[0]), size).alias("p")).groupBy(F.expr("p div 64").alias("block"))
-    marks = marks.agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("mask"))
+    marks = marks.agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("mask")).toArrow()
     table = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    for block, mask in marks.collect():
-        table[block] = mask
+    table[marks.column("block").to_numpy()] = marks.column("mask").to_numpy()
     sent = df.sparkSession.sparkContext.broadcast(table)
 
-    def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
-        for batch in parts:
-            p = batch.column(batch.num_columns - 1).to_numpy()
-            hit = pa.array((bits[p >> 6] >> (p & 63)) & 1 == 1)
-            own = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
-            own = own.append_column("likely", hit) if rest else own.filter(hit)
-            yield then(own) if then else own
-
-    given = schema or (df.withColumn("likely", F.lit(True)).schema if rest else df.schema)
-    return df.withColumn("__place", F.pmod(F.xxhash64(key), size)).mapInArrow(mark, given)
+    @F.arrow_udf("boolean")
+    def marked(places: pa.Array) -> pa.Array:
+        p = places.to_numpy()
+        return pa.array((sent.value[p >> 6] >> (p & 63)) & 1 == 1)
+
+    hit = marked(F.pmod(F.xxhash64(key), size))
+    return df.withColumn("likely", hit) if rest else df.where(hit)
 
 
 #: Bytes of text that batch work looks at together.

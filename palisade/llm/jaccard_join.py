@@ -1,21 +1,22 @@
 """Operator 6: exact n-gram Jaccard join through a token-group matrix.
 
-1. Rarity: every shingle of every document is counted; a table of fixed size keeps, for each cell of the
-   hash space, the magnitude of its most frequent shingle. Shingles are ordered by it, rare ones first.
+1. Sets: every text becomes its set of shingle hashes once, stored with the set's identity; equal sets are one node
+   throughout. Shingles that many sets of a task hold are counted, and the most frequent of all, a table of fixed size,
+   come last in the order of shingles; all others come first, by hash.
 2. Prefixes: sets with similarity >= s share a shingle among the first n - ceil(s * n) + 1 of each, in any
    common order. Only prefixes are shuffled, and of those only shingles that several sets hold go on.
-3. Groups: each set is compared with the one leader that shares its prefix shingles most often. The leader of a
-   shingle is the set that has it earliest in its order: it has the fewest shingles of its own, as the original
-   of a family of copies does. Verified links make groups of similar sets; a second round holds sets against the
-   largest group that shares their shingles. So a large family becomes one connected group.
-4. Token-group matrix: for each prefix shingle that several groups share, which groups hold it, with bounds on
-   their sizes and positions. A set is a candidate for another group only where these bounds allow the similarity.
-5. A candidate group is opened chunk by chunk: a set whose overlap with the union of the chunk's shingles is
-   too small is turned away at once, the others are compared with its members up to the first link, as
-   all members are connected already. Nothing is lost: links between groups are all found, links within
-   groups are known.
-
-Copies (equal sets) are one node throughout. No step makes all pairs of a group.
+3. Groups: in two rounds each set is compared with one other, which shares its prefix shingles most often: the leader
+   of a shingle, then a set of the largest group around it. Verified links make groups of similar sets; large
+   groups are dealt into groups of some CHUNK sets.
+4. Token-group matrix: the union of each group's shingles is stored, and for each prefix shingle that groups share,
+   which groups hold it in sets of which size, and how near the start. A set and a group meet by shingle
+   and band of sizes, and only where sizes and places allow the similarity.
+5. The overlap of set and union bounds the similarity with all of the group's sets. Only groups that the bound lets
+   in are opened, and their sets compared one by one up to the first link, as all of a group's sets are connected
+   already. Nothing is lost: links between groups are all found, links within groups are known.
+
+No step makes all pairs of a group. What many sets hold in common is dealt by salt: rows of frequent shingles, sets
+of large groups, queries of groups that many sets ask for.
 """
 
 from __future__ import annotations
@@ -24,78 +25,89 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, likely, stored
+from .common import columns, likely, most_frequent, slices, stored
 from .graph import components
-from .shingles import WIDTH, shingle_sets, sliced_sets
-
-#: Cells of the rarity table (one byte each), as a power of two: its fixed size.
-CELL_BITS = 24
-#: Sets of a group that are opened together, and candidates that are held against them together.
+from .hashing import Table
+from .shingles import WIDTH, shingles
+
+#: Shingles whose frequency is known to all tasks: the table's bound.
+FREQUENT = 1 << 19
+#: Shingles that a task counts together, and how many sets of those have to hold one for it to count.
+COUNTED = 2_000_000
+OFTEN = 3
+#: Sets of a group that are opened together, and queries that are held against them together.
 CHUNK = 128
 QUERIES = 512
 #: Shingles of this magnitude or more are dealt to several tasks.
 HOT = 12
+SALTS = 16
 
 
-def _node(own: np.ndarray) -> int:
-    """A set's identity: the signed 64-bit hash of its sorted shingles."""
+def _node(own: np.ndarray) -> tuple[int, int]:
+    """A set's identity: the 128-bit hash of its sorted shingles, in two signed parts."""
     import xxhash
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64))
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64).tolist())
+
 
+MADE = "n_shingles long, node long, check long, shingles binary, token long, times long"
 
-def _ranges(parts, width, bits):
-    """All shingles of a task as sorted 32-bit values, byte-planes apart (they compress), by range."""
-    held, n = [], 0
 
-    def out():
-        values = np.sort(np.concatenate(held))
-        cuts = np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(32 - bits))
-        blobs = [x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in np.split(values, cuts)]
-        return pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], ["r", "blob"])
+def _sets(parts, width, kind):
+    """A row for each text, with the set itself where it is new to the task, and rows of shingles met often."""
+    seen: set = set()
+    held: list[np.ndarray] = []
+    n = 0
+    types = [kind, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    names = ["doc_id", *(x.split()[0] for x in MADE.split(", "))]
+
+    def often():
+        values, times = np.unique(np.concatenate(held), return_counts=True)
+        values, times = values[times >= OFTEN], times[times >= OFTEN]
+        none = [pa.nulls(len(values), t) for t in types[:5]]
+        return pa.RecordBatch.from_arrays([*none, pa.array(values.view(np.int64)), pa.array(times.astype(np.int64))], names)
 
     for batch in parts:
-        for sets in sliced_sets(batch.column(0), width):
-            for own in sets:
-                held.append((own >> np.uint64(32)).astype(np.uint32))
-                n += len(own)
-            if n > 2_000_000:
-                yield out()
-                held, n = [], 0
+        at = 0
+        for texts in slices(batch.column("text")):
+            rows = []
+            for raw in texts:
+                own = shingles(raw, width)
+                if not len(own):
+                    rows.append((0, None, None, None))
+                    continue
+                node = _node(own)
+                new = node not in seen
+                if new:
+                    seen.add(node)
+                    held.append(own)
+                    n += len(own)
+                rows.append((len(own), *node, own.tobytes() if new else None))
+            if len(seen) > 200_000:
+                seen.clear()
+            ids = batch.column("doc_id").slice(at, len(rows))
+            at += len(rows)
+            values = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types[1:5], strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, *values, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], names)
+            if n > COUNTED:
+                yield often()
+                held.clear()
+                n = 0
     if held:
-        yield out()
-
-
-def _magnitudes(key, group: pa.Table, bits) -> pa.Table:
-    """The magnitude (log2 of the count) of the most frequent shingle in each cell of a range."""
-    r = key[0].as_py()
-    values = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for x in group.column("blob")]))
-    table = np.zeros(1 << (CELL_BITS - bits), np.uint8)
-    if len(values):
-        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-        counts = np.diff(np.r_[first, len(values)])
-        cell = (values[first] >> np.uint32(32 - CELL_BITS)).astype(np.int64) - (r << (CELL_BITS - bits))
-        np.maximum.at(table, cell, np.log2(counts).astype(np.uint8))
-    return pa.table({"r": pa.array([r], pa.int32()), "cells": pa.array([table.tobytes()], pa.binary())})
-
-
-def rarity(texts: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """The table of fixed size: 2 ** CELL_BITS bytes, whatever the input."""
-    # The hash space is counted in ranges, several for each input partition.
-    bits = min(20, max(8, texts.rdd.getNumPartitions().bit_length() + 2))
-    counted = (
-        texts.mapInArrow(partial(_ranges, width=width, bits=bits), "r int, blob binary")
-        .groupBy("r")
-        .applyInArrow(lambda key, group: _magnitudes(key, group, bits), "r int, cells binary")
-    )
-    table = np.zeros(1 << CELL_BITS, np.uint8)
-    for r, cells in counted.collect():
-        at = r << (CELL_BITS - bits)
-        table[at : at + len(cells)] = np.frombuffer(cells, np.uint8)
-    return table
+        yield often()
+
+
+def _told_apart(made: DataFrame) -> DataFrame:
+    """made with nodes that stand for one set each: a node that two sets share is made anew for all but one."""
+    shared = made.where("node IS NOT NULL").groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a < b")
+    shared = stored(shared.select("node", "a"))
+    if shared.limit(1).count() == 0:
+        return made
+    other = F.when(F.col("check") > F.col("a"), F.xxhash64("check", "node")).otherwise(F.col("node"))
+    return made.join(shared, "node", "left").withColumn("node", F.coalesce(other, F.col("node"))).select(made.columns)
 
 
 def _needed(n, share: float):
@@ -103,92 +115,140 @@ def _needed(n, share: float):
     return -(-n * round(share * 100) // 100)
 
 
-def _prefixes(parts, table, width, share):
-    """A row for each prefix shingle of each set that is new to the task."""
-    levels, seen = table.value, set()
-    for batch in parts:
-        for sets in sliced_sets(batch.column(0), width):
-            tokens, nodes, sizes, places, salts = [], [], [], [], []
-            for own in sets:
-                if not len(own) or (node := _node(own)) in seen:
-                    continue
-                seen.add(node)
-                n = len(own)
-                level = levels[(own >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64)
-                first = np.sort((level << np.uint64(56)) | (own >> np.uint64(8)))[: n - _needed(n, share) + 1]
-                deal = np.uint64(1) << np.maximum(first >> np.uint64(56), np.uint64(HOT)) - np.uint64(HOT)
-                tokens.append(first.astype(np.int64))
-                nodes.append(np.full(len(first), node, np.int64))
-                sizes.append(np.full(len(first), n, np.int32))
-                places.append(np.arange(len(first), dtype=np.int32))
-                salts.append((np.uint64(node & 0xFFFFFFFFFFFFFFFF) % deal).astype(np.int32))
-            if len(seen) > 200_000:
-                seen.clear()
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, sizes, places, salts)], ["token", "node", "n", "place", "salt"])
+def _unpacked(x: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), np.uint64)
 
 
-def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+def _prefixes(parts, table, share):
+    """A row for each prefix shingle of each set: its magnitude and 56 bits of its hash as token."""
+    levels = table.value
+    for batch in parts:
+        tokens, nodes, sizes, places, salts = [], [], [], [], []
+        for node, own in zip(batch.column("node").to_pylist(), map(_unpacked, batch.column("shingles")), strict=True):
+            n = len(own)
+            level = levels.get((own >> np.uint64(1)).astype(np.int64)).astype(np.uint64)
+            first = np.sort((level << np.uint64(56)) | (own >> np.uint64(8)))[: n - _needed(n, share) + 1]
+            tokens.append(first)
+            nodes.append(np.full(len(first), node, np.int64))
+            sizes.append(np.full(len(first), n, np.int32))
+            places.append(np.arange(len(first), dtype=np.int32))
+            deal = np.uint64(1) << np.maximum(first >> np.uint64(56), np.uint64(HOT)) - np.uint64(HOT)
+            salts.append((np.uint64(node & 0xFFFFFFFFFFFFFFFF) % deal).astype(np.int32))
+        if tokens:
+            tokens = np.concatenate(tokens).astype(np.int64)
+            rest = map(np.concatenate, (nodes, sizes, places, salts))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens, *rest)], ["token", "node", "n", "place", "salt"])
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Of sorted arrays without repeats."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = _overlap(a, b)
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _open(key, members: pa.Table, queries: pa.Table, width, share) -> pa.Table:
-    """The first link of each query into the chunk of members, if the chunk's union lets it in."""
-    percent = round(share * 100)
-    sets = shingle_sets(members.column("text").combine_chunks(), width)
+def _verified(parts, percent):
+    """The rows (a, b, own, its) whose sets link."""
+    for batch in parts:
+        sets = (map(_unpacked, batch.column(x)) for x in ("own", "its"))
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array([_linked(x, y, percent) for x, y in zip(*sets, strict=True)], pa.bool_()))
+
+
+UNION = pa.schema([("goal", pa.int64()), ("chunk", pa.int32()), ("sets", pa.int64()), ("one", pa.int64()), ("every", pa.binary())])
+
+
+def _union(key, group):
+    """The sorted shingles of all sets of a group, and how many sets it has."""
+    sets = [_unpacked(x) for x in group.column("shingles")]
+    every = sets[0] if len(sets) == 1 else np.unique(np.concatenate(sets))
+    row = {"goal": key[0].as_py(), "chunk": key[1].as_py(), "sets": len(sets), "one": group.column("node")[0].as_py(), "every": every.tobytes()}
+    return pa.Table.from_pylist([row], UNION)
+
+
+def _bounded(parts, percent):
+    """Candidates (node, goal, chunk, part, sets, one, own, every) that the group's union lets in; a group of one set
+    is settled here: its link, if there is one, in `one`."""
+    for batch in parts:
+        keep = []
+        for own, every, sets in zip(map(_unpacked, batch.column("own")), map(_unpacked, batch.column("every")), batch.column("sets").to_pylist(), strict=True):
+            keep.append(_linked(own, every, percent) if sets == 1 else 100 * _overlap(own, every) >= percent * len(own))
+        names = ["node", "goal", "chunk", "part", "sets", "one"]
+        yield pa.RecordBatch.from_arrays([batch.column(x) for x in names], names).filter(pa.array(keep, pa.bool_()))
+
+
+def _opened(key, members, queries, percent):
+    """The first link of each query among the group's sets."""
+    sets = [_unpacked(x) for x in members.column("shingles")]
     nodes = members.column("node").to_pylist()
-    union = np.unique(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
     a, b = [], []
-    if len(sets):
-        for node, own in zip(queries.column("node").to_pylist(), shingle_sets(queries.column("text").combine_chunks(), width), strict=True):
-            at = np.searchsorted(union, own)
-            if int((union[np.minimum(at, len(union) - 1)] == own).sum()) * 100 < percent * len(own):
-                continue
-            for other, its in zip(nodes, sets, strict=True):
-                if 100 * min(len(own), len(its)) >= percent * max(len(own), len(its)) and _similar(own, its, percent):
-                    a.append(node)
-                    b.append(other)
-                    break
+    for node, own in zip(queries.column("node").to_pylist(), map(_unpacked, queries.column("shingles")), strict=True):
+        hit = next((other for other, its in zip(nodes, sets, strict=True) if _linked(own, its, percent)), None)
+        if hit is not None:
+            a.append(node)
+            b.append(hit)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _links(asked: DataFrame, members: DataFrame, docs: DataFrame, known: DataFrame, width: int, share: float) -> DataFrame:
-    """a, b: verified links from asked (node, goal) into groups, members (node, goal). Groups are opened
-    by chunks and queries dealt by parts, so that no task holds more than CHUNK and QUERIES or so."""
-    chunks = F.greatest(F.ceil(F.col("size") / CHUNK), F.lit(1))
-    parts = F.greatest(F.ceil(F.col("asking") / QUERIES), F.lit(1))
-    goals = asked.groupBy("goal").agg(F.count("*").alias("asking")).join(members.groupBy("goal").agg(F.count("*").alias("size")), "goal")
-    goals = goals.select("goal", chunks.cast("int").alias("chunks"), parts.cast("int").alias("parts"))
-    chunk, part = F.pmod(F.hash("node"), "chunks"), F.pmod(F.hash("node"), "parts")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    units = members.join(goals, "goal").select("goal", "node", chunk.alias("chunk"), every("parts").alias("part"), F.lit(False).alias("asks"))
-    units = units.unionByName(asked.join(goals, "goal").select("goal", "node", every("chunks").alias("chunk"), part.alias("part"), F.lit(True).alias("asks")))
-    placed = stored(_with_texts(units, docs, known, width))
-    unit = ("goal", "chunk", "part")
-    left, right = (placed.where(F.col("asks") == x).select(*(F.col(c).alias(c) for c in (*unit, "node", "text"))) for x in (False, True))
-    return stored(left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInArrow(partial(_open, width=width, share=share), "a long, b long"))
+def _salted(column: str) -> Column:
+    return F.pmod(F.hash(column), F.lit(SALTS))
 
 
-def _with_texts(units: DataFrame, docs: DataFrame, known: DataFrame, width: int) -> DataFrame:
-    """units (by node) with the text of one row for each node; rows of no unit are turned away first."""
-    first = known.join(units.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    own = stored(units.join(first.where("doc_id IS NOT NULL"), "node"))
+def _each_salt() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
 
-    def with_node(batch):
-        nodes = [_node(x) if len(x) else None for x in shingle_sets(batch.column("text"), width)]
-        return batch.append_column("node", pa.array(nodes, pa.int64()))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    some = likely(docs, "doc_id", own.select("doc_id"), then=with_node, schema=f"doc_id {kind}, text string, node long")
-    return some.join(own, ["doc_id", "node"])
+class _Sets:
+    """The stored sets by node."""
 
+    def __init__(self, sets: DataFrame):
+        self.sets = sets
 
-def _identities(parts, width):
-    for batch in parts:
-        sets = shingle_sets(batch.column("text"), width)
-        node = [_node(x) if len(x) else None for x in sets]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n_shingles", "node"])
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """node, shingles for each of the nodes (distinct); sets of no node are turned away before the join."""
+        return likely(self.sets, "node", nodes).join(nodes, "node").dropDuplicates(["node"])
+
+    def verified(self, pairs: DataFrame, percent: int) -> DataFrame:
+        """The pairs (a, b) that link."""
+        pairs = stored(pairs)
+        some = self.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        some = stored(some)
+        both = pairs.join(some.select(F.col("node").alias("a"), F.col("shingles").alias("own")), "a")
+        both = both.join(some.select(F.col("node").alias("b"), F.col("shingles").alias("its")), "b").select("a", "b", "own", "its")
+        return stored(both.mapInArrow(partial(_verified, percent=percent), "a long, b long"))
+
+    def opened(self, candidates: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+        """Verified links of candidates (node, goal, chunk) into groups, members (node, goal, chunk)."""
+        group = ["goal", "chunk"]
+        asked = candidates.groupBy(*group).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+        asked = stored(asked)
+        members = stored(members.join(asked.select(*group), group, "left_semi"))
+        some = stored(self.of(candidates.select("node").union(members.select("node")).distinct()))
+        unions = members.join(some, "node").groupBy(*group).applyInArrow(_union, "goal long, chunk int, sets long, one long, every binary")
+        unions = unions.join(asked, group).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        met = candidates.join(asked, group).withColumn("part", F.pmod(F.hash("node"), "parts")).drop("parts")
+        met = met.join(some.withColumnRenamed("shingles", "own"), "node").join(unions, [*group, "part"])
+        met = met.select("node", *group, "part", "sets", "one", "own", "every")
+        let_in = stored(met.mapInArrow(partial(_bounded, percent=percent), "node long, goal long, chunk int, part int, sets long, one long"))
+        settled = let_in.where("sets = 1").select(F.col("node").alias("a"), F.col("one").alias("b"))
+        let_in = let_in.where("sets > 1").select("node", *group, "part")
+        unit = [*group, "part"]
+        queries = let_in.join(some, "node").select(*unit, "node", "shingles")
+        inside = members.join(let_in.select(*unit).distinct(), group).join(some, "node").select(*unit, "node", "shingles")
+        left, right = (x.select(*(F.col(c).alias(c) for c in (*unit, "node", "shingles"))) for x in (inside, queries))
+
+        def work(key, members, queries):
+            return _opened(key, members, queries, percent)
+
+        links = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInArrow(work, "a long, b long")
+        return stored(settled.unionByName(links))
 
 
 def join_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: float = 0.75) -> DataFrame:
@@ -197,71 +257,116 @@ def join_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows link when their sets of distinct shingles have Jaccard similarity >= share (whole hundredths).
     Texts without a word, empty and null ones have an empty set and link with nothing: their component is
     their own id. Rows with equal sets are one class, repeated ids or not. A row without an id has its class's
-    component, or null and no links if none of the class has an id. An empty table gives an empty table; other columns
+    component, or null if none of the class has an id. An empty table gives an empty table; other columns
     are not looked at.
     """
     docs = columns(df, doc_id=id_col, text=text_col)
-    spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    known = stored(docs.mapInArrow(partial(_identities, width=width), f"doc_id {kind}, n_shingles long, node long"))
-    levels = spark.sparkContext.broadcast(rarity(docs.select("text"), width))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind, percent = docs.schema["doc_id"].dataType, round(share * 100)
+    made = stored(docs.mapInArrow(partial(_sets, width=width, kind=to_arrow_type(kind)), f"doc_id {kind.simpleString()}, {MADE}"))
+    often = stored(made.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")))
+    made = _told_apart(made.where("token IS NULL"))
+    known = made.select("doc_id", "n_shingles", "node")
+    sets = _Sets(made.where("shingles IS NOT NULL").select("node", "shingles"))
+    shared = _shared(sets.sets, often, share)
+
+    # Of the prefix, the part that two sets have to share to be compared: a guess, as comparing is no condition.
+    enough = 5 * F.col("times") >= F.col("n") - F.ceil(F.col("n") * share)
+    # Round one: sets and leaders.
+    met = shared.where("node <> leader").groupBy("node", F.col("leader").alias("other"), "n").agg(F.count("*").alias("times"))
+    found = sets.verified(_best(met.where(enough)), percent)
+    held = _straddling(shared.drop("leader"), components(found))
+    # Round two: sets and a set of the largest group around them.
+    met = held.where("goal <> top").groupBy("node", F.col("top_node").alias("other"), "n").agg(F.count("*").alias("times"))
+    found = found.unionByName(sets.verified(_best(met.where(enough)), percent))
+    grouped = components(found)
+    held = _straddling(held.select("token", "node", "n", "place"), grouped)
+
+    candidates = stored(_candidates(held, percent))
+    members = _chunked(grouped.withColumnRenamed("component", "goal"))
+    alone = candidates.select(F.col("goal").alias("node")).distinct().join(grouped, "node", "left_anti").select("node", F.col("node").alias("goal"), F.lit(0).alias("chunk"))
+    whole = components(found.unionByName(sets.opened(candidates, members.unionByName(alone), percent)))
+
+    named = known.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.where("node IS NOT NULL").groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, named["component"] == least["of"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
 
-    rows = docs.select("text").mapInArrow(partial(_prefixes, table=levels, width=width, share=share), "token long, node long, n int, place int, salt int")
+def _shared(sets: DataFrame, often: DataFrame, share: float) -> DataFrame:
+    """token, node, n, place, leader: prefix shingles that several sets hold. The leader of a shingle is the set that
+    has it earliest in its order: it has the fewest shingles of its own, as the original of a family of copies does."""
+    frequent = often.where(most_frequent(often, "times", FREQUENT)).toArrow()
+    # 63 bits of the hash are the key
+    key, times = (frequent.column(x).to_numpy() for x in ("token", "times"))
+    key, level = (key.view(np.uint64) >> np.uint64(1)).astype(np.int64), np.log2(times).astype(np.uint8) if len(times) else np.zeros(0, np.uint8)
+    key, first = np.unique(key, return_index=True)
+    levels = sets.sparkSession.sparkContext.broadcast(Table(key, level[first], 0))
+    rows = sets.mapInArrow(partial(_prefixes, table=levels, share=share), "token long, node long, n int, place int, salt int")
     alike = Window.partitionBy("token", "salt")
-    shared = stored(
-        rows.withColumn("leader", F.min_by("node", "place").over(alike))
+    return stored(
+        rows.withColumn("leader", F.min_by("node", F.struct("place", "node")).over(alike))
         .withColumn("least", F.min("node").over(alike))
         .withColumn("last", F.max("node").over(alike))
         .where((F.col("least") < F.col("last")) | (F.shiftright("token", 56) > HOT))
         .select("token", "node", "n", "place", "leader")
         .dropDuplicates(["token", "node"])
     )
-    percent = round(share * 100)
-    # Of the prefix, the part that a leader has to share to be asked: a guess, as asking is no condition.
-    often = 5 * F.col("times") >= F.col("n") - F.ceil(F.col("n") * share)
-
-    # Round one: sets and leaders.
-    met = shared.where("node <> leader").groupBy("node", F.col("leader").alias("goal"), "n").agg(F.count("*").alias("times"))
-    asked = stored(_best(met.where(often)))
-    leaders = asked.select("goal").distinct().select(F.col("goal").alias("node"), "goal")
-    found = _links(asked, leaders, docs, known, width, share)
-    held = shared.drop("leader").join(components(found), "node", "left").withColumn("goal", F.coalesce("component", "node")).drop("component")
-    held = _straddling(held)
-
-    # Round two: sets and the largest group around them.
-    met = held.where("goal <> top").groupBy("node", F.col("top").alias("goal"), "n").agg(F.count("*").alias("times"))
-    asked = stored(_best(met.where(often)))
-    members = held.select("node", "goal").distinct()
-    found = found.unionByName(_links(asked, members.join(asked.select("goal").distinct(), "goal", "left_semi"), docs, known, width, share))
-    grouped = components(found)
-    held = held.drop("goal", "top", "size").join(grouped, "node", "left").withColumn("goal", F.coalesce("component", "node")).drop("component")
-    held = _straddling(held)
-
-    # The matrix: which groups hold a shared token, and the bounds of what they hold there.
-    reach = F.max(100 * F.col("n") - (100 + percent) * F.col("place"))
-    matrix = held.groupBy("token", F.col("goal").alias("other"), F.col("size").alias("other_size")).agg(F.min("n").alias("least"), reach.alias("reach"))
-    # overlap >= percent / (100 + percent) * (n + other n), and overlap <= n - place on either side
-    near = ((100 + percent) * (F.col("n") - F.col("place")) >= percent * (F.col("n") + F.col("least"))) & (F.col("reach") >= percent * F.col("n"))
-    smaller = F.struct(F.col("size"), F.col("goal")) < F.struct(F.col("other_size"), F.col("other"))
-    candidates = stored(held.join(matrix, "token").where(smaller & near).select("node", F.col("other").alias("goal")).distinct())
-    singles = candidates.select(F.col("goal").alias("node")).distinct().join(grouped, "node", "left_anti").select("node", F.col("node").alias("goal"))
-    members = grouped.withColumnRenamed("component", "goal").join(candidates.select("goal").distinct(), "goal", "left_semi").select("node", "goal")
-    whole = components(found.unionByName(_links(candidates, members.unionByName(singles), docs, known, width, share)))
-
-    named = known.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.where("node IS NOT NULL").groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, named["component"] == least["of"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _best(met: DataFrame) -> DataFrame:
-    """node, goal: the goal that a node meets most often."""
-    return met.groupBy("node").agg(F.max(F.struct("times", "goal")).alias("best")).select("node", "best.goal")
-
-
-def _straddling(held: DataFrame) -> DataFrame:
-    """Rows of held (token, node, n, place, goal) whose token several groups hold, with the size of their group
-    as far as it holds any shared token, and the token's largest group as top."""
-    sizes = held.select("node", "goal").distinct().groupBy("goal").agg(F.count("*").alias("size"))
-    held = stored(held.join(sizes, "goal"))
-    tokens = held.groupBy("token").agg(F.min("goal").alias("a"), F.max("goal").alias("b"), F.max(F.struct("size", "goal")).alias("t"))
-    return stored(held.join(tokens.where("a < b").select("token", F.col("t.goal").alias("top")), "token"))
+    """a, b: the other that a node meets most often."""
+    return met.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("times", "other")).alias("best")).select("a", F.col("best.other").alias("b"))
+
+
+def _chunked(members: DataFrame) -> DataFrame:
+    """members (node, goal) with the chunk of its group that each node is in: groups are dealt by hash."""
+    sizes = members.groupBy("goal").agg(F.count("*").alias("size")).withColumn("salt", _each_salt())
+    dealt = members.withColumn("salt", _salted("node")).join(sizes, ["goal", "salt"])
+    return dealt.select("node", "goal", F.pmod(F.hash("node", F.lit(1)), F.ceil(F.col("size") / CHUNK)).cast("int").alias("chunk"))
+
+
+def _straddling(rows: DataFrame, grouped: DataFrame) -> DataFrame:
+    """rows (token, node, n, place) whose token several groups hold, with the group (goal, the node itself if it has
+    none) and its chunk and size, and the token's largest group (top) with one of its nodes."""
+    size = grouped.groupBy("component").agg(F.count("*").alias("size")).withColumn("salt", _each_salt())
+    dealt = grouped.withColumn("salt", _salted("node")).join(size, ["component", "salt"])
+    chunk = F.pmod(F.hash("node", F.lit(1)), F.ceil(F.col("size") / CHUNK)).cast("int")
+    own = dealt.select("node", F.col("component").alias("goal"), chunk.alias("chunk"), "size")
+    held = rows.join(own, "node", "left").withColumn("goal", F.coalesce("goal", "node")).na.fill({"chunk": 0, "size": 1})
+    held = stored(held.withColumn("salt", _salted("node")))
+    tokens = held.groupBy("token").agg(F.min("goal").alias("a"), F.max("goal").alias("b"), F.max(F.struct("size", "goal", -F.col("place"), "node")).alias("t"))
+    tokens = tokens.where("a < b").select("token", F.col("t.goal").alias("top"), F.col("t.node").alias("top_node")).withColumn("salt", _each_salt())
+    return stored(held.join(tokens, ["token", "salt"]).drop("salt"))
+
+
+def _band(n: Column) -> Column:
+    """Sets that can link are in the same band of sizes or in neighbouring ones, at shares down to 0.5."""
+    return F.floor(F.log2(n.cast("double"))).cast("int")
+
+
+def _candidates(held: DataFrame, percent: int) -> DataFrame:
+    """node, goal, chunk: sets and groups that the matrix lets meet, the larger group being asked.
+
+    Sets of n and m shingles link only if overlap >= percent / (100 + percent) * (n + m). At their first common
+    shingle the overlap is at most n - place on either side. So a place bounds the sizes that can be met through it,
+    and rows meet by shingle and band of sizes. Frequent shingles are dealt by salt."""
+    all_ = 100 + percent
+    level = F.greatest(F.shiftright("token", 56) - HOT, F.lit(0)).cast("int")
+    deal = F.pow(F.lit(2.0), F.least(level, F.lit(10))).cast("int")
+    band = _band(F.col("n"))
+    reach = F.max(all_ * (F.col("n") - F.col("place")) - percent * F.col("n"))
+    matrix = held.groupBy("token", F.col("goal").alias("other"), F.col("chunk").alias("other_chunk"), band.alias("band")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), reach.alias("reach"), F.max("size").alias("other_size")
+    )
+    matrix = matrix.withColumn("deal", F.explode(F.sequence(F.lit(0), deal - 1)))
+    # the largest size that can be met, and the smallest
+    high = F.floor((all_ * (F.col("n") - F.col("place")) - percent * F.col("n")) / percent)
+    low = F.ceil(percent * F.col("n") / 100)
+    asking = held.select("token", "node", "n", "goal", "size", low.alias("low"), F.least(high, F.floor(100 * F.col("n") / percent)).alias("high"))
+    asking = asking.where("low <= high").withColumn("band", F.explode(F.sequence(_band(F.col("low")), _band(F.col("high")))))
+    asking = asking.withColumn("deal", F.pmod(F.hash("node"), deal))
+    near = (F.col("least") <= F.col("high")) & (F.col("most") >= F.col("low")) & (F.col("reach") >= percent * F.col("n"))
+    smaller = F.struct(F.col("size"), F.col("goal")) < F.struct(F.col("other_size"), F.col("other"))
+    met = asking.join(matrix, ["token", "band", "deal"]).where(near & smaller)
+    return met.select("node", F.col("other").alias("goal"), F.col("other_chunk").alias("chunk")).distinct()

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 
-from .common import SLICE, mixed, slices
+from .common import SLICE, mixed
 
 WIDTH = 5
 #: Word hashes that a worker keeps.
@@ -50,19 +48,9 @@ def word_hashes(text: str) -> np.ndarray:
     return word_ids(text.encode().lower())
 
 
-def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
-    """For each text (null: empty) its distinct shingles of `width` words as sorted 64-bit hashes: A-Z lower-cased,
-    words parted by ASCII white space. Fewer words make one shingle; no word makes none."""
-    return [shingles(x.as_py() or b"", width) for x in texts.cast(pa.binary())]
-
-
-def sliced_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[list[np.ndarray]]:
-    """The same, some texts at a time."""
-    for part in slices(texts):
-        yield [shingles(x, width) for x in part]
-
-
 def shingles(raw: bytes, width: int = WIDTH) -> np.ndarray:
+    """The distinct shingles of `width` words of a text as sorted 64-bit hashes: A-Z lower-cased, words parted by
+    ASCII white space. Fewer words make one shingle; no word makes none."""
     ids = word_ids(raw.lower())
     if len(ids) >= width:
         rolled = ids[: len(ids) - width + 1].copy()
