@@ -95,7 +95,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_suffix_dedup": """
 WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
-w AS MATERIALIZED (SELECT doc_id, s, hash(substr(x, 2 * s + 1, 400)) AS h FROM (SELECT doc_id, x, unnest(range(0, n - 199)) AS s FROM d)),
+w AS MATERIALIZED (SELECT doc_id, s, md5_number(substr(x, 2 * s + 1, 400)) AS h FROM (SELECT doc_id, x, unnest(range(0, n - 199)) AS s FROM d)),
 dup AS MATERIALIZED (SELECT doc_id, s FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
 run AS MATERIALIZED (
   SELECT doc_id, min(s) AS a, max(s) + 200 AS b FROM (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm.graph import components
 from palisade.llm.jaccard_join import join_similar
-from palisade.llm.suffix_dedup import anchors, cut_repeats, sorted_suffixes
+from palisade.llm.suffix_dedup import anchors, cut_repeats, multikey_quicksort, sorted_suffixes
 
 
 def shingles(text):
@@ -116,12 +116,25 @@ def test_suffixes_are_sorted(seed):
     data = base + base[: r.randint(0, 60)] + bytes(60)
     starts = np.arange(len(data) - width - 10)
     group = np.array([r.randint(0, 1) for _ in starts])
-    got = sorted_suffixes(data, starts, group, width)
+    order, fresh = sorted_suffixes(data, starts, group, width)
+    got = [x.tolist() for x in np.split(order, np.flatnonzero(fresh)[1:])]
     keys = [(int(group[x[0]]), data[x[0] : x[0] + width]) for x in got]
     assert keys == sorted(set(keys)) and sum(map(len, got)) == len(starts)
     assert all((int(group[i]), data[i : i + width]) == k for x, k in zip(got, keys, strict=True) for i in x)
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_multikey_quicksort(seed):
+    r = np.random.default_rng(seed)
+    n = int(r.choice([0, 1, 2, 50, 3000]))
+    words = r.integers(0, r.choice([1, 2, 5, 1 << 60]), (n, 3)).astype(np.uint64)
+    group = np.sort(r.integers(0, 4, n))
+    order, fresh = multikey_quicksort(words, group)
+    rows = [(int(group[i]), *words[i].tolist()) for i in order]
+    assert rows == sorted(rows) and sorted(order.tolist()) == list(range(n))
+    assert fresh.tolist() == [k == 0 or rows[k] != rows[k - 1] for k in range(n)]
+
+
 def test_anchors_own_every_window_once():
     r = random.Random(1)
     texts = [bytes(r.choice(b"abc") for _ in range(n)) for n in (0, 10, 200, 199, 1000, 200)]
