@@ -43,7 +43,8 @@ CHUNK = 128
 QUERIES = 512
 #: Shingles of this magnitude or more are dealt to several tasks.
 HOT = 12
-SALTS = 16
+#: Keys with many rows that are sent to all tasks at most.
+SENT = 1_000_000
 
 
 def _node(own: np.ndarray) -> tuple[int, int]:
@@ -155,100 +156,137 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verified(parts, percent):
-    """The rows (a, b, own, its) whose sets link."""
+UNIT = ["goal", "chunk", "part"]
+
+
+def _meetings(parts):
+    """From rows (goal, chunk, part, asks, node, shingles) sorted by unit, those that don't ask first: for each row that
+    asks its unit, node and set, and the unit's other nodes and sets."""
+    unit, nodes, sets = None, [], []
     for batch in parts:
-        sets = (map(_unpacked, batch.column(x)) for x in ("own", "its"))
-        yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array([_linked(x, y, percent) for x, y in zip(*sets, strict=True)], pa.bool_()))
+        values = (batch.column(x).to_pylist() for x in (*UNIT, "asks", "node"))
+        for *at, asks, node, own in zip(*values, map(_unpacked, batch.column("shingles")), strict=True):
+            if at != unit:
+                unit, nodes, sets = at, [], []
+            if asks:
+                yield unit, node, own, nodes, sets
+            elif not nodes or nodes[-1] != node:
+                # a set that several tasks have seen comes several times
+                nodes.append(node)
+                sets.append(own)
+
+
+def _rows(found, types, names, most=10_000):
+    """Rows in batches of `most`."""
+    held = []
+    for row in found:
+        held.append(row)
+        if len(held) == most:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
 
-UNION = pa.schema([("goal", pa.int64()), ("chunk", pa.int32()), ("sets", pa.int64()), ("one", pa.int64()), ("every", pa.binary())])
+def _bounded(parts, percent):
+    """Queries (goal, chunk, part, node) that the group's union lets in; a group of one set is settled here, its set
+    being the union: `one` is the link."""
 
+    def found():
+        for unit, node, own, nodes, sets in _meetings(parts):
+            # the union is the unit's only row: its node tells the set, if there is but one
+            if nodes[0] is not None:
+                if _linked(own, sets[0], percent):
+                    yield (*unit, node, nodes[0])
+            elif 100 * _overlap(own, sets[0]) >= percent * len(own):
+                yield (*unit, node, None)
 
-def _union(key, group):
-    """The sorted shingles of all sets of a group, and how many sets it has."""
-    sets = [_unpacked(x) for x in group.column("shingles")]
-    every = sets[0] if len(sets) == 1 else np.unique(np.concatenate(sets))
-    row = {"goal": key[0].as_py(), "chunk": key[1].as_py(), "sets": len(sets), "one": group.column("node")[0].as_py(), "every": every.tobytes()}
-    return pa.Table.from_pylist([row], UNION)
+    yield from _rows(found(), [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()], [*UNIT, "node", "one"])
 
 
-def _bounded(parts, percent):
-    """Candidates (node, goal, chunk, part, sets, one, own, every) that the group's union lets in; a group of one set
-    is settled here: its link, if there is one, in `one`."""
-    for batch in parts:
-        keep = []
-        for own, every, sets in zip(map(_unpacked, batch.column("own")), map(_unpacked, batch.column("every")), batch.column("sets").to_pylist(), strict=True):
-            keep.append(_linked(own, every, percent) if sets == 1 else 100 * _overlap(own, every) >= percent * len(own))
-        names = ["node", "goal", "chunk", "part", "sets", "one"]
-        yield pa.RecordBatch.from_arrays([batch.column(x) for x in names], names).filter(pa.array(keep, pa.bool_()))
+def _opened(parts, percent):
+    """The first link of each query among its unit's sets."""
+
+    def found():
+        for _, node, own, nodes, sets in _meetings(parts):
+            hit = next((other for other, its in zip(nodes, sets, strict=True) if _linked(own, its, percent)), None)
+            if hit is not None:
+                yield node, hit
 
+    yield from _rows(found(), [pa.int64(), pa.int64()], ["a", "b"])
 
-def _opened(key, members, queries, percent):
-    """The first link of each query among the group's sets."""
-    sets = [_unpacked(x) for x in members.column("shingles")]
-    nodes = members.column("node").to_pylist()
-    a, b = [], []
-    for node, own in zip(queries.column("node").to_pylist(), map(_unpacked, queries.column("shingles")), strict=True):
-        hit = next((other for other, its in zip(nodes, sets, strict=True) if _linked(own, its, percent)), None)
-        if hit is not None:
-            a.append(node)
-            b.append(hit)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+def _unions(parts):
+    """From rows (goal, chunk, node, shingles) sorted by group: the group's sorted shingles, and its node if it has
+    one alone."""
 
-def _salted(column: str) -> Column:
-    return F.pmod(F.hash(column), F.lit(SALTS))
+    def whole(group, nodes, sets):
+        return (*group, next(iter(nodes)) if len(nodes) == 1 else None, (sets[0] if len(sets) == 1 else np.unique(np.concatenate(sets))).tobytes())
 
+    def found():
+        group, nodes, sets = None, set(), []
+        for batch in parts:
+            for goal, chunk, node, own in zip(*(batch.column(x).to_pylist() for x in ("goal", "chunk", "node")), map(_unpacked, batch.column("shingles")), strict=True):
+                if (goal, chunk) != group:
+                    if sets:
+                        yield whole(group, nodes, sets)
+                    group, nodes, sets = (goal, chunk), set(), []
+                if node not in nodes:
+                    nodes.add(node)
+                    sets.append(own)
+        if sets:
+            yield whole(group, nodes, sets)
 
-def _each_salt() -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    yield from _rows(found(), [pa.int64(), pa.int32(), pa.int64(), pa.binary()], ["goal", "chunk", "node", "shingles"], 100)
+
+
+def _counted(rows: DataFrame, key: str | list[str], per: int) -> DataFrame:
+    """rows with `parts`: how many parts of `per` rows or so all rows with their key make. Only keys with several are
+    looked up; they are at most one for each `per` rows, and sent to all tasks up to SENT."""
+    key = [key] if isinstance(key, str) else key
+    big = rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > per).select(*key, F.ceil(F.col("n") / per).cast("int").alias("parts"))
+    big = stored(big)
+    few = big.count() <= SENT
+    return rows.join(F.broadcast(big) if few else big, key, "left").na.fill({"parts": 1})
 
 
 class _Sets:
     """The stored sets by node."""
 
-    def __init__(self, sets: DataFrame):
-        self.sets = sets
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """rows (with node) and their shingles; sets of no row are turned away before the join."""
+        rows = stored(rows)
+        return rows.join(likely(self.sets, "node", rows.select("node").distinct()), "node")
 
-    def of(self, nodes: DataFrame) -> DataFrame:
-        """node, shingles for each of the nodes (distinct); sets of no node are turned away before the join."""
-        return likely(self.sets, "node", nodes).join(nodes, "node").dropDuplicates(["node"])
+    def _met(self, rows: DataFrame, work, schema: str) -> DataFrame:
+        ordered = rows.select(*UNIT, "asks", "node", "shingles").repartition(*UNIT).sortWithinPartitions(*UNIT, "asks", "node")
+        return ordered.mapInArrow(partial(work, percent=self.percent), schema)
 
-    def verified(self, pairs: DataFrame, percent: int) -> DataFrame:
+    def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
-        pairs = stored(pairs)
-        some = self.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        some = stored(some)
-        both = pairs.join(some.select(F.col("node").alias("a"), F.col("shingles").alias("own")), "a")
-        both = both.join(some.select(F.col("node").alias("b"), F.col("shingles").alias("its")), "b").select("a", "b", "own", "its")
-        return stored(both.mapInArrow(partial(_verified, percent=percent), "a long, b long"))
-
-    def opened(self, candidates: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+        pairs = _counted(stored(pairs.select("a", F.col("b").alias("goal"))), "goal", QUERIES)
+        asking = pairs.select("goal", F.pmod(F.hash("a"), "parts").alias("part"), F.lit(True).alias("asks"), F.col("a").alias("node"))
+        asked = asking.select("goal", "part", F.lit(False).alias("asks"), F.col("goal").alias("node")).distinct()
+        units = asking.unionByName(asked).withColumn("chunk", F.lit(0))
+        return stored(self._met(self.of(units), _opened, "a long, b long"))
+
+    def opened(self, candidates: DataFrame, members: DataFrame) -> DataFrame:
         """Verified links of candidates (node, goal, chunk) into groups, members (node, goal, chunk)."""
         group = ["goal", "chunk"]
-        asked = candidates.groupBy(*group).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-        asked = stored(asked)
-        members = stored(members.join(asked.select(*group), group, "left_semi"))
-        some = stored(self.of(candidates.select("node").union(members.select("node")).distinct()))
-        unions = members.join(some, "node").groupBy(*group).applyInArrow(_union, "goal long, chunk int, sets long, one long, every binary")
-        unions = unions.join(asked, group).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        met = candidates.join(asked, group).withColumn("part", F.pmod(F.hash("node"), "parts")).drop("parts")
-        met = met.join(some.withColumnRenamed("shingles", "own"), "node").join(unions, [*group, "part"])
-        met = met.select("node", *group, "part", "sets", "one", "own", "every")
-        let_in = stored(met.mapInArrow(partial(_bounded, percent=percent), "node long, goal long, chunk int, part int, sets long, one long"))
-        settled = let_in.where("sets = 1").select(F.col("node").alias("a"), F.col("one").alias("b"))
-        let_in = let_in.where("sets > 1").select("node", *group, "part")
-        unit = [*group, "part"]
-        queries = let_in.join(some, "node").select(*unit, "node", "shingles")
-        inside = members.join(let_in.select(*unit).distinct(), group).join(some, "node").select(*unit, "node", "shingles")
-        left, right = (x.select(*(F.col(c).alias(c) for c in (*unit, "node", "shingles"))) for x in (inside, queries))
-
-        def work(key, members, queries):
-            return _opened(key, members, queries, percent)
-
-        links = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInArrow(work, "a long, b long")
-        return stored(settled.unionByName(links))
+        asking = stored(_counted(candidates, group, QUERIES).select(*group, F.pmod(F.hash("node"), "parts").alias("part"), F.lit(True).alias("asks"), "node"))
+        units = stored(asking.select(*UNIT).distinct())
+        members = stored(members.join(units.select(*group).distinct(), group, "left_semi"))
+        unions = self.of(members).select(*group, "node", "shingles").repartition(*group).sortWithinPartitions(*group, "node")
+        unions = stored(unions.mapInArrow(_unions, "goal long, chunk int, node long, shingles binary"))
+        bounds = unions.join(units, group).withColumn("asks", F.lit(False)).unionByName(self.of(asking))
+        let_in = stored(self._met(bounds, _bounded, "goal long, chunk int, part int, node long, one long"))
+        settled = let_in.where("one IS NOT NULL").select(F.col("node").alias("a"), F.col("one").alias("b"))
+        let_in = let_in.where("one IS NULL").select(*UNIT, F.lit(True).alias("asks"), "node")
+        inside = members.join(let_in.select(*UNIT).distinct(), group).select(*UNIT, F.lit(False).alias("asks"), "node")
+        return stored(settled.unionByName(self._met(self.of(inside.unionByName(let_in)), _opened, "a long, b long")))
 
 
 def join_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: float = 0.75) -> DataFrame:
@@ -268,25 +306,25 @@ def join_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     often = stored(made.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")))
     made = _told_apart(made.where("token IS NULL"))
     known = made.select("doc_id", "n_shingles", "node")
-    sets = _Sets(made.where("shingles IS NOT NULL").select("node", "shingles"))
+    sets = _Sets(made.where("shingles IS NOT NULL").select("node", "shingles"), percent)
     shared = _shared(sets.sets, often, share)
 
     # Of the prefix, the part that two sets have to share to be compared: a guess, as comparing is no condition.
-    enough = 5 * F.col("times") >= F.col("n") - F.ceil(F.col("n") * share)
+    enough = 2 * F.col("times") >= F.col("n") - F.ceil(F.col("n") * share)
     # Round one: sets and leaders.
     met = shared.where("node <> leader").groupBy("node", F.col("leader").alias("other"), "n").agg(F.count("*").alias("times"))
-    found = sets.verified(_best(met.where(enough)), percent)
+    found = sets.verified(_best(met.where(enough)))
     held = _straddling(shared.drop("leader"), components(found))
     # Round two: sets and a set of the largest group around them.
     met = held.where("goal <> top").groupBy("node", F.col("top_node").alias("other"), "n").agg(F.count("*").alias("times"))
-    found = found.unionByName(sets.verified(_best(met.where(enough)), percent))
+    found = found.unionByName(sets.verified(_best(met.where(enough))))
     grouped = components(found)
     held = _straddling(held.select("token", "node", "n", "place"), grouped)
 
     candidates = stored(_candidates(held, percent))
-    members = _chunked(grouped.withColumnRenamed("component", "goal"))
+    members = _chunked(grouped).select("node", "goal", "chunk")
     alone = candidates.select(F.col("goal").alias("node")).distinct().join(grouped, "node", "left_anti").select("node", F.col("node").alias("goal"), F.lit(0).alias("chunk"))
-    whole = components(found.unionByName(sets.opened(candidates, members.unionByName(alone), percent)))
+    whole = components(found.unionByName(sets.opened(candidates, members.unionByName(alone))))
 
     named = known.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.where("node IS NOT NULL").groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("component_id"))
@@ -319,24 +357,27 @@ def _best(met: DataFrame) -> DataFrame:
     return met.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("times", "other")).alias("best")).select("a", F.col("best.other").alias("b"))
 
 
-def _chunked(members: DataFrame) -> DataFrame:
-    """members (node, goal) with the chunk of its group that each node is in: groups are dealt by hash."""
-    sizes = members.groupBy("goal").agg(F.count("*").alias("size")).withColumn("salt", _each_salt())
-    dealt = members.withColumn("salt", _salted("node")).join(sizes, ["goal", "salt"])
-    return dealt.select("node", "goal", F.pmod(F.hash("node", F.lit(1)), F.ceil(F.col("size") / CHUNK)).cast("int").alias("chunk"))
+def _chunked(grouped: DataFrame) -> DataFrame:
+    """node, goal, chunk and chunks from grouped (node, component): large groups are dealt by hash into groups of CHUNK
+    sets or so."""
+    dealt = _counted(grouped.withColumnRenamed("component", "goal"), "goal", CHUNK)
+    return dealt.select("node", "goal", F.pmod(F.hash("node", F.lit(1)), "parts").alias("chunk"), F.col("parts").alias("chunks"))
+
+
+def _deal(most: int = 10) -> Column:
+    """How many tasks a shingle's rows are dealt to: several where it is frequent."""
+    level = F.greatest(F.shiftright("token", 56) - HOT, F.lit(0))
+    return F.pow(F.lit(2.0), F.least(level, F.lit(most))).cast("int")
 
 
 def _straddling(rows: DataFrame, grouped: DataFrame) -> DataFrame:
     """rows (token, node, n, place) whose token several groups hold, with the group (goal, the node itself if it has
-    none) and its chunk and size, and the token's largest group (top) with one of its nodes."""
-    size = grouped.groupBy("component").agg(F.count("*").alias("size")).withColumn("salt", _each_salt())
-    dealt = grouped.withColumn("salt", _salted("node")).join(size, ["component", "salt"])
-    chunk = F.pmod(F.hash("node", F.lit(1)), F.ceil(F.col("size") / CHUNK)).cast("int")
-    own = dealt.select("node", F.col("component").alias("goal"), chunk.alias("chunk"), "size")
-    held = rows.join(own, "node", "left").withColumn("goal", F.coalesce("goal", "node")).na.fill({"chunk": 0, "size": 1})
-    held = stored(held.withColumn("salt", _salted("node")))
-    tokens = held.groupBy("token").agg(F.min("goal").alias("a"), F.max("goal").alias("b"), F.max(F.struct("size", "goal", -F.col("place"), "node")).alias("t"))
-    tokens = tokens.where("a < b").select("token", F.col("t.goal").alias("top"), F.col("t.node").alias("top_node")).withColumn("salt", _each_salt())
+    none), its chunk and how many it has, and the token's largest group (top) with one of its nodes."""
+    held = rows.join(_chunked(grouped), "node", "left").withColumn("goal", F.coalesce("goal", "node")).na.fill({"chunk": 0, "chunks": 0})
+    held = stored(held.withColumn("salt", F.pmod(F.hash("node"), _deal())))
+    tokens = held.groupBy("token").agg(F.min("goal").alias("a"), F.max("goal").alias("b"), F.max(F.struct("chunks", "goal", -F.col("place"), "node")).alias("t"))
+    tokens = tokens.where("a < b").select("token", F.col("t.goal").alias("top"), F.col("t.node").alias("top_node"))
+    tokens = tokens.withColumn("salt", F.explode(F.sequence(F.lit(0), _deal() - 1)))
     return stored(held.join(tokens, ["token", "salt"]).drop("salt"))
 
 
@@ -352,21 +393,20 @@ def _candidates(held: DataFrame, percent: int) -> DataFrame:
     shingle the overlap is at most n - place on either side. So a place bounds the sizes that can be met through it,
     and rows meet by shingle and band of sizes. Frequent shingles are dealt by salt."""
     all_ = 100 + percent
-    level = F.greatest(F.shiftright("token", 56) - HOT, F.lit(0)).cast("int")
-    deal = F.pow(F.lit(2.0), F.least(level, F.lit(10))).cast("int")
+    deal = _deal()
     band = _band(F.col("n"))
     reach = F.max(all_ * (F.col("n") - F.col("place")) - percent * F.col("n"))
     matrix = held.groupBy("token", F.col("goal").alias("other"), F.col("chunk").alias("other_chunk"), band.alias("band")).agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), reach.alias("reach"), F.max("size").alias("other_size")
+        F.min("n").alias("least"), F.max("n").alias("most"), reach.alias("reach"), F.max("chunks").alias("other_chunks")
     )
     matrix = matrix.withColumn("deal", F.explode(F.sequence(F.lit(0), deal - 1)))
     # the largest size that can be met, and the smallest
     high = F.floor((all_ * (F.col("n") - F.col("place")) - percent * F.col("n")) / percent)
     low = F.ceil(percent * F.col("n") / 100)
-    asking = held.select("token", "node", "n", "goal", "size", low.alias("low"), F.least(high, F.floor(100 * F.col("n") / percent)).alias("high"))
+    asking = held.select("token", "node", "n", "goal", "chunks", low.alias("low"), F.least(high, F.floor(100 * F.col("n") / percent)).alias("high"))
     asking = asking.where("low <= high").withColumn("band", F.explode(F.sequence(_band(F.col("low")), _band(F.col("high")))))
     asking = asking.withColumn("deal", F.pmod(F.hash("node"), deal))
     near = (F.col("least") <= F.col("high")) & (F.col("most") >= F.col("low")) & (F.col("reach") >= percent * F.col("n"))
-    smaller = F.struct(F.col("size"), F.col("goal")) < F.struct(F.col("other_size"), F.col("other"))
+    smaller = F.struct(F.col("chunks"), F.col("goal")) < F.struct(F.col("other_chunks"), F.col("other"))
     met = asking.join(matrix, ["token", "band", "deal"]).where(near & smaller)
     return met.select("node", F.col("other").alias("goal"), F.col("other_chunk").alias("chunk")).distinct()
