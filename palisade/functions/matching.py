@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from palisade.plans.patterns import byte_spelled, for_python, for_spark
 from palisade.plans.rules import Rule
 
-MATCH = "array<struct<offset:bigint,end:bigint,value:string>>"
+MATCH = "array<struct<offset:bigint,end:bigint,line:bigint,value:string>>"
+#: Characters that no byte view has: they enclose a match, and its group after it.
+_OPEN, _MIDDLE, _CLOSE = "\u0100", "\u0101", "\u0102"
+#: Matches that are placed together: appending to an array copies it, so arrays are kept short.
+_BLOCK = 128
 #: A whole token of three segments in place of the extent's opening, greedy without backing off: a run that is
 #: followed by the wrong byte is no token wherever it is cut.
 _JWT = r"\b(eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{10,}+)"
@@ -45,34 +49,59 @@ def _deep(rule: Rule):
 
     @F.pandas_udf(MATCH)
     def find(views: pd.Series) -> pd.Series:
-        return pd.Series([[{"offset": m.start(group), "end": m.end(group), "value": m[group]} for m in compiled.finditer(v)] if v else [] for v in views])
+        return pd.Series([list(places(v)) if v else [] for v in views])
+
+    def places(view: str):
+        at, line = 0, 1
+        for m in compiled.finditer(view):
+            line, at = line + view.count("\n", at, m.start(group)), m.start(group)
+            yield {"offset": at, "end": m.end(group), "line": line, "value": m[group]}
 
     return find
 
 
+def let(x: Column, f) -> Column:
+    """f(x), x being evaluated once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _newlines(x: Column) -> Column:
+    return (F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))).cast("bigint")
+
+
+def _placed(rule: Rule, pieces: Column) -> Column:
+    """Places from what stands before the first match, and the matches with what follows each."""
+    state, blocks = f"struct<at:bigint,line:bigint,found:{MATCH}>", f"struct<at:bigint,line:bigint,found:array<{MATCH}>>"
+    n = F.size(pieces) - 1
+    hits = F.transform(F.slice(pieces, F.lit(2), n), lambda p: F.split(p, f"[{_MIDDLE}{_CLOSE}]", -1))
+
+    def step(s: Column, hit: Column) -> Column:
+        match, value, gap = hit[0], hit[1], hit[2]
+        end, size = s["at"] + F.length(match), F.length(value)
+        lo, hi = (end - size, end) if rule.id in _AT_END else (s["at"], s["at"] + size)
+        one = F.array(F.struct(lo.cast("bigint").alias("offset"), hi.cast("bigint").alias("end"), s["line"].alias("line"), value.alias("value")))
+        return F.struct((end + F.length(gap)).alias("at"), (s["line"] + _newlines(match) + _newlines(gap)).alias("line"), F.concat(s["found"], one).alias("found")).cast(state)
+
+    def block(s: Column, own: Column) -> Column:
+        begin = F.struct(s["at"].alias("at"), s["line"].alias("line"), F.array().cast(MATCH).alias("found")).cast(state)
+        more = lambda r: F.struct(r["at"].alias("at"), r["line"].alias("line"), F.concat(s["found"], F.array(r["found"])).alias("found"))
+        return let(F.aggregate(own, begin, step), more).cast(blocks)
+
+    def all_of(given: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(given) - 1) / _BLOCK).cast("int")), lambda b: F.slice(given, b * _BLOCK + 1, F.lit(_BLOCK)))
+        start = F.struct(F.length(pieces[0]).cast("bigint").alias("at"), (_newlines(pieces[0]) + 1).alias("line"), F.array().cast(f"array<{MATCH}>").alias("found")).cast(blocks)
+        return F.flatten(F.aggregate(parts, start, block, lambda s: s["found"]))
+
+    return F.when(n > 0, let(hits, all_of)).otherwise(F.array().cast(MATCH))
+
+
 def matches(rule: Rule, view: Column, gated: bool = True) -> Column:
-    """array<struct<offset, end, value>> of the rule's non-overlapping matches, ascending; an empty array if the
-    gate is shut. Places are found from the texts between matches: no match is empty."""
+    """array<struct<offset, end, line, value>> of the rule's non-overlapping matches, ascending; an empty array if the
+    gate is shut. The pattern runs once: it encloses its matches in marks, and places follow from the lengths of
+    what stands between them. No match is empty."""
     none = F.array().cast(MATCH)
-    opened = gate(rule, view) if gated else F.lit(True)
+    opened = gate(rule, view) if gated and is_gated(rule) else F.lit(True)
     if rule.id in _DEEP:
         return F.when(opened & view.isNotNull(), _deep(rule)(F.when(opened, view))).otherwise(none)
-    shape = pattern(rule)
-    opened = opened & view.rlike(shape)
-    state_type = f"struct<at:bigint,found:{MATCH}>"
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("found")).cast(state_type)
-    pieces = F.arrays_zip(
-        F.split(view, shape, -1).alias("gap"), F.regexp_extract_all(view, F.lit(shape), F.lit(0)).alias("hit"),
-        F.regexp_extract_all(view, F.lit(shape), F.lit(rule.group)).alias("value"),
-    )
-
-    def step(state: Column, piece: Column) -> Column:
-        begin = state["at"] + F.length(piece["gap"])
-        end = begin + F.length(piece["hit"])
-        size = F.length(piece["value"])
-        lo, hi = (end - size, end) if rule.id in _AT_END else (begin, begin + size)
-        one = F.array(F.struct(lo.cast("bigint").alias("offset"), hi.cast("bigint").alias("end"), piece["value"].alias("value")))
-        more = F.struct(end.cast("bigint").alias("at"), F.concat(state["found"], one).alias("found"))
-        return F.when(piece["hit"].isNull(), state).otherwise(more).cast(state_type)
-
-    return F.when(opened, F.aggregate(pieces, start, step, lambda s: s["found"])).otherwise(none)
+    marked = F.regexp_replace(view, pattern(rule), f"{_OPEN}$0{_MIDDLE}${rule.group}{_CLOSE}")
+    return F.when(opened & view.isNotNull(), let(F.split(marked, _OPEN, -1), lambda pieces: _placed(rule, pieces))).otherwise(none)

@@ -67,30 +67,41 @@ def has_nul(content: Column) -> Column:
 
 
 def decoded(content: Column | str) -> Column:
-    """Content as UTF-8 bytes where it is UTF-16, else as it is."""
+    """Content as UTF-8 bytes where it is UTF-16, else as it is. Other content does not go to Python."""
     c = column(content)
     kind = encoding(c)
-    return F.when(kind.startswith("utf-16"), utf16_to_utf8(c, kind)).otherwise(c)
+    wide = kind.startswith("utf-16")
+    return F.when(wide, utf16_to_utf8(F.when(wide, c), kind)).otherwise(c)
 
 
 def skipped(content: Column | str, include_binary: bool = False) -> Column:
     """READ, or why content can't be read as text. include_binary: content with NUL bytes is matched all the
-    same, up to RAW_LIMIT, and says so."""
+    same, up to RAW_LIMIT, and says so. Of UTF-16, no more is decoded than what is looked at."""
     c = column(content)
     kind = encoding(c)
     binary = F.when(F.lit(include_binary) & (F.octet_length(c) <= RAW_LIMIT), READ_RAW).otherwise(BINARY)
     return (
         F.when(kind.startswith("utf-32"), UTF32)
-        .when(kind.startswith("utf-16"), F.when(has_nul(decoded(c)), UTF16_BINARY).otherwise(READ))
+        .when(kind.startswith("utf-16"), F.when(has_nul(decoded(F.substring(c, 1, 2 + 2 * SNIFFED))), UTF16_BINARY).otherwise(READ))
         .when(has_nul(c), binary)
         .otherwise(READ)
     )
 
 
-def source_offset(content: Column, offset: Column) -> Column:
-    """The place in the content of a byte place in its decoded form: UTF-16 has two bytes a unit."""
-    c = column(content)
-    before = F.decode(F.substring(decoded(c), F.lit(1), offset.cast("int")), "ISO-8859-1")
-    # units: each byte that starts a character, and a second one for those beyond the basic plane
-    units = F.length(F.regexp_replace(before, "[\x80-\xbf]", "")) + F.length(F.regexp_replace(before, "[^\xf0-\xf7]", ""))
-    return F.when(encoding(c).startswith("utf-16"), 2 + 2 * units).otherwise(offset).cast("long")
+def _units(view: Column) -> Column:
+    """UTF-16 units of a byte view of whole characters: each byte that starts one, and a second unit for those
+    beyond the basic plane."""
+    return F.length(F.regexp_replace(view, "[\x80-\xbf]", "")) + F.length(F.regexp_replace(view, "[^\xf0-\xf7]", ""))
+
+
+def utf16_places(view: Column, places: Column) -> Column:
+    """map from places in a byte view, ascending and different, to those in its UTF-16 form, after its mark: each from
+    the one before."""
+    kind = "struct<at:bigint,units:bigint,found:array<bigint>>"
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("units"), F.array().cast("array<bigint>").alias("found")).cast(kind)
+
+    def step(s: Column, place: Column) -> Column:
+        more = s["units"] + _units(F.substring(view, (s["at"] + 1).cast("int"), (place - s["at"]).cast("int")))
+        return F.struct(place.alias("at"), more.alias("units"), F.concat(s["found"], F.array(2 + 2 * more)).alias("found")).cast(kind)
+
+    return F.map_from_arrays(places, F.aggregate(places, start, step, lambda s: s["found"]))

@@ -78,11 +78,11 @@ def not_example_ssn(v: Column) -> Column:
 
 
 def entropy(v: Column) -> Column:
-    """Shannon bits a byte."""
+    """Shannon bits a byte: from the lengths of the runs of equal bytes, once sorted."""
     n = F.length(v)
-    symbols = F.array_distinct(F.split(v, ""))
-    share = lambda c: (n - F.length(F.replace(v, c, F.lit("")))) / n
-    return F.when(n > 0, F.aggregate(symbols, F.lit(0.0), lambda total, c: total - F.when(c == "", 0.0).otherwise(share(c) * F.log2(share(c))))).otherwise(0.0)
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(v, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    spent = F.aggregate(runs, F.lit(0.0), lambda total, run: total + F.length(run) * F.log2(F.length(run)))
+    return F.when(n > 0, F.log2(n) - spent / n).otherwise(0.0)
 
 
 def ipv4_number(v: Column) -> Column:
@@ -111,19 +111,27 @@ def public_ipv4(v: Column) -> Column:
     return ipv4_number(v).isNotNull() & reserved_block(v).isNull()
 
 
-def near_label(view: Column, offset: Column, labels: Iterable[str]) -> Column:
-    """Whether a label stands in the LABEL_WINDOW bytes before the place, apart from letters and digits (an
-    underscore parts words here). The window's ends part words as well."""
+def before(view: Column, offset: Column) -> Column:
+    """The LABEL_WINDOW bytes before a place, or as many as there are."""
     start = F.greatest(offset - LABEL_WINDOW, F.lit(0))
-    window = ascii_lower(F.substring(view, (start + 1).cast("int"), (offset - start).cast("int")))
+    return F.substring(view, (start + 1).cast("int"), (offset - start).cast("int"))
+
+
+def labelled(window: Column, labels: Iterable[str]) -> Column:
+    """Whether a label stands in the bytes before a place, apart from letters and digits (an
+    underscore parts words here). The window's ends part words as well."""
     word = "[a-z0-9]"
     shapes = []
     for label in labels:
         own = byte_spelled(label).translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)}))
-        before = f"(?<!{word})" if own[0].isascii() and own[0].isalnum() else ""
-        after = f"(?!{word})" if own[-1].isascii() and own[-1].isalnum() else ""
-        shapes.append(before + "\\Q" + own + "\\E" + after)
-    return (offset > 0) & window.rlike("|".join(shapes))
+        left = f"(?<!{word})" if own[0].isascii() and own[0].isalnum() else ""
+        right = f"(?!{word})" if own[-1].isascii() and own[-1].isalnum() else ""
+        shapes.append(left + "\\Q" + own + "\\E" + right)
+    return ascii_lower(window).rlike("|".join(shapes))
+
+
+def near_label(view: Column, offset: Column, labels: Iterable[str]) -> Column:
+    return labelled(before(view, offset), labels)
 
 
 def _hmac(message: Column, key: bytes, bits: int) -> Column:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A path outside quotes, of two parts or more.
-_BARE_PATH = r'(?:[A-Za-z]:\\|/)[^\s,;:()"]*(?:[/\\][^\s,;:()"]*)+'
+from palisade.operators.scan import withheld
+
+#: A path outside quotes: a slash, or a drive and a backslash, and two separators or more before it ends.
+_IN_PATH = r"""[^\s,;:()"/\\]"""
+_BARE_PATH = rf"(?:[A-Za-z]:(?=\\)|(?=/))(?:[/\\]{_IN_PATH}*){{2,}}"
 # Times that a user may write.
 TIMES = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss")
 ELIDED = '"…"'
@@ -63,3 +66,19 @@ def since(log: DataFrame, bound: str, time: str = "time", version: str = "versio
         raise ValueError(f"{bound} is neither a time nor a version")
     keep = F.coalesce(keep, F.lit(False))
     return log.where(keep), log.agg(F.count_if(~keep & ~unversioned).alias("older"), F.count_if(unversioned).alias("unversioned"))
+
+
+def records(calls: DataFrame, decided: DataFrame, time: Column, version: str) -> DataFrame:
+    """A log record for each call that was abstained from: what a person should know was not looked at.
+
+    calls: call_id, event, cwd, session_id, tool_name, file_path, path; decided: the verdicts. Names that hold a
+    finding themselves are withheld."""
+    c = F.col
+    named = F.filter(F.array("file_path", "path"), lambda x: x.isNotNull())
+    open_ = calls.join(decided.where("verdict = 'abstain'").select("call_id", "reason"), "call_id")
+    name = F.explode_outer(named).alias("name")
+    shown = open_.select("*", name).withColumn("name", withheld(c("name")))
+    return shown.groupBy("call_id").agg(
+        F.first("event").alias("event"), F.first("tool_name").alias("tool"), F.first("session_id").alias("session_id"), F.first("cwd").alias("cwd"),
+        F.first("reason").alias("reason"), F.array_sort(F.collect_list("name")).alias("operands"),
+    ).select(time.alias("time"), "event", "tool", "session_id", withheld(c("cwd")).alias("cwd"), F.lit(version).alias("version"), "reason", "operands")

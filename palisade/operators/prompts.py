@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.operators.paths import resolved
+from palisade.operators.scan import withheld
 
 # Fixed value: white space by Unicode, and the byte order mark, which part tokens.
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -39,3 +40,11 @@ def named_files(prompts: DataFrame, key: str, prompt: str, inventory: DataFrame,
     found = path.join(inventory, "path").join(listed, F.col("path") == F.col("dir"), "left")
     content = F.when(F.col("kind") == "dir", F.encode(F.coalesce("names", F.lit("")), "UTF-8")).otherwise(F.col("content").cast("binary"))
     return found.select(key, "path", "kind", content.alias("content"))
+
+
+def sent_by(prompts: DataFrame, key: str, prompt: str, inventory: DataFrame, cwd: str, home: str = "/home") -> DataFrame:
+    """key, label, content: all that a prompt sends, its own text and the files that it names. Labels that hold a
+    finding are withheld."""
+    own = prompts.where(F.col(prompt).isNotNull()).select(key, F.lit("<prompt>").alias("label"), F.encode(prompt, "UTF-8").alias("content"))
+    named = named_files(prompts, key, prompt, inventory, cwd, home).select(key, withheld(F.col("path")).alias("label"), "content")
+    return own.unionByName(named)

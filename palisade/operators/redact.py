@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.text import byte_view, line_number
+from palisade.operators.scan import found_in, may_match
+from palisade.plans.rules import Rule, rules
 
 LISTED = 5
 
@@ -28,13 +32,45 @@ def _spliced(view: Column, spans: Column) -> Column:
     return F.concat(whole["out"], F.substring(view, (whole["at"] + 1).cast("int"), F.length(view)))
 
 
+def _hidden(view: Column, spans: Column) -> Column:
+    """The text of a byte view with spans (offset, rule_id, end), in any order, hidden."""
+    return F.decode(F.encode(_spliced(view, F.array_sort(spans)), "ISO-8859-1"), "UTF-8")
+
+
 def redacted(df: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
     """key, redacted (text): each finding's bytes replaced by a marker that names its rule. Texts without findings
-    come unchanged. A finding that starts where another does goes first by rule id."""
-    spans = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("offset", "rule_id", "end"))).alias("spans"))
+    come unchanged. A finding that starts where another does goes first by rule id. For findings that come from
+    elsewhere, by key; redact() scans and hides in one pass."""
+    spans = found.groupBy(key).agg(F.collect_list(F.struct("offset", "rule_id", "end")).alias("spans"))
     joined = df.select(F.col(key), F.col(text).alias("text")).join(spans, key, "left")
-    hidden = F.decode(F.encode(_spliced(byte_view("text"), F.col("spans")), "ISO-8859-1"), "UTF-8")
-    return joined.select(key, F.when(F.col("spans").isNull(), F.col("text")).otherwise(hidden).alias("redacted"))
+    return joined.select(key, F.when(F.col("spans").isNull(), F.col("text")).otherwise(_hidden(byte_view("text"), F.col("spans"))).alias("redacted"))
+
+
+def _judged(df: DataFrame, text: str, which: Sequence[Rule] | None, check: bool) -> tuple[DataFrame, Column]:
+    """df with what is found in each text, in the row itself; null where no rule can match."""
+    which = list(which if which is not None else rules())
+    view = byte_view(text)
+    return df.withColumn("__found", F.when(may_match(which, F.col(text)), found_in(view, which, check))), F.coalesce(F.size("__found") > 0, F.lit(False))
+
+
+def redact(df: DataFrame, key: str, text: str, which: Sequence[Rule] | None = None, check: bool = True) -> DataFrame:
+    """key, redacted: what redacted() gives for the texts' own findings, without a shuffle. check=False hides all
+    candidates."""
+    judged, any_ = _judged(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", which, check)
+    spans = F.transform("__found", lambda m: F.struct(m["offset"].alias("offset"), m["rule_id"].alias("rule_id"), m["end"].alias("end")))
+    return judged.select(F.col("key").alias(key), F.when(any_, _hidden(byte_view("text"), spans)).otherwise(F.col("text")).alias("redacted"))
+
+
+def without_findings(df: DataFrame, text: str, which: Sequence[Rule] | None = None) -> DataFrame:
+    """df's rows in whose text nothing is found, unchanged and without a shuffle."""
+    judged, any_ = _judged(df, text, which, True)
+    return judged.where(~any_).drop("__found")
+
+
+def with_findings(df: DataFrame, text: str, which: Sequence[Rule] | None = None) -> DataFrame:
+    """df's other rows."""
+    judged, any_ = _judged(df, text, which, True)
+    return judged.where(any_).drop("__found")
 
 
 def with_lines(df: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from palisade.functions import text as T
 from palisade.functions.matching import is_gated, matches, pattern
-from palisade.functions.validators import passes
+from palisade.functions.validators import before, passes
 from palisade.plans.rules import Rule, rules
 
+WITHHELD = "(a name that is withheld)"
+
 
 def digest(rule_id: Column | str, value: Column) -> Column:
     """A finding's key: 16 hex digits of the hash of rule and value bytes, which it doesn't reveal."""
@@ -20,13 +22,6 @@ def digest(rule_id: Column | str, value: Column) -> Column:
     return F.substring(F.sha2(F.concat(F.encode(rule, "UTF-8"), F.unhex(F.lit("00")), F.encode(value, "ISO-8859-1")), 256), 1, 16)
 
 
-def _of(rule_id: str, order: int):
-    def row(m: Column) -> Column:
-        return F.struct(F.lit(rule_id).alias("rule_id"), F.lit(order).alias("rule_order"), m["offset"].alias("offset"), m["end"].alias("end"), m["value"].alias("value"))
-
-    return row
-
-
 def may_match(which: Sequence[Rule], text: Column) -> Column:
     """Whether any rule can match the text at all: cheap looks, so that most texts get no further."""
     words = sorted({k.lower() for r in which for k in r.keywords if k and is_gated(r)})
@@ -35,35 +30,64 @@ def may_match(which: Sequence[Rule], text: Column) -> Column:
     return reduce(lambda a, b: a | b, looks, F.lit(False)) & text.isNotNull()
 
 
-def candidates(df: DataFrame, key: str, text: str, which: Sequence[Rule]) -> DataFrame:
-    """key, view, rule_id, rule_order, offset, end, value: all matches of the rules, unchecked."""
-    likely = df.where(may_match(which, F.col(text).cast("string")))
-    viewed = likely.select(F.col(key), T.byte_view(text).alias("view"))
-    each = [F.transform(matches(r, F.col("view")), _of(r.id, i)) for i, r in enumerate(which)]
+def found_in(view: Column, which: Sequence[Rule], check: bool = True) -> Column:
+    """array<struct<rule_id, rule_order, offset, end, line, value>> of a byte view's candidates that pass the checks of
+    their rule (or all of them), rule by rule."""
+
+    def of(rule: Rule, order: int) -> Column:
+        met = matches(rule, view)
+        if check:
+            met = F.filter(met, lambda m: passes(rule, m["value"], view, m["offset"]))
+        names = ("offset", "end", "line", "value")
+        return F.transform(met, lambda m: F.struct(F.lit(rule.id).alias("rule_id"), F.lit(order).alias("rule_order"), *(m[x].alias(x) for x in names)))
+
+    each = [of(r, i) for i, r in enumerate(which)]
+    return F.concat(*each) if len(each) > 1 else each[0]
+
+
+def _exploded(df: DataFrame, found: str) -> DataFrame:
+    """df with a row for each member of its column `found`, as m."""
     # explode_outer: for explode, the optimizer would look for matches once more, to see whether there are any
-    found = viewed.select(key, "view", F.explode_outer(F.concat(*each) if len(each) > 1 else each[0]).alias("m"))
-    return found.where(F.col("m").isNotNull()).select(key, "view", "m.*")
+    return df.withColumn("m", F.explode_outer(found)).where(F.col("m").isNotNull())
 
 
-def checked(found: DataFrame, which: Sequence[Rule]) -> DataFrame:
-    """The candidates that pass the checks of their rule."""
-    stays = reduce(lambda rest, r: F.when(F.col("rule_id") == r.id, passes(r, F.col("value"), F.col("view"), F.col("offset"))).otherwise(rest), which, F.lit(False))
-    return found.where(stays)
+def candidates(df: DataFrame, key: str, text: str, which: Sequence[Rule]) -> DataFrame:
+    """key, rule_id, rule_order, offset, end, line, value, before (the bytes before it): all matches, unchecked."""
+    viewed = df.where(may_match(which, F.col(text).cast("string"))).select(F.col(key).alias("key"), T.byte_view(text).alias("view"))
+    near = F.transform(found_in(F.col("view"), which, check=False), lambda m: m.withField("before", before(F.col("view"), m["offset"])))
+    return _exploded(viewed.select("key", near.alias("found")), "found").select(F.col("key").alias(key), "m.*")
 
 
-def findings(df: DataFrame, key: str, text: str, which: Sequence[Rule] | None = None) -> DataFrame:
-    """key, rule_id, offset, end (bytes of the text's UTF-8), digest. Rules are independent: findings may overlap."""
+def findings(df: DataFrame, key: str, text: str, which: Sequence[Rule] | None = None, line: bool = False) -> DataFrame:
+    """key, rule_id, offset, end (bytes of the text's UTF-8), digest, and the line, if asked for. Rules are independent:
+    findings may overlap. Checks run where the text is, so rows of findings are small."""
     which = list(which if which is not None else rules())
-    found = checked(candidates(df, key, text, which), which)
-    return found.select(key, "rule_id", "offset", "end", digest(F.col("rule_id"), F.col("value")).alias("digest"))
+    viewed = df.where(may_match(which, F.col(text).cast("string"))).select(F.col(key).alias("key"), T.byte_view(text).alias("view"))
+    found = _exploded(viewed.select("key", found_in(F.col("view"), which).alias("found")), "found")
+    lines = ["m.line"] if line else []
+    return found.select(F.col("key").alias(key), "m.rule_id", "m.offset", "m.end", digest(F.col("m.rule_id"), F.col("m.value")).alias("digest"), *lines)
 
 
 def scan_content(df: DataFrame, key: str, content: str, which: Sequence[Rule] | None = None, include_binary: bool = False) -> tuple[DataFrame, DataFrame]:
     """Findings and skips of binary content, whatever its encoding: (key, rule_id, offset, end, digest) with places
-    in the content, and (key, skip) of what could not be read or was read raw. Nothing unread goes unsaid."""
-    judged = df.select(F.col(key), F.col(content).alias("content")).withColumn("skip", T.skipped("content", include_binary))
-    readable = judged.where(F.col("skip").isin(T.READ, T.READ_RAW)).withColumn("text", T.decoded("content"))
-    found = findings(readable, key, "text", which)
-    placed = found.join(readable.select(key, "content"), key)
-    placed = placed.select(key, "rule_id", *(T.source_offset(F.col("content"), F.col(x)).alias(x) for x in ("offset", "end")), "digest")
-    return placed, judged.where(F.col("skip") != T.READ).select(key, "skip")
+    in the content, and (key, skip) of what could not be read or was read raw. Nothing unread goes unsaid. Places are
+    translated in the row of their content, so keys may repeat."""
+    which = list(which if which is not None else rules())
+    judged = df.select(F.col(key).alias("key"), F.col(content).alias("content")).withColumn("skip", T.skipped("content", include_binary))
+    readable = judged.where(F.col("skip").isin(T.READ, T.READ_RAW)).select("key", T.encoding("content").startswith("utf-16").alias("wide"), T.decoded("content").alias("text"))
+    likely = readable.where(may_match(which, F.col("text").cast("string")))
+    viewed = likely.select("key", "wide", T.byte_view("text").alias("view")).withColumn("found", found_in(F.col("view"), which))
+    places = F.array_sort(F.array_distinct(F.concat(F.col("found.offset"), F.col("found.end"))))
+    placed = viewed.withColumn("place", F.when(F.col("wide"), T.utf16_places(F.col("view"), places))).drop("view")
+    one = _exploded(placed, "found")
+    at = lambda x: F.when(F.col("wide"), F.element_at("place", F.col(f"m.{x}"))).otherwise(F.col(f"m.{x}")).alias(x)
+    found = one.select(F.col("key").alias(key), "m.rule_id", at("offset"), at("end"), digest(F.col("m.rule_id"), F.col("m.value")).alias("digest"))
+    return found, judged.where(F.col("skip") != T.READ).select(F.col("key").alias(key), "skip")
+
+
+def withheld(name: Column, which: Sequence[Rule] | None = None) -> Column:
+    """A name as it may be shown: one that holds a finding itself, as it is or with spaces for underscores, or a
+    control character is withheld."""
+    which = list(which if which is not None else rules())
+    hit = reduce(lambda a, b: a | b, (F.size(found_in(T.byte_view(x), which)) > 0 for x in (name, F.translate(name, "_", " "))))
+    return F.when(name.rlike(r"[\x00-\x1f\x7f]") | hit, WITHHELD).otherwise(name)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.text import BINARY, READ, READ_RAW
 from palisade.operators.paths import guarded_class, resolved
+from palisade.operators.scan import withheld
 
 #: Skips that don't block.
 ALLOWED_SKIPS = (READ, BINARY, READ_RAW)
@@ -41,7 +42,7 @@ def targets(calls: DataFrame, inventory: DataFrame) -> tuple[DataFrame, DataFram
     )
     refusal = F.when((c("tool_name") == "Grep") & (c("kind") == "dir"), "a content search over a directory").when(c("kind") == "file", guarded_class(c("at")))
     judged = met.withColumn("gap", gap).withColumn("refusal", refusal)
-    files = judged.where((c("kind") == "file") & c("refusal").isNull() & c("gap").isNull()).select("call_id", c("at").alias("label"), c("content").cast("binary").alias("content"))
+    files = judged.where((c("kind") == "file") & c("refusal").isNull() & c("gap").isNull()).select("call_id", withheld(c("at")).alias("label"), c("content").cast("binary").alias("content"))
     return spoken.unionByName(files), judged.where("gap IS NOT NULL OR refusal IS NOT NULL").select("call_id", "gap", "refusal")
 
 
@@ -82,6 +83,16 @@ def verdicts(calls: DataFrame, found: DataFrame, skips: DataFrame, troubles: Dat
     return flags.select("call_id", "event", verdict.alias("verdict"), reason.alias("reason"), notice.alias("notice"), "findings")
 
 
+def places(found: DataFrame, most: int = LISTED) -> DataFrame:
+    """call_id, places from findings (call_id, label, rule_id, offset): the first of them by label and place, as text,
+    and how many more there are."""
+    every = found.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("label", "offset", "rule_id"))).alias("every"))
+    listed = F.transform(F.slice("every", 1, most), lambda x: F.format_string("%s in %s at byte %d", x["rule_id"], x["label"], x["offset"]))
+    more = F.size("every") - most
+    told = F.array_join(listed, "; ")
+    return every.select("call_id", F.when(more > 0, F.format_string("%s; and %d more", told, more)).otherwise(told).alias("places"))
+
+
 def as_json(decided: DataFrame) -> DataFrame:
     """call_id, output: the verdict as its event's JSON object; nothing for calls that are allowed or abstained."""
     c = F.col

@@ -22,8 +22,46 @@ def byte_spelled(text: str) -> str:
 
 
 def for_spark(regex: str) -> str:
-    """The pattern for java.util.regex over byte views: boundaries by ASCII, text end spelled its way."""
-    return byte_spelled(re.sub(r"(\\\\)|\\b", lambda m: m[1] or BOUNDARY, regex))
+    """The pattern for java.util.regex over byte views: boundaries by ASCII, text end spelled its way. A boundary
+    before what can only be a word byte looks at that byte first, and only there at the one before it."""
+    words = {b for b in range(256) if re.match(WORD, chr(b))}
+    lead, tail = regex.startswith(r"\b"), regex.endswith(r"\b") and not regex.endswith(r"\\b")
+    inner = regex[2 if lead else 0 : -2 if tail else None]
+    tree = _parser.parse(for_python(inner))
+    first, last = _edge(tree, 0), _edge(tree, -1)
+    before = after = ""
+    if lead:
+        before = f"(?=[{_spelled(first)}])(?<!{WORD})" if first <= words else BOUNDARY
+    if tail:
+        after = f"(?!{WORD})" if last <= words else BOUNDARY
+    return before + byte_spelled(re.sub(r"(\\\\)|\\b", lambda m: m[1] or BOUNDARY, inner)) + after
+
+
+def _spelled(symbols: set[int]) -> str:
+    return "".join(f"\\x{b:02x}" for b in sorted(symbols))
+
+
+def _edge(tree, side: int) -> set[int]:
+    """Bytes that a match can begin (side 0) or end (side -1) with."""
+    found: set[int] = set()
+    for op, arg in list(tree)[:: 1 if side == 0 else -1]:
+        if op is C.AT:
+            continue
+        if op is C.BRANCH:
+            for child in arg[1]:
+                found |= _edge(child, side)
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            found |= _edge(arg[2], side)
+            if int(arg[0]) == 0:
+                continue
+        elif op is C.SUBPATTERN:
+            found |= _edge(arg[3], side)
+            if arg[3].getwidth()[0] == 0:
+                continue
+        else:
+            found |= _symbols([(op, arg)])
+        return found
+    return found or set(range(256))
 
 
 def for_python(regex: str) -> str:

@@ -8,21 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import text as T
-from palisade.functions.matching import matches
-from palisade.functions.validators import passes
-from palisade.operators.scan import digest
+from palisade.operators.scan import digest, found_in, may_match
 from palisade.plans.rules import Rule, rules
 
 
 def stream_findings(stream: DataFrame, key: str, text: str, time: str, which: Sequence[Rule] | None = None, late: str = "10 minutes") -> DataFrame:
     """key, time, rule_id, offset, end, digest of a stream of texts; the same value under the same rule is reported
-    once within `late`, after which its state is dropped."""
-    viewed = stream.select(F.col(key), F.col(time), T.byte_view(text).alias("view")).withWatermark(time, late)
-    found = None
-    for rule in which if which is not None else rules():
-        own = viewed.select(key, time, "view", F.explode(matches(rule, F.col("view"))).alias("m")).where(passes(rule, F.col("m.value"), F.col("view"), F.col("m.offset")))
-        own = own.select(key, time, F.lit(rule.id).alias("rule_id"), "m.offset", "m.end", digest(rule.id, F.col("m.value")).alias("digest"))
-        found = own if found is None else found.unionByName(own)
+    once within `late`, after which its state is dropped. The stream is read once for all rules."""
+    which = list(which if which is not None else rules())
+    likely = stream.where(may_match(which, F.col(text))).withWatermark(time, late)
+    found = likely.select(F.col(key), F.col(time), F.explode_outer(found_in(T.byte_view(text), which)).alias("m")).where("m IS NOT NULL")
+    found = found.select(key, time, "m.rule_id", "m.offset", "m.end", digest(F.col("m.rule_id"), F.col("m.value")).alias("digest"))
     return found.dropDuplicatesWithinWatermark(["rule_id", "digest"])
 
 

@@ -25,7 +25,7 @@ def test_named_files(spark):
 
 def test_paths(spark):
     assert values(spark, ["/a/.env", ".env.local", "x/.env.dist", "/h/.aws/credentials", "credentials", "_netrc", "a.kubeconfig", ".kube/config", "config"], paths.guarded_class) == [
-        "a dotenv file", "a dotenv file", None, "an AWS credentials file", None, "a netrc file", "a kubeconfig", "a kubeconfig", None,
+        "dotenv", "dotenv", None, "AWS credentials", None, "netrc", "kubeconfig", "kubeconfig", None,
     ]
     assert values(spark, ["~/a", "/x/../y//z", "b/./c", ""], lambda v: paths.resolved(v, F.lit("/w"), F.lit("/h"))) == ["/h/a", "/y/z", "/w/b/c", "/w"]
 
