@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, likely, mixed, stored
+from .common import columns, likely, mixed, most_frequent, stored
 
 WIDTH = 200
 GRAM = 32
@@ -39,9 +39,9 @@ HELD = 500_000
 SORTED = 200_000
 #: Different spans of one anchor beyond which its windows are dealt by their own hash.
 MANY = 1000
-#: Rows of one anchor, and copies of one text, beyond which they are not shuffled by it.
-HOT = 5000
-#: Entries that are sent to all tasks for those at most; more are joined by hash.
+#: Rows of one anchor, and copies of one text, beyond which they are not shuffled by it, while what is sent to all tasks
+#: for those is no more than SENT entries (the anchors with most rows).
+HOT = 1000
 SENT = 1_000_000
 #: Characters of eight bytes that the shallow sort looks at.
 SHALLOW = 2
@@ -412,10 +412,10 @@ def _cut(raw: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 def _of_anchors(rows: DataFrame, live: DataFrame) -> DataFrame:
     """rows with m (how many of them, at least, have its anchor h), of the anchors that live tells of. Rows of hot
-    anchors are joined where they are; anchors are hot by HOT rows, so there are few of them."""
-    hot = stored(live.where(F.col("m") > HOT))
+    anchors are joined where they are."""
+    hot = stored(live.where((F.col("m") > HOT) & most_frequent(live, "m", SENT)))
     some = likely(rows, "h", live.select("h"))
-    if not 0 < hot.count() <= SENT:
+    if hot.limit(1).count() == 0:
         return some.join(live, "h")
     marked = some.join(F.broadcast(hot.select("h", F.col("m").alias("hot_m"))), "h", "left")
     cold = marked.where("hot_m IS NULL").drop("hot_m").join(live, "h")
@@ -489,6 +489,8 @@ def cut_repeats(
     all. Equal texts repeat one another, repeated rows too. Ids may be null or repeated: a row for each row.
     An empty table gives an empty table; other columns are not looked at.
     """
+    if width < GRAM:
+        raise ValueError(f"strings of {width} bytes are too short: {GRAM} at least")
     own = [f"carried_{i}" for i in range(len(carry))]
     docs = columns(df, doc_id=id_col, text=text_col, **dict(zip(own, carry, strict=True)))
     docs, hot = _keyed(docs.withColumn("text", F.coalesce("text", F.lit(""))))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from palisade.llm import graph, jaccard_join, suffix_dedup
 from palisade.llm.graph import components
 from palisade.llm.jaccard_join import join_similar
 from palisade.llm.suffix_dedup import anchors, cut_repeats, multikey_quicksort, sorted_suffixes
@@ -57,6 +58,24 @@ def test_join_is_exact(spark, seed):
     assert got == brute_components(texts)
 
 
+def test_join_of_large_groups(spark, monkeypatch):
+    """Groups and queries of several parts, and links between groups that only the matrix finds."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", 3)
+    monkeypatch.setattr(jaccard_join, "QUERIES", 2)
+    texts = families(7)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in join_similar(docs).collect()}
+    assert got == brute_components(texts)
+
+
+def test_nodes_stand_for_one_set_each(spark):
+    """Two sets under one hash are told apart by the other, and equal ones stay together."""
+    rows = [(1, 3, 50, 7, None, None, None), (2, 3, 50, 9, None, None, None), (3, 3, 50, 9, None, None, None), (4, 3, 60, 7, None, None, None), (5, 0, None, None, None, None, None)]
+    made = spark.createDataFrame(rows, f"doc_id long, {jaccard_join.MADE}")
+    got = {r["doc_id"]: r["node"] for r in jaccard_join._told_apart(made).collect()}
+    assert got[1] == 50 and got[2] == got[3] != 50 and got[4] == 60 and got[5] is None
+
+
 def test_join_on_odd_texts(documents, texts):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in join_similar(documents).collect()}
     assert got == brute_components(texts)
@@ -68,7 +87,9 @@ def test_join_edges(empty, odd_ids):
     assert got == sorted(map(str, [(None, 2, 1), (1, 2, 1), (1, 1, 1), (1, 1, 1), (None, 0, None)]))
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("hub", [graph.HUB, 50])
+def test_components_of_long_chains(spark, monkeypatch, hub):
+    monkeypatch.setattr(graph, "HUB", hub)
     r = random.Random(7)
     nodes = [r.randrange(-(1 << 63), 1 << 63) for _ in range(1300)]
     chain, small, star = nodes[:1000], nodes[1000:1100], nodes[1100:]
@@ -102,9 +123,36 @@ def test_repeats(documents, texts, width):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["sha"]) for r in rows} == brute_cut(texts, width)
 
 
+def test_one_anchor_in_every_document(spark, monkeypatch):
+    """A passage that more documents than MANY hold, each with words of its own around it, and copies of one text."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 100)
+    r = random.Random(9)
+    words = lambda k: "".join(r.choice("abcdefghijklmnop ") for _ in range(k))
+    passage = words(230)
+    texts = [words(r.randint(60, 120)) + passage + words(r.randint(60, 120)) for _ in range(suffix_dedup.MANY + 100)] + [words(500)] * 300 + ["é" * 250, passage]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rows = cut_repeats(docs).withColumn("sha", F.sha2("kept", 256)).collect()
+    assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["sha"]) for x in rows} == brute_cut(texts, 200)
+
+
+def test_keys_stand_for_one_text(spark, monkeypatch):
+    """Where hashes meet, all but one text get keys of their own."""
+    real = F.xxhash64
+    monkeypatch.setattr(suffix_dedup.F, "xxhash64", lambda *x: F.lit(5).cast("long") if [str(y) for y in x] == ["text"] else real(*x))
+    texts = ["a" * 300, "b" * 300, "c" * 300, "b" * 300, "xyz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = cut_repeats(docs).withColumn("sha", F.sha2("kept", 256)).collect()
+    assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["sha"]) for x in rows} == brute_cut(texts, 200)
+
+
 def test_repeats_edges(empty, odd_ids, documents):
     assert cut_repeats(empty).count() == 0
-    assert cut_repeats(odd_ids).count() == 5
+    longer = odd_ids.withColumn("text", F.repeat("text", F.when(F.length("text") > 10, 2).otherwise(1)))
+    assert sorted((str(x["doc_id"]), x["n_bytes"], x["n_removed"]) for x in cut_repeats(longer, width=40).collect()) == [
+        ("1", 5, 0), ("1", 5, 0), ("1", 54, 54), ("None", 0, 0), ("None", 54, 54),
+    ]
+    with pytest.raises(ValueError):
+        cut_repeats(longer, width=20)
     text = cut_repeats(documents, width=50, carry=("lang", "key"), as_text=True)
     assert set(text.columns) == {"doc_id", "lang", "key", "kept", "n_bytes", "n_removed", "n_spans"} and {r["key"] for r in text.collect()} == {1}
 
