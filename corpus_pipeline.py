@@ -17,7 +17,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of no known language go: no text, no letter, or no clear winner."""
+    """Documents of no known language go: null and empty texts, texts without a letter, and those that two languages
+    explain equally well. Models are trained on the documents given, but for the held-out quarter of their ids; where
+    none has a language, all rows stay. Repeated rows and null ids are rows like others; an empty table stays empty,
+    and columns beyond those of documents go."""
     return keep_identified(docs.select(*COLUMNS), train(docs.where(~held_out())))
 
 
@@ -30,7 +33,9 @@ def row_key() -> Column:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents one row stays: the first by row_key, so the one with the smallest id, and one
-    with an id before those without. Of equal rows one stays. Texts without a word link with nothing: all stay."""
+    with an id before those without. Of equal rows one stays. Null texts and texts without a word link with nothing:
+    all stay. An id that two texts share tells nothing: rows are judged each on their own. Whole texts count, however
+    long."""
     docs = docs.select(*COLUMNS).withColumn("row", row_key())
     found = join_similar(docs, id_col="row").withColumn("gone", F.expr("doc_id <> component_id"))
     found = found.groupBy(F.col("doc_id").alias("key"), "gone", F.expr("n_shingles > 0").alias("linked")).agg(F.count("*").alias("n"))
@@ -43,13 +48,16 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated strings of 200 bytes go from the texts; a character that loses some of its bytes goes whole."""
+    """Repeated strings of 200 bytes go from the texts; a character that loses some of its bytes goes whole. Each row
+    stays, null texts as empty ones, and n_chars is counted anew."""
     cut = cut_repeats(docs, carry=("lang", "source"), as_text=True).withColumnRenamed("kept", "text")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row comes as often as the mix takes it; equal rows divide what the mix takes of them all."""
+    """Each row comes as often as the mix takes it, not at all up to twice; equal rows divide what the mix takes of them
+    all. Texts without a word, and null ones, are taken no times. Null sources are a source of their own; a source's
+    words come near its target whatever ids are null or repeated."""
     docs = docs.select(*COLUMNS).withColumn("row", row_key())
     copies = mix(docs, id_col="row").groupBy(F.col("doc_id").alias("key")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
     taken = docs.join(copies.where("copies > 0"), F.col("row") == F.col("key"))
@@ -59,6 +67,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document in a sequence of 1024 tokens at most; every row's tokens, and an end, lie in
+    pieces once, copies' too. Null and empty texts are the end alone; an empty table packs nothing."""
     pieces = pack_cost_balanced(docs, tokenizer_path("byte_bpe_50k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 

@@ -253,12 +253,14 @@ def pack_best_fit(
 
 def write_packed(sequences: DataFrame, path: str, rows: int = 4096) -> None:
     """Packed sequences as Parquet: fixed-width id and position rows, so that a file's column, read as
-    one buffer, is the id matrix; `rows` sequences a file at most."""
+    one buffer, is the id matrix; `rows` sequences a file at most. No sequences make a folder without rows; a folder
+    that is there already is an error, nothing is overwritten."""
     sequences.write.option("maxRecordsPerFile", rows).parquet(path)
 
 
 def unpacked(sequences: DataFrame) -> DataFrame:
-    """doc_id, start and ids (binary) of every segment: the way back, for checks."""
+    """doc_id, start and ids (binary) of every segment: the way back, for checks. Documents without ids, by null text and
+    no end id, come back in no row; null and repeated doc_ids come as they were given."""
 
     def run(parts):
         for batch in parts:

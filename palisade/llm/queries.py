@@ -15,12 +15,14 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 token ids with segment ends and positions; each document of the table lies in them whole."""
     from .packing import pack_best_fit
 
     return pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 1024 tokens, balanced by attention cost."""
     from .packing import pack_cost_balanced
 
     pieces = pack_cost_balanced(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")).withColumn("ids_crc32", F.crc32("ids"))
@@ -28,6 +30,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each text without the strings of 200 bytes that start anywhere else too."""
     from .suffix_dedup import cut_repeats
 
     cut = cut_repeats(table(spark, sf_dir, "documents"))
@@ -35,6 +38,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each text and its edited form, and their likeness to each other and to the next text's."""
     from .fingerprints import compare_with_next
 
     found = compare_with_next(table(spark, sf_dir, "documents"))
@@ -42,24 +46,28 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of each text under trusted text, and whether its language lets it pass."""
     from .kneser_ney import rate
 
     return rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of each text and the least id among those that links lead to."""
     from .jaccard_join import join_similar
 
     return join_similar(table(spark, sf_dir, "documents"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each text, and whether there are more than 2048."""
     from .token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each text, by models of the documents that are not held out."""
     from .language_id import held_out, identify, train
 
     docs = table(spark, sf_dir, "documents")
@@ -68,12 +76,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of each text, the base rules, and the verdict of cutoffs that hold their risk."""
     from .quality_rules import apply_rules
 
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes, copies counted."""
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")

@@ -64,6 +64,31 @@ def test_one_row_of_each_group_stays(spark, odd_ids):
     assert counted(left) == {(1, "one two three four five six"): 1, (1, "other"): 1, (None, None): 1}
 
 
+def test_every_stage_on_odd_rows(spark, documents, odd_ids):
+    """Empty tables, nulls in any column, ties, repeated rows, a text of some megabytes, clashing columns: each stage
+    gives the columns of documents and the rows that it says."""
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    long = " ".join(r.choice(words) for _ in range(300_000))
+    rows = [(1, long, "en", "a", len(long)), (2, long, "en", "a", None), (None, "a few words more of it", None, None, None), (3, "", "de", "b", 0), (3, None, "de", "b", 0)]
+    given = spark.createDataFrame([(*x, "t", 1) for x in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, size long")
+    none = given.where("false")
+    for _, stage in P.STAGES[:-1]:
+        got = stage(spark, none, DATA)
+        assert got.columns == list(P.COLUMNS) and got.count() == 0
+    assert P.packed(spark, none, DATA).count() == 0
+    known = P.language(spark, given, DATA)
+    assert counted(known.select("doc_id")) == Counter({(1,): 1, (2,): 1, (None,): 1})
+    assert counted(P.near_copies(spark, given, DATA).select("doc_id", "n_chars")) == Counter({(1, len(long)): 1, (None, None): 1, (3, 0): 2})
+    cut = counted(P.repeats(spark, given, DATA).select("doc_id", "text", "n_chars"))
+    assert cut == Counter({(1, "", 0): 1, (2, "", 0): 1, (None, "a few words more of it", 22): 1, (3, "", 0): 2})
+    mixed = counted(P.mixture(spark, given, DATA).select("doc_id", "source"))
+    # 1.5 times all words: a's weight is 3, b has none, null's is 2 and stops at twice its 6 words
+    assert mixed[None, None] == 2 and not mixed[3, "b"] and 2 <= mixed[1, "a"] + mixed[2, "a"] <= 4
+    pieces = P.packed(spark, given, DATA).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {x["doc_id"]: x["n"] for x in pieces}[3] == 2
+
+
 def test_row_keys_tell_nulls_apart(spark):
     rows = [(1, "some words here", *x) for x in (("en", None, 5), (None, "en", 5), ("en", None, 5), ("en", "en", None))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
