@@ -33,8 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """df written once to the shared folder as Parquet and read back: later steps neither repeat its
-    work nor depend on an executor's disk. Small row groups: writers hold one in memory."""
+    work nor depend on an executor's disk, so shuffle files may go as soon as it is written. Small row groups: writers
+    hold one in memory."""
     spark = df.sparkSession
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -389,34 +389,33 @@ def _band(n: Column) -> Column:
 def _candidates(held: DataFrame, percent: int) -> DataFrame:
     """node, goal, chunk: sets and groups that the matrix lets meet, the larger group being asked.
 
-    Sets of n and m shingles link only if overlap >= percent / (100 + percent) * (n + m). Rows meet by shingle and band of
-    sizes; frequent shingles are dealt by salt. A set and a group are let through by two bounds. At their first common
-    shingle the overlap is at most n - place on either side. And what two prefixes have in common, with all
-    that comes after the prefix that ends first, is the most that the sets can have: so sizes ask for a number
-    of common shingles."""
+    Sets of n and m shingles link only if overlap >= percent / (100 + percent) * (n + m). A set and a group are let
+    through by two bounds. At their first common shingle the overlap is at most n - place on either side: so a place
+    bounds the sizes that can be met through it, and rows meet by shingle and band of sizes; frequent shingles
+    are dealt by salt. And what two prefixes have in common, with all that comes after the prefix that ends first, is
+    the most that the sets can have in common: so sizes ask for a number of shingles, which are then counted."""
     all_ = 100 + percent
     deal = _deal()
-    band = _band(F.col("n"))
     reach = F.max(all_ * (F.col("n") - F.col("place")) - percent * F.col("n"))
-    matrix = held.groupBy("token", F.col("goal").alias("other"), F.col("chunk").alias("other_chunk"), band.alias("band")).agg(
+    matrix = held.groupBy("token", F.col("goal").alias("other"), F.col("chunk").alias("other_chunk"), _band(F.col("n")).alias("band")).agg(
         F.min("n").alias("least"), F.max("n").alias("most"), reach.alias("reach"), F.max("chunks").alias("other_chunks")
     )
-    matrix = matrix.withColumn("deal", F.explode(F.sequence(F.lit(0), deal - 1)))
+    matrix = stored(matrix)
     # the sizes that can be met at all, and up to which here
     low, high = F.ceil(percent * F.col("n") / 100), F.floor(100 * F.col("n") / percent)
     here = F.floor((all_ * (F.col("n") - F.col("place")) - percent * F.col("n")) / percent)
-    asking = held.select("token", "node", "n", "goal", "chunks", low.alias("low"), high.alias("high"), here.alias("here"))
-    asking = asking.withColumn("band", F.explode(F.sequence(_band(F.col("low")), _band(F.col("high")))))
-    asking = asking.withColumn("deal", F.pmod(F.hash("node"), deal))
+    asking = held.select("token", "node", "n", "goal", "chunks", low.alias("low"), F.least(high, here).alias("here")).where("low <= here")
+    asking = asking.withColumn("band", F.explode(F.sequence(_band(F.col("low")), _band(F.col("here"))))).withColumn("deal", F.pmod(F.hash("node"), deal))
     smaller = F.struct(F.col("chunks"), F.col("goal")) < F.struct(F.col("other_chunks"), F.col("other"))
-    sizes = (F.col("least") <= F.col("high")) & (F.col("most") >= F.col("low"))
-    near = (F.col("least") <= F.col("here")) & (F.col("reach") >= percent * F.col("n"))
-    met = asking.join(matrix, ["token", "band", "deal"]).where(smaller & sizes)
-    pairs = met.groupBy("node", "n", F.col("other").alias("goal"), F.col("other_chunk").alias("chunk"), "band").agg(
-        F.count("*").alias("common"), F.max(near).alias("near"), F.min("least").alias("least"), F.max("most").alias("most")
-    )
+    near = (F.col("least") <= F.col("here")) & (F.col("most") >= F.col("low")) & (F.col("reach") >= percent * F.col("n"))
+    dealt = matrix.withColumn("deal", F.explode(F.sequence(F.lit(0), deal - 1)))
+    group = [F.col("other").alias("goal"), F.col("other_chunk").alias("chunk"), "band"]
+    pairs = stored(asking.join(dealt, ["token", "band", "deal"]).where(near & smaller).select("node", "n", *group).distinct())
+    # what each pair has in common, by shingle
+    common = pairs.join(held.select("node", "token"), "node").join(matrix.select("token", *group, "least", "most"), ["token", "goal", "chunk", "band"])
+    common = common.groupBy("node", "n", "goal", "chunk", "band").agg(F.count("*").alias("common"), F.min("least").alias("least"), F.max("most").alias("most"))
     after = lambda m: F.ceil(percent * m / 100) - 1
     needed = lambda m: F.ceil(percent * (F.col("n") + m) / all_) - F.greatest(after(F.col("n")), after(m))
     # over the sizes of a group the number is least at one of the ends
-    enough = F.col("common") >= F.least(*(needed(F.greatest(F.least(F.col(x), F.floor(100 * F.col("n") / percent)), F.ceil(percent * F.col("n") / 100))) for x in ("least", "most")))
-    return pairs.where(F.col("near") & enough).select("node", "goal", "chunk").distinct()
+    enough = F.col("common") >= F.least(*(needed(F.greatest(F.least(F.col(x), high), low)) for x in ("least", "most")))
+    return common.where(enough).select("node", "goal", "chunk").distinct()
