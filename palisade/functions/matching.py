@@ -33,15 +33,21 @@ def is_gated(rule: Rule) -> bool:
     return any(rule.keywords)
 
 
-def gate(rule: Rule, view: Column) -> Column:
-    """Whether any keyword occurs in the byte view, in any case, with no word byte before it (where it starts with
-    one). A byte view has no letter beyond Latin-1, so lower() turns nothing else into a letter of a keyword."""
-    words = [byte_spelled(k).lower() for k in rule.keywords if k]
-    if not words:
-        return F.lit(True)
-    low = F.lower(view)
-    shape = "|".join(("(?<![a-z0-9_])" if re.match("[a-z0-9_]", w) else "") + "\\Q" + w + "\\E" for w in words)
-    return low.rlike(shape)
+def is_deep(rule: Rule) -> bool:
+    return rule.id in _DEEP
+
+
+def gate(rule: Rule, low: Column) -> Column:
+    """Whether any keyword occurs in a lower-cased byte view, with no word byte before it (where it starts with
+    one). A byte view has no letter beyond Latin-1, so lower() turns nothing else into a letter of a keyword. The
+    keyword itself is looked for first, and what is before it only where it is."""
+    met = F.lit(False)
+    for word in (byte_spelled(k).lower() for k in rule.keywords if k):
+        own = low.contains(word)
+        if re.match("[a-z0-9_]", word):
+            own = own & low.rlike(f"\\Q{word}\\E(?<![a-z0-9_]\\Q{word}\\E)")
+        met = met | own
+    return met if is_gated(rule) else F.lit(True)
 
 
 def _deep(rule: Rule):
@@ -65,11 +71,13 @@ def let(x: Column, f) -> Column:
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
-def _newlines(x: Column) -> Column:
-    return (F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))).cast("bigint")
+def _newlines(x: Column, lines: bool) -> Column:
+    """None are counted where lines aren't asked for: their number stays null."""
+    n = F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))) if lines else F.lit(None)
+    return n.cast("bigint")
 
 
-def _placed(rule: Rule, pieces: Column) -> Column:
+def _placed(rule: Rule, pieces: Column, lines: bool) -> Column:
     """Places from what stands before the first match, and the matches with what follows each."""
     state, blocks = f"struct<at:bigint,line:bigint,found:{MATCH}>", f"struct<at:bigint,line:bigint,found:array<{MATCH}>>"
     n = F.size(pieces) - 1
@@ -80,7 +88,7 @@ def _placed(rule: Rule, pieces: Column) -> Column:
         end, size = s["at"] + F.length(match), F.length(value)
         lo, hi = (end - size, end) if rule.id in _AT_END else (s["at"], s["at"] + size)
         one = F.array(F.struct(lo.cast("bigint").alias("offset"), hi.cast("bigint").alias("end"), s["line"].alias("line"), value.alias("value")))
-        return F.struct((end + F.length(gap)).alias("at"), (s["line"] + _newlines(match) + _newlines(gap)).alias("line"), F.concat(s["found"], one).alias("found")).cast(state)
+        return F.struct((end + F.length(gap)).alias("at"), (s["line"] + _newlines(match, lines) + _newlines(gap, lines)).alias("line"), F.concat(s["found"], one).alias("found")).cast(state)
 
     def block(s: Column, own: Column) -> Column:
         begin = F.struct(s["at"].alias("at"), s["line"].alias("line"), F.array().cast(MATCH).alias("found")).cast(state)
@@ -89,19 +97,19 @@ def _placed(rule: Rule, pieces: Column) -> Column:
 
     def all_of(given: Column) -> Column:
         parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(given) - 1) / _BLOCK).cast("int")), lambda b: F.slice(given, b * _BLOCK + 1, F.lit(_BLOCK)))
-        start = F.struct(F.length(pieces[0]).cast("bigint").alias("at"), (_newlines(pieces[0]) + 1).alias("line"), F.array().cast(f"array<{MATCH}>").alias("found")).cast(blocks)
+        start = F.struct(F.length(pieces[0]).cast("bigint").alias("at"), (_newlines(pieces[0], lines) + 1).alias("line"), F.array().cast(f"array<{MATCH}>").alias("found")).cast(blocks)
         return F.flatten(F.aggregate(parts, start, block, lambda s: s["found"]))
 
     return F.when(n > 0, let(hits, all_of)).otherwise(F.array().cast(MATCH))
 
 
-def matches(rule: Rule, view: Column, gated: bool = True) -> Column:
+def matches(rule: Rule, view: Column, low: Column | None = None, lines: bool = False) -> Column:
     """array<struct<offset, end, line, value>> of the rule's non-overlapping matches, ascending; an empty array if the
-    gate is shut. The pattern runs once: it encloses its matches in marks, and places follow from the lengths of
-    what stands between them. No match is empty."""
+    gate is shut, for which low, the view in lower case, is given. The pattern runs once: it encloses its matches in marks, and places follow from the lengths of
+    what stands between them. No match is empty. line is null unless lines are asked for."""
     none = F.array().cast(MATCH)
-    opened = gate(rule, view) if gated and is_gated(rule) else F.lit(True)
-    if rule.id in _DEEP:
+    opened = gate(rule, low) if low is not None else F.lit(True)
+    if is_deep(rule):
         return F.when(opened & view.isNotNull(), _deep(rule)(F.when(opened, view))).otherwise(none)
     marked = F.regexp_replace(view, pattern(rule), f"{_OPEN}$0{_MIDDLE}${rule.group}{_CLOSE}")
-    return F.when(opened & view.isNotNull(), let(F.split(marked, _OPEN, -1), lambda pieces: _placed(rule, pieces))).otherwise(none)
+    return F.when(opened & view.isNotNull(), let(F.split(marked, _OPEN, -1), lambda pieces: _placed(rule, pieces, lines))).otherwise(none)

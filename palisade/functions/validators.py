@@ -80,7 +80,7 @@ def not_example_ssn(v: Column) -> Column:
 def entropy(v: Column) -> Column:
     """Shannon bits a byte: from the lengths of the runs of equal bytes, once sorted."""
     n = F.length(v)
-    runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(v, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(v, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
     spent = F.aggregate(runs, F.lit(0.0), lambda total, run: total + F.length(run) * F.log2(F.length(run)))
     return F.when(n > 0, F.log2(n) - spent / n).otherwise(0.0)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import text as T
-from palisade.functions.matching import is_gated, matches, pattern
+from palisade.functions.matching import is_deep, is_gated, let, matches, pattern
 from palisade.functions.validators import before, passes
 from palisade.plans.rules import Rule, rules
 
@@ -30,19 +30,29 @@ def may_match(which: Sequence[Rule], text: Column) -> Column:
     return reduce(lambda a, b: a | b, looks, F.lit(False)) & text.isNotNull()
 
 
-def found_in(view: Column, which: Sequence[Rule], check: bool = True) -> Column:
+def found_in(view: Column, which: Sequence[Rule], check: bool = True, lines: bool = False) -> Column:
     """array<struct<rule_id, rule_order, offset, end, line, value>> of a byte view's candidates that pass the checks of
-    their rule (or all of them), rule by rule."""
+    their rule (or all of them), rule by rule; line is null unless lines are asked for."""
 
-    def of(rule: Rule, order: int) -> Column:
-        met = matches(rule, view)
+    def of(rule: Rule, order: int, low: Column) -> Column:
+        met = matches(rule, view, low, lines)
         if check:
             met = F.filter(met, lambda m: passes(rule, m["value"], view, m["offset"]))
         names = ("offset", "end", "line", "value")
         return F.transform(met, lambda m: F.struct(F.lit(rule.id).alias("rule_id"), F.lit(order).alias("rule_order"), *(m[x].alias(x) for x in names)))
 
-    each = [of(r, i) for i, r in enumerate(which)]
-    return F.concat(*each) if len(each) > 1 else each[0]
+    def all_of(low: Column, rules_: list[tuple[int, Rule]]) -> Column:
+        each = [of(r, i, low) for i, r in rules_]
+        return F.concat(*each) if len(each) > 1 else each[0]
+
+    # Rules that run in Python stand apart: what binds the lower-cased view once can't hold them.
+    plain, deep = ([(i, r) for i, r in enumerate(which) if is_deep(r) == x] for x in (False, True))
+    parts = [all_of(F.lower(view), [x]) for x in deep]
+    if any(is_gated(r) for _, r in plain):
+        parts.append(let(F.lower(view), lambda low: all_of(low, plain)))
+    elif plain:
+        parts.append(all_of(F.lower(view), plain))
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
 def _exploded(df: DataFrame, found: str) -> DataFrame:
@@ -52,10 +62,10 @@ def _exploded(df: DataFrame, found: str) -> DataFrame:
 
 
 def candidates(df: DataFrame, key: str, text: str, which: Sequence[Rule]) -> DataFrame:
-    """key, rule_id, rule_order, offset, end, line, value, before (the bytes before it): all matches, unchecked."""
+    """key, rule_id, rule_order, offset, end, value, before (the bytes before it): all matches, unchecked."""
     viewed = df.where(may_match(which, F.col(text).cast("string"))).select(F.col(key).alias("key"), T.byte_view(text).alias("view"))
     near = F.transform(found_in(F.col("view"), which, check=False), lambda m: m.withField("before", before(F.col("view"), m["offset"])))
-    return _exploded(viewed.select("key", near.alias("found")), "found").select(F.col("key").alias(key), "m.*")
+    return _exploded(viewed.select("key", near.alias("found")), "found").select(F.col("key").alias(key), "m.*").drop("line")
 
 
 def findings(df: DataFrame, key: str, text: str, which: Sequence[Rule] | None = None, line: bool = False) -> DataFrame:
@@ -63,7 +73,7 @@ def findings(df: DataFrame, key: str, text: str, which: Sequence[Rule] | None =
     findings may overlap. Checks run where the text is, so rows of findings are small."""
     which = list(which if which is not None else rules())
     viewed = df.where(may_match(which, F.col(text).cast("string"))).select(F.col(key).alias("key"), T.byte_view(text).alias("view"))
-    found = _exploded(viewed.select("key", found_in(F.col("view"), which).alias("found")), "found")
+    found = _exploded(viewed.select("key", found_in(F.col("view"), which, lines=line).alias("found")), "found")
     lines = ["m.line"] if line else []
     return found.select(F.col("key").alias(key), "m.rule_id", "m.offset", "m.end", digest(F.col("m.rule_id"), F.col("m.value")).alias("digest"), *lines)
 

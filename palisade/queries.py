@@ -219,9 +219,9 @@ def keyword_prefilter_counts(spark, sf_dir):
     from palisade.functions.matching import gate
 
     words = ("token", "key", "password", "secret", "card", "license", "copyright", "the", "con")
-    docs = table(spark, sf_dir, "documents").select(T.byte_view("text").alias("view"))
+    docs = table(spark, sf_dir, "documents").select(F.lower(T.byte_view("text")).alias("low"))
     rule = lambda w: Rule("gate", "credential", "", "x", True, 0, (w,))
-    hits = F.array(*(F.when(gate(rule(w), F.col("view")), w) for w in words))
+    hits = F.array(*(F.when(gate(rule(w), F.col("low")), w) for w in words))
     return docs.select(F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("documents"))
 
 
