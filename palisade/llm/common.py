@@ -44,7 +44,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 #: Bytes of a stored row group, and of an Arrow batch that goes to Python.
 ROW_GROUP = 32 << 20
-BATCH = 4 << 20
+BATCH = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

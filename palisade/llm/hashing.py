@@ -8,10 +8,10 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Table:
-    """Open addressing in two arrays, at most half full. Keys are not negative; get() gives `missing` for others."""
+    """Open addressing in two arrays, at most two thirds full. Keys are not negative; get() gives `missing` for others."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, missing):
-        bits = max(4, int(2 * len(keys)).bit_length())
+        bits = max(4, int(1.5 * len(keys)).bit_length())
         self.shift, self.missing = np.uint64(64 - bits), values.dtype.type(missing)
         self.keys = np.full(1 << bits, -1, np.int64)
         self.values = np.full(1 << bits, missing, values.dtype)

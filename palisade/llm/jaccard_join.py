@@ -36,8 +36,10 @@ from .shingles import WIDTH, shingles
 #: Shingles whose frequency is known to all tasks: the table's bound.
 FREQUENT = 1 << 19
 #: Shingles that a task counts together, and how many sets of those have to hold one for it to count.
-COUNTED = 2_000_000
+COUNTED = 1_000_000
 OFTEN = 3
+#: Sets that a task knows to have met.
+SEEN = 100_000
 #: Sets of a group that are opened together, and queries that are held against them together.
 CHUNK = 128
 QUERIES = 512
@@ -81,13 +83,14 @@ def _sets(parts, width, kind):
                     rows.append((0, None, None, None))
                     continue
                 node = _node(own)
-                new = node not in seen
+                both = node[0] << 64 ^ node[1]
+                new = both not in seen
                 if new:
-                    seen.add(node)
+                    seen.add(both)
                     held.append(own)
                     n += len(own)
                 rows.append((len(own), *node, own.tobytes() if new else None))
-            if len(seen) > 200_000:
+            if len(seen) > SEEN:
                 seen.clear()
             ids = batch.column("doc_id").slice(at, len(rows))
             at += len(rows)

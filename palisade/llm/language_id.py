@@ -25,8 +25,8 @@ from .hashing import Table
 ORDER = 4
 #: Bounds of the labelled rows that the models are fitted on: of a language, and of all together (with more languages
 #: than TRAIN_DOCS fit in, each has fewer rows, one at least).
-TRAIN_DOCS = 200
-TRAIN_ROWS = 4000
+TRAIN_DOCS = 100
+TRAIN_ROWS = 2000
 UNKNOWN = "und"
 #: What stands before a text's first byte.
 BEGIN = b" " * ORDER
