@@ -89,6 +89,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each different beginning of the rebuilt conversations."""
+    from .prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_packing": op2_packing,
@@ -100,6 +107,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 #: Exact results that SQL can state, if slowly; the other queries are held against brute force in tests/llm.
 ORACLES: dict[str, str] = {
@@ -131,4 +139,24 @@ link AS (
 reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id))::BIGINT AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1) USING (doc_id)""",
+    "op13_prefix_trie": """
+WITH own AS MATERIALIZED (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS w FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (
+  SELECT conv_id, w, (xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda z, k: xor(z >> 1, 3988292384 * (z & 1)))), 4294967295)) % 6 AS h FROM own),
+whole AS MATERIALIZED (
+  SELECT h.conv_id, list_concat(coalesce(b.w[:h], []), h.w[h + 1:]) AS w FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 100),
+begun AS MATERIALIZED (
+  SELECT conv_id, d, sha256(to_json(w[:d])) AS k, CASE WHEN d > 0 THEN sha256(to_json(w[:d - 1])) END AS up, d = len(w) AS ends, CASE WHEN d > 0 THEN length(w[d].t) ELSE 0 END AS size
+  FROM (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM whole)),
+node AS MATERIALIZED (
+  SELECT k, any_value(d) AS d, any_value(up) AS up, any_value(size) AS size, min(conv_id) AS c, count(*) AS n,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS e FROM begun GROUP BY k),
+kids AS MATERIALIZED (SELECT up AS k, count(*) AS n FROM node GROUP BY 1),
+below AS (
+  SELECT a.k, sum((x.n - 1) * x.size) AS saved, count(*) FILTER (y.n IS NULL) AS leaves
+  FROM node x JOIN begun a ON a.conv_id = x.c AND a.d <= x.d LEFT JOIN kids y ON y.k = x.k GROUP BY 1)
+SELECT x.c AS conv_id, x.d AS depth, p.c AS parent_conv_id, x.n AS n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, x.e AS ends_sha256
+FROM node x JOIN below USING (k) LEFT JOIN kids USING (k) LEFT JOIN node p ON p.k = x.up""",
 }
