@@ -89,6 +89,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each text under two tokenizers, where they end together, and how common their links are."""
+    from .alignment import align
+
+    return align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each different beginning of the rebuilt conversations."""
     from .prefix_trie import conversation_trie
@@ -107,6 +114,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op11_alignment": op11_alignment,
     "op13_prefix_trie": op13_prefix_trie,
 }
 #: Exact results that SQL can state, if slowly; the other queries are held against brute force in tests/llm.
