@@ -96,6 +96,15 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of each text under the attention model and under word counts."""
+    from .lm_scoring import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = score(docs, train(docs.where(~held_out()), tokenizer_path("byte_bpe_multi_50k.tiktoken")))
+    return found.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each different beginning of the rebuilt conversations."""
     from .prefix_trie import conversation_trie
@@ -115,6 +124,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
     "op11_alignment": op11_alignment,
+    "op12_lm_scoring": op12_lm_scoring,
     "op13_prefix_trie": op13_prefix_trie,
 }
 #: Exact results that SQL can state, if slowly; the other queries are held against brute force in tests/llm.
