@@ -1,42 +1,43 @@
-"""A rule's matches in a byte view, with places, as one Column."""
+"""Matches of rules in the bytes of a text, with places: looks in the JVM first, then one Arrow UDF for all rules.
+
+Most texts show none of the literals that matches open with, and leave at a filter of built-in functions. Those that
+remain go to Python in Arrow batches, where each rule is tried at the places of its openings alone (or runs over the
+text, where it has none). Python's engine does not recurse over a text, works on bytes, and knows where any group lies.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
+from palisade.plans.anchors import anchor, gate_is_implied, is_ascii, is_deep
 from palisade.plans.patterns import byte_spelled, for_python, for_spark
 from palisade.plans.rules import Rule
 
 MATCH = "array<struct<offset:bigint,end:bigint,line:bigint,value:string>>"
-#: Characters that no byte view has: they enclose a match, and its group after it.
-_OPEN, _MIDDLE, _CLOSE = "\u0100", "\u0101", "\u0102"
-#: Matches that are placed together: appending to an array copies it, so arrays are kept short.
-_BLOCK = 128
-#: A whole token of three segments in place of the extent's opening, greedy without backing off: a run that is
-#: followed by the wrong byte is no token wherever it is cut.
-_JWT = r"\b(eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{10,}+)"
-#: Rules whose group ends where the match does; the others' begins where it does.
-_AT_END = ("slack-webhook-url",)
-#: Rules whose pattern nests repeats too deep for the recursive engine.
-_DEEP = ("private-key-block",)
+#: What the UDF gives: rule_order numbers the rules; near holds the bytes before a match, for rules with labels alone.
+SPAN = "array<struct<rule_order:int,offset:bigint,end:bigint,line:bigint,value:string,near:string>>"
+#: Bytes before a match in which a label counts.
+NEAR = 64
+_RUN = re.compile(rb"[A-Za-z0-9_-]*")
+#: The least bytes of a token's three segments; the second opens like the first.
+_SEGMENTS = (11, 11, 10)
 
 
 def pattern(rule: Rule) -> str:
-    return for_spark(_JWT if rule.extent == "jwt-token" else rule.regex)
+    return for_spark(rule.regex)
 
 
 def is_gated(rule: Rule) -> bool:
     return any(rule.keywords)
 
 
-def is_deep(rule: Rule) -> bool:
-    return rule.id in _DEEP
-
-
 def gate(rule: Rule, low: Column) -> Column:
     """Whether any keyword occurs in a lower-cased byte view, with no word byte before it (where it starts with
     one). A byte view has no letter beyond Latin-1, so lower() turns nothing else into a letter of a keyword. The
@@ -50,66 +51,160 @@ def gate(rule: Rule, low: Column) -> Column:
     return met if is_gated(rule) else F.lit(True)
 
 
-def _deep(rule: Rule):
-    compiled, group = re.compile(for_python(rule.regex)), rule.group
-
-    @F.pandas_udf(MATCH)
-    def find(views: pd.Series) -> pd.Series:
-        return pd.Series([list(places(v)) if v else [] for v in views])
-
-    def places(view: str):
+def may_match(which: Sequence[Rule], text: Column) -> Column:
+    """Whether any rule can match the text at all, by what is cheap: the openings of its matches as they are written,
+    or, for patterns without one over ASCII alone, the pattern itself. Never false where there is a match."""
+    literals: set[str] = set()
+    looks: list[Column] = []
+    for rule in which:
+        own = anchor(rule.regex)
+        if own and all(x.isascii() for x in own.openings):
+            literals |= {x.decode() for x in own.openings}
+        elif is_ascii(rule.regex) and not is_deep(rule.regex):
+            looks.append(text.rlike(pattern(rule)))
+        else:
+            return text.isNotNull()
+    met = F.lit(False)
+    for x in sorted(literals):
+        if not any(y != x and y in x for y in literals):
+            met = met | text.contains(x)
+    for look in looks:
+        met = met | look
+    return met & text.isNotNull()
+
+
+class _Rule:
+    """A rule as it runs over bytes."""
+
+    def __init__(self, order: int, rule: Rule, gated: bool):
+        self.order, self.group, self.extent = order, rule.group, rule.extent
+        self.regex = re.compile(for_python(rule.regex).encode("latin-1"))
+        own = anchor(rule.regex)
+        self.openings = own.openings if own else ()
+        self.labelled = any(rule.labels)
+        self.gate = None
+        if gated and is_gated(rule) and not gate_is_implied(rule.regex, rule.keywords):
+            words = [byte_spelled(k).encode("latin-1") for k in rule.keywords if k]
+            self.gate = re.compile(b"(?i)" + b"|".join((rb"(?<![A-Za-z0-9_])" if re.match(rb"[A-Za-z0-9_]", w) else b"") + re.escape(w) for w in words))
+
+    def places(self, text: bytes) -> list[int]:
+        """Where matches can begin, ascending."""
+        found: list[int] = []
+        for opening in self.openings:
+            at = text.find(opening)
+            while at >= 0:
+                found.append(at)
+                at = text.find(opening, at + 1)
+        return sorted(found) if len(self.openings) > 1 else found
+
+    def tried(self, text: bytes) -> Iterator[re.Match]:
+        """Matches that don't overlap, ascending. Since each begins at an opening, it is tried there alone."""
+        if self.gate and not self.gate.search(text):
+            return
+        if not self.openings:
+            yield from self.regex.finditer(text)
+            return
+        end = 0
+        for at in self.places(text):
+            if at >= end and (m := self.regex.match(text, at)):
+                end = m.end()
+                yield m
+
+    def spans(self, text: bytes) -> Iterator[tuple[int, int]]:
+        """The group's places. A group that took no part gives none."""
+        runs, end = _Runs(text), 0
+        for m in self.tried(text):
+            lo, hi = m.span(self.group)
+            if self.extent:
+                hi = runs.token(lo) if lo >= end else -1
+            if lo >= 0 and hi >= 0:
+                yield lo, hi
+                end = hi
+
+
+class _Runs:
+    """Runs of token bytes; the last few are kept, so that openings in one run don't walk it again and again."""
+
+    def __init__(self, text: bytes):
+        self.text, self.known = text, []
+
+    def end(self, at: int) -> int:
+        for lo, hi in self.known:
+            if lo <= at <= hi:
+                return hi
+        hi = _RUN.match(self.text, at).end()
+        self.known = [(at, hi), *self.known[:3]]
+        return hi
+
+    def token(self, at: int) -> int:
+        """Where a whole token of three segments that begins here ends, or -1."""
+        first, second, third = _SEGMENTS
+        dot = self.end(at)
+        if dot - at < first or self.text[dot : dot + 4] != b".eyJ":
+            return -1
+        next_dot = self.end(dot + 1)
+        if next_dot - dot - 1 < second or self.text[next_dot : next_dot + 1] != b".":
+            return -1
+        end = self.end(next_dot + 1)
+        return end if end - next_dot - 1 >= third else -1
+
+
+@lru_cache(maxsize=16)
+def _compiled(which: tuple[Rule, ...], gated: bool) -> tuple[_Rule, ...]:
+    return tuple(_Rule(i, r, gated) for i, r in enumerate(which))
+
+
+_KIND = pa.struct([("rule_order", pa.int32()), ("offset", pa.int64()), ("end", pa.int64()), ("line", pa.int64()), ("value", pa.string()), ("near", pa.string())])
+
+
+def spans_of(text: bytes, which: tuple[Rule, ...], lines: bool = False, gated: bool = True) -> Iterator[tuple]:
+    """(rule_order, offset, end, line, value, near) of all rules' matches, rule by rule, ascending."""
+    for rule in _compiled(which, gated):
         at, line = 0, 1
-        for m in compiled.finditer(view):
-            line, at = line + view.count("\n", at, m.start(group)), m.start(group)
-            yield {"offset": at, "end": m.end(group), "line": line, "value": m[group]}
-
-    return find
-
-
-def let(x: Column, f) -> Column:
-    """f(x), x being evaluated once."""
-    return F.element_at(F.transform(F.array(x), f), 1)
-
-
-def _newlines(x: Column, lines: bool) -> Column:
-    """None are counted where lines aren't asked for: their number stays null."""
-    n = F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))) if lines else F.lit(None)
-    return n.cast("bigint")
-
-
-def _placed(rule: Rule, pieces: Column, lines: bool) -> Column:
-    """Places from what stands before the first match, and the matches with what follows each."""
-    state, blocks = f"struct<at:bigint,line:bigint,found:{MATCH}>", f"struct<at:bigint,line:bigint,found:array<{MATCH}>>"
-    n = F.size(pieces) - 1
-    hits = F.transform(F.slice(pieces, F.lit(2), n), lambda p: F.split(p, f"[{_MIDDLE}{_CLOSE}]", -1))
+        for lo, hi in rule.spans(text):
+            if lines:
+                line, at = line + text.count(b"\n", at, lo), lo
+            near = text[max(0, lo - NEAR) : lo].decode("latin-1") if rule.labelled else None
+            yield rule.order, lo, hi, line if lines else None, text[lo:hi].decode("latin-1"), near
 
-    def step(s: Column, hit: Column) -> Column:
-        match, value, gap = hit[0], hit[1], hit[2]
-        end, size = s["at"] + F.length(match), F.length(value)
-        lo, hi = (end - size, end) if rule.id in _AT_END else (s["at"], s["at"] + size)
-        one = F.array(F.struct(lo.cast("bigint").alias("offset"), hi.cast("bigint").alias("end"), s["line"].alias("line"), value.alias("value")))
-        return F.struct((end + F.length(gap)).alias("at"), (s["line"] + _newlines(match, lines) + _newlines(gap, lines)).alias("line"), F.concat(s["found"], one).alias("found")).cast(state)
 
-    def block(s: Column, own: Column) -> Column:
-        begin = F.struct(s["at"].alias("at"), s["line"].alias("line"), F.array().cast(MATCH).alias("found")).cast(state)
-        more = lambda r: F.struct(r["at"].alias("at"), r["line"].alias("line"), F.concat(s["found"], F.array(r["found"])).alias("found"))
-        return let(F.aggregate(own, begin, step), more).cast(blocks)
+def spans(which: Sequence[Rule], raw: Column, lines: bool = False, gated: bool = True) -> Column:
+    """SPAN of text or binary content; an empty array for null. Only what is not null goes through the rules."""
+    own = tuple(which)
 
-    def all_of(given: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(given) - 1) / _BLOCK).cast("int")), lambda b: F.slice(given, b * _BLOCK + 1, F.lit(_BLOCK)))
-        start = F.struct(F.length(pieces[0]).cast("bigint").alias("at"), (_newlines(pieces[0], lines) + 1).alias("line"), F.array().cast(f"array<{MATCH}>").alias("found")).cast(blocks)
-        return F.flatten(F.aggregate(parts, start, block, lambda s: s["found"]))
+    @F.arrow_udf(SPAN)
+    def find(texts: pa.Array) -> pa.Array:
+        ends, rows = [0], []
+        for x in texts:
+            if x.is_valid:
+                rows += spans_of(x.as_py(), own, lines, gated)
+            ends.append(len(rows))
+        parts = list(zip(*rows)) if rows else [()] * len(_KIND)
+        columns = [pa.array(p, f.type) for p, f in zip(parts, _KIND)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(_KIND)))
 
-    return F.when(n > 0, let(hits, all_of)).otherwise(F.array().cast(MATCH))
+    return find(raw.cast("binary"))
 
 
 def matches(rule: Rule, view: Column, low: Column | None = None, lines: bool = False) -> Column:
-    """array<struct<offset, end, line, value>> of the rule's non-overlapping matches, ascending; an empty array if the
-    gate is shut, for which low, the view in lower case, is given. The pattern runs once: it encloses its matches in marks, and places follow from the lengths of
-    what stands between them. No match is empty. line is null unless lines are asked for."""
-    none = F.array().cast(MATCH)
-    opened = gate(rule, low) if low is not None else F.lit(True)
-    if is_deep(rule):
-        return F.when(opened & view.isNotNull(), _deep(rule)(F.when(opened, view))).otherwise(none)
-    marked = F.regexp_replace(view, pattern(rule), f"{_OPEN}$0{_MIDDLE}${rule.group}{_CLOSE}")
-    return F.when(opened & view.isNotNull(), let(F.split(marked, _OPEN, -1), lambda pieces: _placed(rule, pieces, lines))).otherwise(none)
+    """MATCH of one rule's matches in a byte view; an empty array if the gate is shut, for which low, the view in lower
+    case, is given. line is null unless lines are asked for."""
+    opened = view.isNotNull() & (gate(rule, low) if low is not None else F.lit(True))
+    found = spans([rule], F.when(opened, F.encode(view, "ISO-8859-1")), lines, gated=False)
+    return F.transform(found, lambda m: F.struct(*(m[x].alias(x) for x in ("offset", "end", "line", "value")))).cast(MATCH)
+
+
+@F.arrow_udf(BinaryType())
+def spliced(raw: pa.Array, cuts: pa.Array) -> pa.Array:
+    """Bytes with cuts (offset, rule_id, end; ascending) replaced by a marker of their rule. A cut that overlaps what is
+    hidden already hides more, without a second marker. Linear in the bytes and the cuts; null where there are none."""
+
+    def one(text: bytes, spans: list[dict]) -> bytes:
+        kept, at = [], 0
+        for s in spans:
+            if s["offset"] >= at:
+                kept += (text[at : s["offset"]], b"[REDACTED:%s]" % s["rule_id"].encode())
+            at = max(at, s["end"])
+        return b"".join([*kept, text[at:]])
+
+    return pa.array([one(x.as_py(), y.as_py()) if x.is_valid and y.is_valid else None for x, y in zip(raw, cuts)], pa.binary())

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 #: Bytes that are looked at to tell binary content, and the most that are matched raw.
 SNIFFED = 8192
@@ -88,20 +89,19 @@ def skipped(content: Column | str, include_binary: bool = False) -> Column:
     )
 
 
-def _units(view: Column) -> Column:
-    """UTF-16 units of a byte view of whole characters: each byte that starts one, and a second unit for those
-    beyond the basic plane."""
-    return F.length(F.regexp_replace(view, "[\x80-\xbf]", "")) + F.length(F.regexp_replace(view, "[^\xf0-\xf7]", ""))
+@F.arrow_udf(ArrayType(LongType()))
+def _utf16_units(text: pa.Array, places: pa.Array) -> pa.Array:
+    def one(raw: bytes, at: list[int]) -> list[int]:
+        found, lo, units = [], 0, 0
+        for hi in at:
+            units, lo = units + len(raw[lo:hi].decode().encode("utf-16-le")), hi
+            found.append(2 + units)
+        return found
 
+    return pa.array([one(x.as_py(), y.as_py()) if x.is_valid and y.is_valid else None for x, y in zip(text, places)], pa.list_(pa.int64()))
 
-def utf16_places(view: Column, places: Column) -> Column:
-    """map from places in a byte view, ascending and different, to those in its UTF-16 form, after its mark: each from
-    the one before."""
-    kind = "struct<at:bigint,units:bigint,found:array<bigint>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("units"), F.array().cast("array<bigint>").alias("found")).cast(kind)
 
-    def step(s: Column, place: Column) -> Column:
-        more = s["units"] + _units(F.substring(view, (s["at"] + 1).cast("int"), (place - s["at"]).cast("int")))
-        return F.struct(place.alias("at"), more.alias("units"), F.concat(s["found"], F.array(2 + 2 * more)).alias("found")).cast(kind)
-
-    return F.map_from_arrays(places, F.aggregate(places, start, step, lambda s: s["found"]))
+def utf16_places(text: Column, places: Column) -> Column:
+    """map from places in a text's UTF-8, ascending, different and between characters, to those in its UTF-16 form after
+    the mark: each from the one before. Null for null texts, which don't go through it."""
+    return F.map_from_arrays(places, _utf16_units(text.cast("binary"), places))

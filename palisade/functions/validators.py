@@ -161,23 +161,23 @@ def not_sample_jwt(v: Column) -> Column:
     return ~F.when(F.size(parts) == 3, F.coalesce(signed, F.lit(False))).otherwise(False)
 
 
-#: name -> (rule, value, view, offset) -> whether the candidate stays.
-REGISTRY: dict[str, Callable[[Rule, Column, Column, Column], Column]] = {
-    "luhn": lambda rule, v, view, at: luhn(v),
-    "mod-11": lambda rule, v, view, at: mod_11(v),
-    "card-placeholder": lambda rule, v, view, at: not_test_card(v),
-    "aws-placeholder": lambda rule, v, view, at: not_example_key(v),
-    "ssn-placeholder": lambda rule, v, view, at: not_example_ssn(v),
-    "jwt-sample-key": lambda rule, v, view, at: not_sample_jwt(v),
-    "entropy": lambda rule, v, view, at: entropy(v) >= rule.entropy,
-    "reserved-range": lambda rule, v, view, at: public_ipv4(v),
-    "context-label": lambda rule, v, view, at: near_label(view, at, rule.labels),
+#: name -> (rule, value, the bytes before it) -> whether the candidate stays.
+REGISTRY: dict[str, Callable[[Rule, Column, Column], Column]] = {
+    "luhn": lambda rule, v, near: luhn(v),
+    "mod-11": lambda rule, v, near: mod_11(v),
+    "card-placeholder": lambda rule, v, near: not_test_card(v),
+    "aws-placeholder": lambda rule, v, near: not_example_key(v),
+    "ssn-placeholder": lambda rule, v, near: not_example_ssn(v),
+    "jwt-sample-key": lambda rule, v, near: not_sample_jwt(v),
+    "entropy": lambda rule, v, near: entropy(v) >= rule.entropy,
+    "reserved-range": lambda rule, v, near: public_ipv4(v),
+    "context-label": lambda rule, v, near: labelled(near, rule.labels),
 }
 
 
-def passes(rule: Rule, v: Column, view: Column, at: Column) -> Column:
+def passes(rule: Rule, v: Column, near: Column) -> Column:
     """All checks of a rule, in its order; one it doesn't know is an error, not a rule that finds nothing."""
     found = F.lit(True)
     for name in rule.validators:
-        found = found & REGISTRY[name](rule, v, view, at)
+        found = found & REGISTRY[name](rule, v, near)
     return found

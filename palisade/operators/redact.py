@@ -7,34 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.matching import may_match, spliced
 from palisade.functions.text import byte_view, line_number
-from palisade.operators.scan import found_in, may_match
+from palisade.operators.scan import found_in
 from palisade.plans.rules import Rule, rules
 
 LISTED = 5
 
 
-def marker(rule_id: Column) -> Column:
-    return F.concat(F.lit("[REDACTED:"), rule_id, F.lit("]"))
-
-
-def _spliced(view: Column, spans: Column) -> Column:
-    """Spans ascend; one that overlaps what is hidden already hides more without a second marker."""
-    state_type = "struct<out:string,at:bigint>"
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")).cast(state_type)
-
-    def step(state: Column, span: Column) -> Column:
-        gap = F.substring(view, (state["at"] + 1).cast("int"), F.greatest(span["offset"] - state["at"], F.lit(0)).cast("int"))
-        out = F.when(span["offset"] >= state["at"], F.concat(state["out"], gap, marker(span["rule_id"]))).otherwise(state["out"])
-        return F.when(span["end"] <= state["at"], state).otherwise(F.struct(out.alias("out"), span["end"].alias("at"))).cast(state_type)
-
-    whole = F.aggregate(spans, start, step)
-    return F.concat(whole["out"], F.substring(view, (whole["at"] + 1).cast("int"), F.length(view)))
-
-
-def _hidden(view: Column, spans: Column) -> Column:
-    """The text of a byte view with spans (offset, rule_id, end), in any order, hidden."""
-    return F.decode(F.encode(_spliced(view, F.array_sort(spans)), "ISO-8859-1"), "UTF-8")
+def _hidden(text: Column, spans: Column) -> Column:
+    """A text with spans (offset, rule_id, end), in any order, hidden; null where the spans are. Only texts with spans go
+    through Python, where splicing is linear; rules that start alike go by id."""
+    return F.decode(spliced(F.when(spans.isNotNull(), text.cast("binary")), F.array_sort(spans)), "UTF-8")
 
 
 def redacted(df: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
@@ -43,14 +27,14 @@ def redacted(df: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
     elsewhere, by key; redact() scans and hides in one pass."""
     spans = found.groupBy(key).agg(F.collect_list(F.struct("offset", "rule_id", "end")).alias("spans"))
     joined = df.select(F.col(key), F.col(text).alias("text")).join(spans, key, "left")
-    return joined.select(key, F.when(F.col("spans").isNull(), F.col("text")).otherwise(_hidden(byte_view("text"), F.col("spans"))).alias("redacted"))
+    return joined.select(key, F.coalesce(_hidden(F.col("text"), F.col("spans")), F.col("text")).alias("redacted"))
 
 
 def _judged(df: DataFrame, text: str, which: Sequence[Rule] | None, check: bool) -> tuple[DataFrame, Column]:
     """df with what is found in each text, in the row itself; null where no rule can match."""
     which = list(which if which is not None else rules())
-    view = byte_view(text)
-    return df.withColumn("__found", F.when(may_match(which, F.col(text)), found_in(view, which, check))), F.coalesce(F.size("__found") > 0, F.lit(False))
+    likely = F.when(may_match(which, F.col(text)), F.col(text))
+    return df.withColumn("__found", found_in(likely, which, check)), F.coalesce(F.size("__found") > 0, F.lit(False))
 
 
 def redact(df: DataFrame, key: str, text: str, which: Sequence[Rule] | None = None, check: bool = True) -> DataFrame:
@@ -58,7 +42,7 @@ def redact(df: DataFrame, key: str, text: str, which: Sequence[Rule] | None = No
     candidates."""
     judged, any_ = _judged(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", which, check)
     spans = F.transform("__found", lambda m: F.struct(m["offset"].alias("offset"), m["rule_id"].alias("rule_id"), m["end"].alias("end")))
-    return judged.select(F.col("key").alias(key), F.when(any_, _hidden(byte_view("text"), spans)).otherwise(F.col("text")).alias("redacted"))
+    return judged.select(F.col("key").alias(key), F.coalesce(_hidden(F.col("text"), F.when(any_, spans)), F.col("text")).alias("redacted"))
 
 
 def without_findings(df: DataFrame, text: str, which: Sequence[Rule] | None = None) -> DataFrame:

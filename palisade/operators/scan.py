@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import text as T
-from palisade.functions.matching import is_deep, is_gated, let, matches, pattern
+from palisade.functions.matching import may_match, spans
 from palisade.functions.validators import before, passes
 from palisade.plans.rules import Rule, rules
 
@@ -22,37 +22,24 @@ def digest(rule_id: Column | str, value: Column) -> Column:
     return F.substring(F.sha2(F.concat(F.encode(rule, "UTF-8"), F.unhex(F.lit("00")), F.encode(value, "ISO-8859-1")), 256), 1, 16)
 
 
-def may_match(which: Sequence[Rule], text: Column) -> Column:
-    """Whether any rule can match the text at all: cheap looks, so that most texts get no further."""
-    words = sorted({k.lower() for r in which for k in r.keywords if k and is_gated(r)})
-    low = F.lower(text)
-    looks = [low.contains(w) for w in words] + [text.rlike(pattern(r)) if r.regex.isascii() else F.lit(True) for r in which if not is_gated(r)]
-    return reduce(lambda a, b: a | b, looks, F.lit(False)) & text.isNotNull()
+def found_in(raw: Column, which: Sequence[Rule], check: bool = True, lines: bool = False) -> Column:
+    """array<struct<rule_id, rule_order, offset, end, line, value>> of candidates in a text or binary content that pass
+    the checks of their rule (or all of them), rule by rule; line is null unless lines are asked for."""
+    which = list(which)
+    met = spans(which, raw, lines)
+    if check:
+        # a condition for each rule, of which a candidate meets its own
+        def stays(m: Column) -> Column:
+            tests = F.lit(True)
+            for i, rule in enumerate(which):
+                if rule.validators:
+                    tests = F.when(m["rule_order"] == i, passes(rule, m["value"], m["near"])).otherwise(tests)
+            return tests
 
-
-def found_in(view: Column, which: Sequence[Rule], check: bool = True, lines: bool = False) -> Column:
-    """array<struct<rule_id, rule_order, offset, end, line, value>> of a byte view's candidates that pass the checks of
-    their rule (or all of them), rule by rule; line is null unless lines are asked for."""
-
-    def of(rule: Rule, order: int, low: Column) -> Column:
-        met = matches(rule, view, low, lines)
-        if check:
-            met = F.filter(met, lambda m: passes(rule, m["value"], view, m["offset"]))
-        names = ("offset", "end", "line", "value")
-        return F.transform(met, lambda m: F.struct(F.lit(rule.id).alias("rule_id"), F.lit(order).alias("rule_order"), *(m[x].alias(x) for x in names)))
-
-    def all_of(low: Column, rules_: list[tuple[int, Rule]]) -> Column:
-        each = [of(r, i, low) for i, r in rules_]
-        return F.concat(*each) if len(each) > 1 else each[0]
-
-    # Rules that run in Python stand apart: what binds the lower-cased view once can't hold them.
-    plain, deep = ([(i, r) for i, r in enumerate(which) if is_deep(r) == x] for x in (False, True))
-    parts = [all_of(F.lower(view), [x]) for x in deep]
-    if any(is_gated(r) for _, r in plain):
-        parts.append(let(F.lower(view), lambda low: all_of(low, plain)))
-    elif plain:
-        parts.append(all_of(F.lower(view), plain))
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+        met = F.filter(met, stays)
+    ids = F.array(*(F.lit(r.id) for r in which))
+    names = ("rule_order", "offset", "end", "line", "value")
+    return F.transform(met, lambda m: F.struct(F.element_at(ids, m["rule_order"] + 1).alias("rule_id"), *(m[x].alias(x) for x in names)))
 
 
 def _exploded(df: DataFrame, found: str) -> DataFrame:
@@ -63,17 +50,18 @@ def _exploded(df: DataFrame, found: str) -> DataFrame:
 
 def candidates(df: DataFrame, key: str, text: str, which: Sequence[Rule]) -> DataFrame:
     """key, rule_id, rule_order, offset, end, value, before (the bytes before it): all matches, unchecked."""
-    viewed = df.where(may_match(which, F.col(text).cast("string"))).select(F.col(key).alias("key"), T.byte_view(text).alias("view"))
-    near = F.transform(found_in(F.col("view"), which, check=False), lambda m: m.withField("before", before(F.col("view"), m["offset"])))
-    return _exploded(viewed.select("key", near.alias("found")), "found").select(F.col("key").alias(key), "m.*").drop("line")
+    likely = df.where(may_match(which, F.col(text).cast("string"))).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    found = likely.withColumn("found", found_in(F.col("text"), which, check=False)).withColumn("view", T.byte_view("text"))
+    near = F.transform("found", lambda m: m.withField("before", before(F.col("view"), m["offset"])))
+    return _exploded(found.select("key", near.alias("found")), "found").select(F.col("key").alias(key), "m.*").drop("line")
 
 
 def findings(df: DataFrame, key: str, text: str, which: Sequence[Rule] | None = None, line: bool = False) -> DataFrame:
     """key, rule_id, offset, end (bytes of the text's UTF-8), digest, and the line, if asked for. Rules are independent:
     findings may overlap. Checks run where the text is, so rows of findings are small."""
     which = list(which if which is not None else rules())
-    viewed = df.where(may_match(which, F.col(text).cast("string"))).select(F.col(key).alias("key"), T.byte_view(text).alias("view"))
-    found = _exploded(viewed.select("key", found_in(F.col("view"), which, lines=line).alias("found")), "found")
+    likely = df.where(may_match(which, F.col(text).cast("string"))).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    found = _exploded(likely.select("key", found_in(F.col("text"), which, lines=line).alias("found")), "found")
     lines = ["m.line"] if line else []
     return found.select(F.col("key").alias(key), "m.rule_id", "m.offset", "m.end", digest(F.col("m.rule_id"), F.col("m.value")).alias("digest"), *lines)
 
@@ -86,9 +74,9 @@ def scan_content(df: DataFrame, key: str, content: str, which: Sequence[Rule] |
     judged = df.select(F.col(key).alias("key"), F.col(content).alias("content")).withColumn("skip", T.skipped("content", include_binary))
     readable = judged.where(F.col("skip").isin(T.READ, T.READ_RAW)).select("key", T.encoding("content").startswith("utf-16").alias("wide"), T.decoded("content").alias("text"))
     likely = readable.where(may_match(which, F.col("text").cast("string")))
-    viewed = likely.select("key", "wide", T.byte_view("text").alias("view")).withColumn("found", found_in(F.col("view"), which))
+    scanned = likely.withColumn("found", found_in(F.col("text"), which))
     places = F.array_sort(F.array_distinct(F.concat(F.col("found.offset"), F.col("found.end"))))
-    placed = viewed.withColumn("place", F.when(F.col("wide"), T.utf16_places(F.col("view"), places))).drop("view")
+    placed = scanned.withColumn("places", F.when(F.col("wide"), places)).withColumn("place", T.utf16_places(F.when(F.col("wide"), F.col("text")), F.col("places"))).drop("text")
     one = _exploded(placed, "found")
     at = lambda x: F.when(F.col("wide"), F.element_at("place", F.col(f"m.{x}"))).otherwise(F.col(f"m.{x}")).alias(x)
     found = one.select(F.col("key").alias(key), "m.rule_id", at("offset"), at("end"), digest(F.col("m.rule_id"), F.col("m.value")).alias("digest"))
@@ -99,5 +87,5 @@ def withheld(name: Column, which: Sequence[Rule] | None = None) -> Column:
     """A name as it may be shown: one that holds a finding itself, as it is or with spaces for underscores, or a
     control character is withheld."""
     which = list(which if which is not None else rules())
-    hit = reduce(lambda a, b: a | b, (F.size(found_in(T.byte_view(x), which)) > 0 for x in (name, F.translate(name, "_", " "))))
+    hit = reduce(lambda a, b: a | b, (F.size(found_in(x, which)) > 0 for x in (name, F.translate(name, "_", " "))))
     return F.when(name.rlike(r"[\x00-\x1f\x7f]") | hit, WITHHELD).otherwise(name)

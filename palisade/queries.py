@@ -633,3 +633,6 @@ def coverage_records(spark, sf_dir):
     told = coverage.summary(log).select("reason", "n")
     hidden = log.groupBy(coverage.reason_class(F.col("reason")).alias("reason")).agg(F.count_if(F.array_contains("operands", scan.WITHHELD)).alias("withheld"))
     return told.join(hidden, "reason")
+
+
+from palisade import queries_spans  # noqa: E402,F401  registers its own with query()

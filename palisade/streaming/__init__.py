@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions import text as T
-from palisade.operators.scan import digest, found_in, may_match
+from palisade.functions.matching import may_match
+from palisade.operators.scan import digest, found_in
 from palisade.plans.rules import Rule, rules
 
 
@@ -17,7 +17,7 @@ def stream_findings(stream: DataFrame, key: str, text: str, time: str, which: Se
     once within `late`, after which its state is dropped. The stream is read once for all rules."""
     which = list(which if which is not None else rules())
     likely = stream.where(may_match(which, F.col(text))).withWatermark(time, late)
-    found = likely.select(F.col(key), F.col(time), F.explode_outer(found_in(T.byte_view(text), which)).alias("m")).where("m IS NOT NULL")
+    found = likely.select(F.col(key), F.col(time), F.explode_outer(found_in(F.col(text), which)).alias("m")).where("m IS NOT NULL")
     found = found.select(key, time, "m.rule_id", "m.offset", "m.end", digest(F.col("m.rule_id"), F.col("m.value")).alias("digest"))
     return found.dropDuplicatesWithinWatermark(["rule_id", "digest"])
 
