@@ -5,35 +5,38 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import attention
-from .attention import HEAD, Frame, Model, Trainer, packed, unpacked
-from .common import columns, most_frequent, stored
+from .attention import HEAD, WINDOW, Frame, Model, Trainer, packed, unpacked
+from .common import columns, mixed, most_frequent, small_batches, stored
 from .hashing import Table
 
-#: A window of BLOCK words in each SHARE is trained on in each of ROUNDS rounds, of every training text alike.
-BLOCK, SHARE, ROUNDS = 16, 32, 2
+#: A window of ids in each SHARE is trained on in each of ROUNDS rounds, of every training text alike.
+SHARE, ROUNDS = 32, 2
 #: Words whose counts are sent to every task: the most frequent. Counts of others are joined.
 SENT = 1 << 19
-#: Words that a worker remembers (those met lately, up to twice as many); words, pairs and tokens counted or scored at a
-#: time; bytes of text that are split at a time.
-WORDS, HELD, TOKENS, SLICE = 1 << 18, 1 << 20, 1 << 15, 1 << 20
+#: Words that a worker remembers (those met lately, up to twice as many); different words, and rare pairs of ids, counted
+#: before they are given on; ids whose pairs a task counts in a square table; ids scored at a time; bytes of text that
+#: are split at a time.
+WORDS, HELD, SQUARE, TOKENS, SLICE = 1 << 18, 1 << 18, 2048, 1 << 15, 1 << 20
 #: Rows that trained weights are summed to before the driver takes their mean.
 SUMS = 64
-#: Stands for the end of a text among words; no word holds a space.
-END_WORD = b" end"
 _PAIR = 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
+#: Keys of words: a base for the places of ids in a word, and the key of the end.
+_BASE, END_KEY = np.uint64(0x9E3779B97F4A7C15), 0
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -41,12 +44,9 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def word_key(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) >> 1
-
-
 class Vocabulary:
-    """Keys and subword ids of lower-cased words, each with a space before it, so that a text's ids give its words back."""
+    """Subword ids of lower-cased words, each with a space before it: a text's ids give its words back, as only a word's
+    first id begins with a space."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -56,28 +56,30 @@ class Vocabulary:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1
-        self.new: dict[bytes, tuple[bytes, bytes]] = {}
-        self.old: dict[bytes, tuple[bytes, bytes]] = {}
+        self.begins = np.zeros(self.end + 1, np.bool_)
+        self.begins[[i for x, i in ranks.items() if x[:1] == b" "]] = True
+        self.kind = np.dtype("<u2" if self.end < 1 << 16 else "<u4")
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.marks = {x: self._ids(x.decode()) for x in (b".", b",")}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), np.int32).tobytes()
+        return np.array(self.encoding.encode_ordinary(text), self.kind).tobytes()
 
-    def _learn(self, word: bytes) -> tuple[bytes, bytes]:
+    def _learn(self, word: bytes) -> bytes:
         found = self.old.get(word)
         if found is None:
             mark = self.marks.get(word[-1:])
             if mark and word[-2:-1].isalpha():  # a mark after a letter is a piece of its own
                 stem = word[:-1]
-                ids = (self.new.get(stem) or self._learn(stem))[1] + mark
+                found = (self.new.get(stem) or self._learn(stem)) + mark
             else:
-                ids = self._ids(" " + word.decode())
-            found = word_key(word).to_bytes(8, "little"), ids
+                found = self._ids(" " + word.decode())
         if len(word) <= 64:
             self.new[word] = found
         return found
 
-    def entries(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+    def ids(self, words: list[bytes]) -> np.ndarray:
         found = list(map(self.new.get, words))
         if not all(found):
             for i, x in enumerate(found):
@@ -85,14 +87,17 @@ class Vocabulary:
                     found[i] = self.new.get(words[i]) or self._learn(words[i])
             if len(self.new) > WORDS:
                 self.old, self.new = self.new, {}
-        return found
+        return np.frombuffer(b"".join(found), self.kind)
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join([x[1] for x in self.entries(words)]), np.int32)
-
-    def both(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.entries(words)
-        return np.frombuffer(b"".join([x[0] for x in found]), np.int64), np.frombuffer(b"".join([x[1] for x in found]), np.int32)
+    def keys(self, ids: np.ndarray) -> np.ndarray:
+        """63 bits for each word of a run of ids, made of its ids and their order; never END_KEY."""
+        if not len(ids):
+            return np.empty(0, np.int64)
+        first = np.flatnonzero(self.begins[ids])
+        place = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
+        powers = np.cumprod(np.full(int(place.max()) + 1, _BASE, np.uint64), dtype=np.uint64)
+        sums = np.add.reduceat(mixed(ids.astype(np.uint64) + np.uint64(1)) * powers[place], first)
+        return (mixed(sums) >> np.uint64(1)).astype(np.int64) | 1
 
 
 @lru_cache(maxsize=1)
@@ -114,61 +119,96 @@ def split(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-class _Sums:
-    """Numbers counted in sorted arrays."""
-
-    def __init__(self):
-        self.held, self.n = [], 0
-        self.keys = self.counts = np.empty(0, np.int64)
-
-    def add(self, keys: np.ndarray) -> None:
-        self.held.append(keys)
-        self.n += len(keys)
-        if self.n >= HELD:
-            self.settle()
-
-    def settle(self) -> None:
-        if self.n:
-            keys, counts = np.unique(np.concatenate(self.held), return_counts=True)
-            every, inverse = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
-            self.keys, self.counts = every, np.bincount(inverse, np.concatenate([self.counts, counts])).astype(np.int64)
-            self.held, self.n = [], 0
-
-    def given(self, kind: int, least: int = 0) -> Iterator[pa.RecordBatch]:
-        """What was counted, if there are at least so many, and forgets it."""
-        if len(self.keys) >= max(1, least):
-            for k in range(0, len(self.keys), 1 << 17):
-                keys = self.keys[k : k + (1 << 17)]
-                yield pa.record_batch([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(self.counts[k : k + (1 << 17)])], ["kind", "key", "n"])
-            self.keys = self.counts = np.empty(0, np.int64)
+class _Pairs:
+    """Counts of ids next to each other: those of the first SQUARE - 1 ids that a task meets in a square table, others
+    sorted."""
+
+    def __init__(self, size: int):
+        self.slot, self.ids, self.table = np.zeros(size, np.int32), [-1], np.zeros((SQUARE, SQUARE), np.int32)
+        self.rest: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, chain: np.ndarray) -> None:
+        slots = self.slot[chain]
+        if not slots.all() and len(self.ids) < SQUARE:
+            fresh = np.unique(chain[slots == 0])[: SQUARE - len(self.ids)]
+            self.slot[fresh] = np.arange(len(self.ids), len(self.ids) + len(fresh))
+            self.ids += fresh.tolist()
+            slots = self.slot[chain]
+        a, b = slots[:-1], slots[1:]
+        np.add.at(self.table.reshape(-1), a * SQUARE + b, 1)
+        lost = np.flatnonzero((a == 0) | (b == 0))
+        if len(lost):
+            self.rest.append(chain[lost].astype(np.int64) << _PAIR | chain[lost + 1])
+            self.n += len(lost)
+
+    def given(self, least: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.n >= least:
+            yield np.unique(np.concatenate(self.rest), return_counts=True)
+            self.rest, self.n = [], 0
+
+    def square(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids = np.array(self.ids, np.int64)
+        for a in range(1, len(ids), 64):
+            rows, b = np.nonzero(self.table[a : a + 64, 1:])
+            if len(b):
+                yield ids[a + rows] << _PAIR | ids[b + 1], self.table[a + rows, b + 1].astype(np.int64)
+
+
+def encoded(docs: DataFrame, path: str, held: Column | None = None, id_col: str = "doc_id") -> DataFrame:
+    """Texts read and split once, stored: rows of documents (row, doc_id, held, ids as bytes), and of what tasks count in
+    those not held (kind 0: words by key, the end included; kind 1: ids next to each other, before * 2^20 + after; key,
+    n). Null texts are empty; held keeps a document from the counts, and from training."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(held if held is not None else F.lit(False), F.lit(False)).alias("held"), F.col("`text`").alias("text"))
+    rows = columns(rows, doc_id="doc_id", held="held", text="text")
+    names = ["row", "doc_id", "held", "ids", "kind", "key", "n"]
+    schema = f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, held boolean, ids binary, kind int, key long, n long"
+    id_type = to_arrow_type(rows.schema["doc_id"].dataType)
+
+    def counts(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(keys), 1 << 16):
+            own, m = keys[k : k + (1 << 16)], n[k : k + (1 << 16)]
+            none = [pa.nulls(len(own), t) for t in (pa.int64(), id_type, pa.bool_(), pa.binary())]
+            yield pa.record_batch([*none, pa.array(np.full(len(own), kind, np.int32)), pa.array(own), pa.array(m)], names)
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        know, words, row, ends = vocabulary(path), Counter(), TaskContext.get().partitionId() << 40, 0
+        pairs, end = _Pairs(know.end + 1), np.array([know.end], know.kind)
 
-def corpus_counts(docs: DataFrame, path: str) -> DataFrame:
-    """Counts over all texts, stored: kind 0 words (by key; the end is one), kind 1 subword ids next to each other
-    (before * 2^20 + after)."""
+        def flushed() -> Iterator[pa.RecordBatch]:
+            own = list(words)
+            for k in range(0, len(own), 1 << 16):
+                yield from counts(0, know.keys(know.ids(own[k : k + (1 << 16)])), np.array([words[x] for x in own[k : k + (1 << 16)]], np.int64))
+            words.clear()
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, know = _Sums(), _Sums(), vocabulary(path)
-        end, end_key = np.array([know.end], np.int32), np.array([word_key(END_WORD)], np.int64)
         for batch in parts:
-            for text in batch.column("text").cast(pa.binary()):
-                last = end
+            made = []
+            for text, held in zip(batch.column("text").cast(pa.binary()), batch.column("held").to_pylist()):
+                own = []
                 for part in split(text.as_py() or b""):
-                    keys, ids = know.both(part)
-                    words.add(keys)
-                    chain = np.concatenate([last, ids]).astype(np.int64)
-                    pairs.add(chain[:-1] << _PAIR | chain[1:])
-                    last = chain[-1:]
-                words.add(end_key)
-                pairs.add(last.astype(np.int64) << _PAIR | end)
-            yield from words.given(0, HELD)
-            yield from pairs.given(1, HELD)
-        for kind, sums in enumerate((words, pairs)):
-            sums.settle()
-            yield from sums.given(kind)
-
-    counted = docs.select("text").mapInArrow(run, "kind int, key long, n long")
-    return stored(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+                    own.append(know.ids(part))
+                    if not held:
+                        words.update(part)
+                        if len(words) > HELD:
+                            yield from flushed()
+                ids = np.concatenate(own) if own else end[:0]
+                made.append(ids.tobytes())
+                if not held:
+                    ends += 1
+                    pairs.add(np.concatenate([end, ids, end]))
+                    for found in pairs.given(HELD):
+                        yield from counts(1, *found)
+            n = len(made)
+            none = [pa.nulls(n, t) for t in (pa.int32(), pa.int64(), pa.int64())]
+            yield pa.record_batch([pa.array(np.arange(row, row + n)), batch.column("doc_id"), batch.column("held"), pa.array(made, pa.binary()), *none], names)
+            row += n
+        yield from flushed()
+        if ends:
+            yield from counts(0, np.array([END_KEY]), np.array([ends]))
+        for found in chain(pairs.given(), pairs.square()):
+            yield from counts(1, *found)
+
+    return stored(rows.mapInArrow(run, schema))
 
 
 def _frame(counts: DataFrame, path: str) -> Frame:
@@ -196,21 +236,15 @@ def _round(docs: DataFrame, path: str, frame, weights: np.ndarray, nth: int) ->
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         know, own = vocabulary(path), Trainer(Model(frame.value, unpacked(sent.value)))
-        leaf_of, end = frame.value.leaf_of, np.array([know.end], np.int32)
+        leaf_of, end = frame.value.leaf_of, np.array([know.end], know.kind)
         for batch in parts:
-            for text in batch.column("text").cast(pa.binary()):
-                text = text.as_py() or b""
-                # which blocks are taken follows from the text alone
-                seed, first, before = zlib.crc32(text), 0, []
-                for words in split(text):
-                    blocks = -(-len(words) // BLOCK)
-                    for k in np.flatnonzero(((first + np.arange(blocks)) * 2654435761 + seed >> 12) % SHARE == nth).tolist():
-                        look = words[max(0, k * BLOCK - 1) : (k + 1) * BLOCK] if k else before + words[:BLOCK]
-                        ids = know.ids(look)
-                        own.feed(leaf_of[ids if k or before else np.concatenate([end, ids])])
-                    first, before = first + blocks, words[-1:] or before
-                if (seed >> 12) % SHARE == nth:  # how texts end
-                    own.feed(leaf_of[np.concatenate([know.ids(before) if before else end, end])])
+            for ids in batch.column("ids"):
+                ids = ids.as_py()
+                # which windows are taken follows from the text alone
+                seed, ids = zlib.crc32(ids), np.concatenate([end, np.frombuffer(ids, know.kind), end])
+                windows = np.arange(-(-(len(ids) - 1) // WINDOW))
+                for k in np.flatnonzero((windows * 2654435761 + seed >> 12) % SHARE == nth).tolist():
+                    own.feed(leaf_of[ids[k * WINDOW : (k + 1) * WINDOW + 1]])
         own.step()
         if own.windows:
             flat = packed(own.model.w) * np.float64(own.windows)
@@ -224,7 +258,7 @@ def _round(docs: DataFrame, path: str, frame, weights: np.ndarray, nth: int) ->
         if n:
             yield pa.record_batch([pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["n", "weights"])
 
-    trained = docs.select("text").mapInArrow(run, "slot int, n long, weights binary").repartition(SUMS, "slot")
+    trained = docs.select("ids").mapInArrow(run, "slot int, n long, weights binary").repartition(SUMS, "slot")
     sums = trained.select("n", "weights").mapInArrow(total, "n long, weights binary").collect()
     n = sum(r["n"] for r in sums)
     return sum((np.frombuffer(r["weights"], np.float64) for r in sums), np.zeros(len(weights))) / n if n else weights
@@ -242,69 +276,71 @@ class LanguageModel:
     distinct: int
 
 
-def train(docs: DataFrame, path: str) -> LanguageModel:
-    """Counts cover all texts (null: empty), and every text gives windows to each round of training by the same rule."""
-    rows = columns(docs, text="text")
-    counts = corpus_counts(rows, path)
+def train(texts: DataFrame, path: str) -> LanguageModel:
+    """From encoded texts. Counts cover all that are not held, and each of them gives windows to every round of training
+    by the same rule."""
+    counted = texts.where("kind IS NOT NULL").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counts = stored(counted)
     tokens, distinct = counts.where("kind = 0").agg(F.sum("n"), F.count("*")).first()
     frame, weights = _frame(counts, path), packed(attention.initial())
-    sent = docs.sparkSession.sparkContext.broadcast(frame)
+    sent = texts.sparkSession.sparkContext.broadcast(frame)
     for nth in range(ROUNDS):
-        weights = _round(rows, path, sent, weights, nth)
+        weights = _round(texts.where("kind IS NULL AND NOT held"), path, sent, weights, nth)
     return LanguageModel(path, frame, weights.astype(np.float32), counts, tokens or 0, distinct)
 
 
-def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, n_tokens (words and the end), n_known (those that training has), base_score (log10, words by
-    their counts) and score (log10 probability of the text's subword ids under the model, the end included). Texts are
-    read once; null ones are empty. Null and repeated ids are rows like others; an empty table stays empty."""
-    spark, path = docs.sparkSession, model.path
+def score(texts: DataFrame, model: LanguageModel) -> DataFrame:
+    """Per document of encoded texts: doc_id, held, n_tokens (words and the end), n_known (those that training has),
+    train_tokens, base_score (log10, words by their counts) and score (log10 probability of the text's subword ids under
+    the model, the end included). Null and repeated ids are rows like others; an empty table stays empty."""
+    spark, path = texts.sparkSession, model.path
     words = model.counts.where("kind = 0").select("key", "n")
     divisor = model.tokens + 0.5 * (model.distinct + 1)
     common = most_frequent(words, "n", SENT)
     known = words.where(common).toArrow()  # SENT rows at most
     table = Table(known.column("key").to_numpy(), np.log10((known.column("n").to_numpy() + 0.5) / divisor), np.nan)
     sent = spark.sparkContext.broadcast((model.frame, model.weights, table))
-    rows = columns(docs, doc_id=id_col, text="text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "key", "n"]
+    rows = texts.where("kind IS NULL").select("row", "doc_id", "held", "ids")
+    names = ["row", "doc_id", "held", "n_tokens", "n_known", "base_score", "score", "key", "n"]
+    schema = f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, held boolean, n_tokens long, n_known long, base_score double, score double, key long, n long"
+    small_batches(spark)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frame, weights, table = sent.value
-        know, lm, row = vocabulary(path), Model(frame, unpacked(weights)), TaskContext.get().partitionId() << 40
-        end, end_key = np.array([know.end], np.int32), np.array([word_key(END_WORD)], np.int64)
+        know, lm = vocabulary(path), Model(frame, unpacked(weights))
+        end, end_key = np.array([know.end], know.kind), np.array([END_KEY], np.int64)
         for batch in parts:
             out, held, size, scores, rare = [], [], 0, [], []
-            for text in batch.column("text").cast(pa.binary()):
-                keys, ids = [], []
-                for part in split(text.as_py() or b""):
-                    own = know.both(part)
-                    keys.append(own[0])
-                    ids.append(own[1])
-                keys, ids = np.concatenate([*keys, end_key]), np.concatenate([*ids, end])
+            for row, ids in zip(batch.column("row").to_pylist(), batch.column("ids")):
+                ids = np.frombuffer(ids.as_py(), know.kind)
+                keys = np.concatenate([know.keys(ids), end_key])
                 logs = table.get(keys)
                 lost = keys[np.isnan(logs)]
                 out.append((len(keys), len(keys) - len(lost), float(np.nansum(logs))))
                 if len(lost):
-                    rare.append((row + len(out) - 1, *np.unique(lost, return_counts=True)))
-                held.append(ids)
+                    rare.append((row, *np.unique(lost, return_counts=True)))
+                held.append(np.concatenate([ids, end]))
                 size += len(ids)
                 if size > TOKENS:
                     scores.append(lm.score(held))
                     held, size = [], 0
             scores.append(lm.score(held))
-            n = len(out)
             numbers = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
-            yield pa.record_batch([pa.array(np.arange(row, row + n)), batch.column("doc_id"), *numbers, pa.array(np.concatenate(scores)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+            yield pa.record_batch([*(batch.column(x) for x in names[:3]), *numbers, pa.array(np.concatenate(scores)), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64())], names)
             if rare:
                 at = np.repeat([x[0] for x in rare], [len(x[1]) for x in rare])
-                none = [pa.nulls(len(at), t) for t in (batch.column("doc_id").type, pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                none = [pa.nulls(len(at), t) for t in (batch.column("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
                 yield pa.record_batch([pa.array(at), *none, pa.array(np.concatenate([x[1] for x in rare])), pa.array(np.concatenate([x[2] for x in rare]))], names)
-            row += n
 
-    made = stored(rows.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double, key long, n long"))
+    made = stored(rows.mapInArrow(run, schema))
     # counts of words that few texts have meet those texts' rows
     rare = made.where("key IS NOT NULL").select("row", "key", "n").join(words.where(~common).withColumnRenamed("n", "c"), "key", "left").fillna(0, ["c"])
     rare = rare.groupBy("row").agg(F.sum(F.expr("if(c > 0, n, 0)")).alias("more"), F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / F.lit(float(divisor)))).alias("rest"))
     found = made.where("key IS NULL").drop("key", "n").join(rare, "row", "left").fillna(0, ["more", "rest"])
-    return found.select("doc_id", "n_tokens", (F.col("n_known") + F.col("more")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + F.col("rest")).alias("base_score"), "score")
+    return found.select("doc_id", "held", "n_tokens", (F.col("n_known") + F.col("more")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + F.col("rest")).alias("base_score"), "score")
+
+
+def score_texts(docs: DataFrame, path: str, held: Column | None = None, id_col: str = "doc_id") -> DataFrame:
+    """score() of a table's texts, by a model of those that are not held."""
+    texts = encoded(docs, path, held, id_col)
+    return score(texts, train(texts, path))

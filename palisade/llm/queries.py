@@ -98,11 +98,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of each text under the attention model and under word counts."""
-    from .lm_scoring import held_out, score, train
+    from .lm_scoring import held_out, score_texts
 
-    docs = table(spark, sf_dir, "documents")
-    found = score(docs, train(docs.where(~held_out()), tokenizer_path("byte_bpe_multi_50k.tiktoken")))
-    return found.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    found = score_texts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), held_out())
+    return found.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
