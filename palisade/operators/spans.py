@@ -54,7 +54,9 @@ def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def overlapping_rules(found: DataFrame, key: str) -> DataFrame:
-    """Pairs of findings of different rules that overlap, each pair once: the rule that comes first by name is on the left."""
+    """Pairs of findings of different rules that overlap, each pair once: the rule that comes first by name is on the left.
+    Findings are kept while both sides read them, so texts are scanned once; a lost executor's part is made anew."""
+    found = found.persist()
     return overlapping(found, found, key).where("left.rule_id < right.rule_id")
 
 
@@ -78,7 +80,8 @@ def changes(df: DataFrame, key: str, text: str, before: Sequence[Rule], after: S
     left = found.groupBy(key, "rule_id", "offset", "end").agg(F.sum("sign").alias("more")).where("more <> 0")
     one = left.groupBy(key, "rule_id", "offset").agg(F.collect_list(F.struct("end", "more")).alias("ends"))
     # a beginning has few ends: one for each pattern of the rule's id
-    gained, lost = (F.flatten(F.transform(F.filter("ends", lambda x, s=s: x["more"] * s > 0), lambda x: F.array_repeat(x["end"], F.abs(x["more"]).cast("int")))) for s in (1, -1))
+    repeated = lambda given: F.flatten(F.transform(given, lambda x: F.array_repeat(x["end"], F.abs(x["more"]).cast("int"))))
+    gained, lost = repeated(F.filter("ends", lambda x: x["more"] > 0)), repeated(F.filter("ends", lambda x: x["more"] < 0))
     paired = one.select(key, "rule_id", "offset", F.array_sort(gained).alias("gained"), F.array_sort(lost).alias("lost"))
     row = lambda x, say: F.struct(x.alias("end"), F.lit(say).alias("change"))
     told = F.concat(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palisade.operators import redact, scan, spans
 from palisade.plans.rules import load
-from palisade.queries import _BOTH, _CARD_RE, _CARDS, _IP_RE, _LUHN, _NOT_TEST, _PUBLIC, ANY_CARD, CARD, IPV4, _both, _matches_sql, query, table
+from palisade.queries import _BOTH, _CARD_RE, _CARDS, _IP_RE, _LUHN, _NOT_TEST, _PUBLIC, ANY_CARD, CARD, IPV4, _both, _ip_sql, _matches_sql, query, table
 
 #: Rules as a user brings them: a group in the middle, one that is nested, one that may be absent.
 DOCUMENT = r"""{"rules": [
@@ -48,7 +48,7 @@ def loaded_rule_redacted(spark, sf_dir):
 
 #: Every address and card number, unchecked, and two rules that meet them: pairs of octets, and long runs around them.
 _ANY_IP, _ANY_CARD = replace(IPV4, validators=()), replace(CARD, validators=(), labels=())
-_PAIR_RE, _LINE_RE = r"\b\d{2,3}\.\d{1,3}\b", r"[^\n]*\d{3}[^\n]*"
+_PAIR_RE, _LINE_RE = r"\b\d{2,3}\.\d{1,3}\b", r"[A-Za-z ]{0,100}\d{3}[A-Za-z ]{0,100}"
 _PAIR, _LINE = replace(_ANY_IP, id="pair", regex=_PAIR_RE, group=0), replace(_ANY_IP, id="line", regex=_LINE_RE, group=0)
 
 
@@ -103,3 +103,28 @@ def distinct_values_sketched(spark, sf_dir):
     exact = found.groupBy("source").agg(F.count_distinct("value").alias("different"))
     near = F.abs(F.col("about") - F.col("different")) <= F.greatest(F.lit(1.0), 0.06 * F.col("different"))
     return exact.join(about, F.equal_null(exact["source"], about["source"])).select(exact["source"], "different", near.alias("close"))
+
+
+_BUFFERS = "(SELECT conv_id, text || CASE WHEN conv_id % 4 = 0 AND turn = 1 THEN ' from 8.8.8.8' ELSE '' END AS text FROM conversations)"
+
+
+@query(
+    f"""WITH hit AS (SELECT DISTINCT conv_id FROM ({_ip_sql(_BUFFERS, "conv_id", "text")}) WHERE block IS NULL),
+    call AS (SELECT conv_id, min(conv_id * 60 + turn) AS first FROM conversations GROUP BY 1), seen AS (SELECT max(conv_id * 60 + turn) - 60 AS to_ FROM conversations)
+    SELECT conv_id AS call_id, CASE WHEN h IS NULL THEN CASE WHEN conv_id % 10 = 3 THEN 'abstain' ELSE 'allow' END WHEN conv_id % 8 = 0 THEN 'ask' ELSE 'deny' END AS verdict, h IS NULL AND conv_id % 10 = 3 AS expired
+    FROM (SELECT call.conv_id, first, hit.conv_id AS h FROM call LEFT JOIN hit USING (conv_id)), seen WHERE h IS NOT NULL OR conv_id % 10 <> 3 OR first + 600 <= to_"""
+)
+def streamed_verdicts(spark, sf_dir):
+    """Conversations as calls and turns as their buffers, streamed: an address decides at once; of every tenth call a
+    buffer never comes, so that it expires, once the stream's time has passed its deadline."""
+    from palisade.streaming.verdicts import finished, stream_verdicts
+
+    rows = table(spark, sf_dir, "conversations")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/conversations.parquet")
+    parts = rows.groupBy("conv_id").agg(F.count("*").alias("n"))
+    text = F.concat("text", F.when(F.expr("conv_id % 4 = 0 AND turn = 1"), " from 8.8.8.8").otherwise(""))
+    buffers = stream.join(parts, "conv_id").select(
+        F.col("conv_id").alias("call_id"), F.col("turn").alias("part"), F.expr("n + if(conv_id % 10 = 3, 1, 0)").alias("parts"), text.alias("text"),
+        F.timestamp_seconds(F.expr("1767225600 + conv_id * 60 + turn")).alias("time"), F.when(F.expr("conv_id % 8 = 0"), "checked by hand").alias("override"),
+    )
+    return finished(stream_verdicts(buffers, which=[IPV4])).select("call_id", "verdict", "expired")
