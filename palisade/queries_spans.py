@@ -120,7 +120,7 @@ def streamed_verdicts(spark, sf_dir):
     from palisade.streaming.verdicts import finished, stream_verdicts
 
     rows = table(spark, sf_dir, "conversations")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/conversations.parquet")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/conversations.parque[t]")  # a pattern, as the table may be one file
     parts = rows.groupBy("conv_id").agg(F.count("*").alias("n"))
     text = F.concat("text", F.when(F.expr("conv_id % 4 = 0 AND turn = 1"), " from 8.8.8.8").otherwise(""))
     buffers = stream.join(parts, "conv_id").select(
