@@ -30,11 +30,13 @@ SENT = 1 << 19
 #: Words that a worker remembers (those met lately, up to twice as many); different words, and rare pairs of ids, counted
 #: before they are given on; ids whose pairs a task counts in a square table; ids scored at a time; bytes of text that
 #: are split at a time.
-WORDS, HELD, SQUARE, TOKENS, SLICE = 1 << 18, 1 << 18, 2048, 1 << 15, 1 << 20
+WORDS, HELD, SQUARE, TOKENS, SLICE = 1 << 19, 1 << 18, 2048, 1 << 15, 1 << 20
 #: Rows that trained weights are summed to before the driver takes their mean.
 SUMS = 64
 _PAIR = 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
+#: White space that may stand inside a word.
+_ODD = re.compile(r"[^\S ]")
 #: Keys of words: a base for the places of ids in a word, and the key of the end.
 _BASE, END_KEY = np.uint64(0x9E3779B97F4A7C15), 0
 
@@ -63,41 +65,69 @@ class Vocabulary:
         self.old: dict[bytes, bytes] = {}
         self.marks = {x: self._ids(x.decode()) for x in (b".", b",")}
 
+        # keys are made of these: an odd number for each id, and the powers of a base for the places in a word
+        self.mixed = mixed(np.arange(1, self.end + 2, dtype=np.uint64)) | np.uint64(1)
+        self.powers = np.cumprod(np.full(64, _BASE, np.uint64), dtype=np.uint64)
+
     def _ids(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), self.kind).tobytes()
 
-    def _learn(self, word: bytes) -> bytes:
-        found = self.old.get(word)
-        if found is None:
-            mark = self.marks.get(word[-1:])
-            if mark and word[-2:-1].isalpha():  # a mark after a letter is a piece of its own
-                stem = word[:-1]
-                found = (self.new.get(stem) or self._learn(stem)) + mark
-            else:
-                found = self._ids(" " + word.decode())
-        if len(word) <= 64:
-            self.new[word] = found
-        return found
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words. Together they are one text, which has no white space but what parts them: then nothing that the
+        tokenizer does reaches from one to the next, and each word is what stands from one id that begins with a space to
+        the next. Words with white space of another kind go one by one."""
+        text = " " + b" ".join(words).decode()
+        if not _ODD.search(text):
+            ids = np.array(self.encoding.encode_ordinary(text), self.kind)
+            first = np.flatnonzero(self.begins[ids])
+            if len(first) == len(words):
+                raw, ends = ids.tobytes(), [*(first[1:] * self.kind.itemsize).tolist(), len(ids) * self.kind.itemsize]
+                return [raw[lo:hi] for lo, hi in zip([0, *ends], ends)]
+        return [self._ids(" " + w.decode()) for w in words]
+
+    def _learn(self, words: list[bytes], found: list) -> None:
+        new, old, marks, lost = self.new, self.old, self.marks, {}
+        for i, x in enumerate(found):
+            if x is None:
+                word = words[i]
+                # a mark after a letter is a piece of its own
+                mark = marks.get(word[-1:]) if word[-2:-1].isalpha() else None
+                stem = word[:-1] if mark else word
+                own = new.get(stem) or old.get(stem)
+                if own is None:
+                    lost.setdefault(stem, []).append((i, mark or b""))
+                else:
+                    new[stem], found[i] = own, own + mark if mark else own
+                    if mark:
+                        new[word] = found[i]
+        if lost:
+            for (stem, at), own in zip(lost.items(), self._encoded(list(lost))):
+                for i, mark in at:
+                    found[i] = own + mark
+                    if len(stem) <= 64:
+                        new[words[i]] = found[i]
+                if len(stem) <= 64:
+                    new[stem] = own
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         found = list(map(self.new.get, words))
         if not all(found):
-            for i, x in enumerate(found):
-                if x is None:
-                    found[i] = self.new.get(words[i]) or self._learn(words[i])
+            self._learn(words, found)
             if len(self.new) > WORDS:
                 self.old, self.new = self.new, {}
         return np.frombuffer(b"".join(found), self.kind)
 
-    def keys(self, ids: np.ndarray) -> np.ndarray:
-        """63 bits for each word of a run of ids, made of its ids and their order; never END_KEY."""
+    def keys(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """63 bits for each word of runs of ids, made of its ids and their order, never END_KEY; and where words begin."""
         if not len(ids):
-            return np.empty(0, np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         first = np.flatnonzero(self.begins[ids])
-        place = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
-        powers = np.cumprod(np.full(int(place.max()) + 1, _BASE, np.uint64), dtype=np.uint64)
-        sums = np.add.reduceat(mixed(ids.astype(np.uint64) + np.uint64(1)) * powers[place], first)
-        return (mixed(sums) >> np.uint64(1)).astype(np.int64) | 1
+        sizes = np.diff(np.append(first, len(ids)))
+        place = np.arange(len(ids)) - np.repeat(first, sizes)
+        if sizes.max() > len(self.powers):
+            self.powers = np.cumprod(np.full(int(sizes.max()), _BASE, np.uint64), dtype=np.uint64)
+        sums = np.add.reduceat(self.mixed[ids] * self.powers[place], first)
+        return (mixed(sums) >> np.uint64(1)).astype(np.int64) | 1, first
 
 
 @lru_cache(maxsize=1)
@@ -178,7 +208,7 @@ def encoded(docs: DataFrame, path: str, held: Column | None = None, id_col: str
         def flushed() -> Iterator[pa.RecordBatch]:
             own = list(words)
             for k in range(0, len(own), 1 << 16):
-                yield from counts(0, know.keys(know.ids(own[k : k + (1 << 16)])), np.array([words[x] for x in own[k : k + (1 << 16)]], np.int64))
+                yield from counts(0, know.keys(know.ids(own[k : k + (1 << 16)]))[0], np.array([words[x] for x in own[k : k + (1 << 16)]], np.int64))
             words.clear()
 
         for batch in parts:
@@ -309,28 +339,41 @@ def score(texts: DataFrame, model: LanguageModel) -> DataFrame:
         frame, weights, table = sent.value
         know, lm = vocabulary(path), Model(frame, unpacked(weights))
         end, end_key = np.array([know.end], know.kind), np.array([END_KEY], np.int64)
+        end_log = float(table.get(end_key)[0])
+
+        def told(batch: pa.RecordBatch, lo: int, texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """Documents from place lo of a batch, and their words that the table doesn't have."""
+            n, own = len(texts), batch.slice(lo, len(texts))
+            keys, first = know.keys(np.concatenate(texts))
+            logs, of = table.get(keys), np.searchsorted(np.cumsum([len(x) for x in texts]), first, "right")
+            lost = np.isnan(logs)
+            base = np.bincount(of, np.where(lost, 0, logs), n)
+            known, words = np.bincount(of, ~lost, n).astype(np.int64), np.bincount(of, minlength=n)
+            if np.isnan(end_log):
+                rare_of, rare = np.append(of[lost], np.arange(n)), np.append(keys[lost], np.full(n, END_KEY))
+            else:
+                base, known, rare_of, rare = base + end_log, known + 1, of[lost], keys[lost]
+            scores = lm.score([np.concatenate([x, end]) for x in texts])
+            none = [pa.nulls(n, pa.int64())] * 2
+            yield pa.record_batch([*(own.column(x) for x in names[:3]), pa.array(words + 1), pa.array(known), pa.array(base), pa.array(scores), *none], names)
+            if len(rare):
+                order = np.lexsort((rare, rare_of))
+                rare_of, rare = rare_of[order], rare[order]
+                starts = np.flatnonzero(np.r_[True, (rare[1:] != rare[:-1]) | (rare_of[1:] != rare_of[:-1])])
+                at = own.column("row").to_numpy()[rare_of[starts]]
+                none = [pa.nulls(len(at), t) for t in (batch.column("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.record_batch([pa.array(at), *none, pa.array(rare[starts]), pa.array(np.diff(np.append(starts, len(rare))))], names)
+
         for batch in parts:
-            out, held, size, scores, rare = [], [], 0, [], []
-            for row, ids in zip(batch.column("row").to_pylist(), batch.column("ids")):
-                ids = np.frombuffer(ids.as_py(), know.kind)
-                keys = np.concatenate([know.keys(ids), end_key])
-                logs = table.get(keys)
-                lost = keys[np.isnan(logs)]
-                out.append((len(keys), len(keys) - len(lost), float(np.nansum(logs))))
-                if len(lost):
-                    rare.append((row, *np.unique(lost, return_counts=True)))
-                held.append(np.concatenate([ids, end]))
-                size += len(ids)
+            held, size, lo = [], 0, 0
+            for i, ids in enumerate(batch.column("ids")):
+                held.append(np.frombuffer(ids.as_py(), know.kind))
+                size += len(held[-1])
                 if size > TOKENS:
-                    scores.append(lm.score(held))
-                    held, size = [], 0
-            scores.append(lm.score(held))
-            numbers = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
-            yield pa.record_batch([*(batch.column(x) for x in names[:3]), *numbers, pa.array(np.concatenate(scores)), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64())], names)
-            if rare:
-                at = np.repeat([x[0] for x in rare], [len(x[1]) for x in rare])
-                none = [pa.nulls(len(at), t) for t in (batch.column("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.record_batch([pa.array(at), *none, pa.array(np.concatenate([x[1] for x in rare])), pa.array(np.concatenate([x[2] for x in rare]))], names)
+                    yield from told(batch, lo, held)
+                    held, size, lo = [], 0, i + 1
+            if held:
+                yield from told(batch, lo, held)
 
     made = stored(rows.mapInArrow(run, schema))
     # counts of words that few texts have meet those texts' rows
