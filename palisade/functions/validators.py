@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.text import ascii_lower
 from palisade.plans.patterns import byte_spelled
-from palisade.plans.rules import Rule
+from palisade.plans.rules import REGISTERED, VALIDATORS, Rule
 
 #: Bytes before a candidate in which a label is looked for.
 LABEL_WINDOW = 64
@@ -175,6 +175,15 @@ REGISTRY: dict[str, Callable[[Rule, Column, Column], Column]] = {
 }
 
 
+def register(name: str, check: Callable[[Column], Column]) -> None:
+    """A check of one's own, that rules may name from then on: from a candidate's value (one character a byte) to whether
+    it stays. Shipped checks can't be replaced; a check that gives null drops the candidate."""
+    if name in VALIDATORS or not name:
+        raise ValueError(f"the check {name} is there already" if name else "a check needs a name")
+    REGISTRY[name] = lambda rule, v, near: F.coalesce(check(v), F.lit(False))
+    REGISTERED.add(name)
+
+
 def passes(rule: Rule, v: Column, near: Column) -> Column:
     """All checks of a rule, in its order; one it doesn't know is an error, not a rule that finds nothing."""
     found = F.lit(True)

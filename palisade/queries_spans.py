@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import replace
 from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from palisade.operators import redact, scan, spans
+from palisade.functions import validators
+from palisade.operators import redact, rule_documents, scan, spans
 from palisade.plans.rules import load
 from palisade.queries import _BOTH, _CARD_RE, _CARDS, _IP_RE, _LUHN, _NOT_TEST, _PUBLIC, ANY_CARD, CARD, IPV4, _both, _ip_sql, _matches_sql, query, table
 
@@ -128,3 +130,94 @@ def streamed_verdicts(spark, sf_dir):
         F.timestamp_seconds(F.expr("1767225600 + conv_id * 60 + turn")).alias("time"), F.when(F.expr("conv_id % 8 = 0"), "checked by hand").alias("override"),
     )
     return finished(stream_verdicts(buffers, which=[IPV4])).select("call_id", "verdict", "expired")
+
+
+# ---- rules as data: documents that are wrong in one way each, and a check of one's own
+
+_GOOD = {"id": "r", "family": "credential", "description": "d", "regex": r"\b(key_[a-z]{8})", "group": 1, "keywords": ["key_"], "enabled": True}
+#: What is put in place of a part of the good rule (JSON text), and what the loader says then.
+_BROKEN: tuple[tuple[str, str, str | None], ...] = (
+    ('"d"', '"e"', None),
+    ('"enabled": true', '"enable": true', "r: unknown field enable|r: enabled is missing: absent is not off"),
+    ('"description": "d", ', "", "r: description is missing"),
+    ('"credential"', '"secret"', "r: unknown family secret|r: keywords gate credential rules alone"),
+    ('["key_"]', "[]", "r: a credential rule names a keyword"),
+    ('"group": 1', '"group": 2', "r: group 2 of 1"),
+    ("{8}", "{8", None),
+    ("{8}", "{1001}", "r: regex: a repeat over 1000"),
+    ("(key_", "(?=key_)(key_", "r: regex: look-around"),
+    ("(key_[a-z]{8})", "(key_)?", "r: regex: it matches the empty string"),
+    ('"enabled": true', '"enabled": true, "validators": ["moon-phase"]', "r: unknown validator moon-phase"),
+    ('"enabled": true', '"enabled": true, "extent": "whole-line"', "r: unknown extent whole-line"),
+    ('"enabled": true', '"enabled": true, "entropy": 2.5', "r: entropy and the validator entropy go together"),
+    ('"enabled": true', '"enabled": true, "validators": ["context-label"]', "r: labels and the validator context-label go together"),
+    ('"enabled": true', '"enabled": true, "entropy": -1, "validators": ["entropy"]', "r: entropy is negative|r: entropy and the validator entropy go together"),
+    ('"enabled": true', '"enabled": true, "entropy": 6, "validators": ["entropy"]', "r: no capture reaches entropy 6: the most is 3.585"),
+)
+
+
+def _document() -> str:
+    return json.dumps({"rules": [_GOOD]})
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_SAID = "CASE p_partkey % 18 " + " ".join(f"WHEN {i} THEN {_quoted(said)}" for i, (_, _, said) in enumerate(_BROKEN) if said) + " WHEN 16 THEN 'more than one JSON value' WHEN 17 THEN 'no rules: nothing would be found' END"
+
+
+@query(f"""SELECT p_partkey, (i - 1)::BIGINT AS nth, said[i] AS problem FROM (SELECT p_partkey, said, unnest(range(1, len(said) + 1)) AS i FROM (SELECT p_partkey, string_split({_SAID}, '|') AS said FROM part))""")
+def rule_problems(spark, sf_dir):
+    """A rule document for each part, wrong in the way that its key says: all problems of each, as rows."""
+    good, k = F.lit(_document()), F.col("p_partkey") % 18
+    text = good
+    for i, (old, new, _) in enumerate(_BROKEN):
+        text = F.when(k == i, F.replace(good, F.lit(old), F.lit(new))).otherwise(text)
+    text = F.when(k == 16, F.concat(good, F.lit(" {}"))).when(k == 17, '{"rules": []}').otherwise(text)
+    return rule_documents.problems(table(spark, sf_dir, "part").select("p_partkey", text.alias("document")), "p_partkey", "document")
+
+
+@query("SELECT 'r' || (p_partkey % 50) AS rule_id, count(*) AS documents, min(p_partkey) AS first FROM part WHERE p_partkey % 18 NOT IN (16, 17) GROUP BY 1 HAVING count(*) > 1")
+def rule_ids_shared(spark, sf_dir):
+    """Ids that several documents use, of those that load."""
+    k = F.col("p_partkey")
+    text = F.replace(F.lit(_document()), F.lit('"id": "r"'), F.concat(F.lit('"id": "r'), (k % 50).cast("string"), F.lit('"')))
+    text = F.when((k % 18).isin(16, 17), F.concat(text, F.lit("x"))).otherwise(text)
+    return rule_documents.shared_ids(table(spark, sf_dir, "part").select("p_partkey", text.alias("document")), "p_partkey", "document")
+
+
+def _even_digits(v):
+    """A check of one's own: the sum of the digits is even."""
+    digits = F.split(F.regexp_replace(v, "[^0-9]", ""), "")
+    return F.aggregate(digits, F.lit(0), lambda s, d: s + F.coalesce(d.try_cast("int"), F.lit(0))) % 2 == 0
+
+
+@query(f"""SELECT doc_id, "offset"::BIGINT AS "offset" FROM ({_CARDS}) WHERE list_sum(list_transform(string_split(regexp_replace(value, '[^0-9]', '', 'g'), ''), lambda d: d::INT)) % 2 = 0""")
+def own_check(spark, sf_dir):
+    """Cards under a check that is registered from outside, by its name."""
+    if "even-digits" not in validators.REGISTRY:
+        validators.register("even-digits", _even_digits)
+    rule = replace(_ANY_CARD, validators=("even-digits",))
+    return scan.findings(table(spark, sf_dir, "documents"), "doc_id", "text", [rule]).select("doc_id", "offset")
+
+
+@query(
+    """SELECT 'reading of "' || event_type || '" stopped' AS reason, count(*) FILTER (WHERE event_id % 10 <> 3) AS n, (SELECT count(*) FROM events WHERE event_id % 10 = 3) AS bad_lines
+    FROM events GROUP BY event_type HAVING count(*) FILTER (WHERE event_id % 10 <> 3) > 0"""
+)
+def coverage_log_read(spark, sf_dir):
+    """Events as the lines of a log in the shared folder, every tenth of them broken off: what is read, and how many aren't."""
+    import uuid
+
+    from palisade.operators import coverage
+    from palisade.sources.readers import coverage_log
+    from palisade.sources.shared import shared_dir
+
+    events = table(spark, sf_dir, "events")
+    reason = F.concat(F.lit('reading of \\"'), F.col("event_type"), F.lit('\\" stopped'))
+    line = F.to_json(F.struct(F.col("ts").cast("timestamp").alias("time"), F.lit("PreToolUse").alias("event"), F.lit("v1.0.0").alias("version"), reason.alias("reason"), F.lit(1).alias("other")))
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    events.select(F.when(F.col("event_id") % 10 == 3, F.substring(line, 1, 40)).otherwise(line).alias("value")).write.text(path)
+    records, bad = coverage_log(spark, [path])
+    return coverage.summary(records).select("reason", "n").crossJoin(F.broadcast(bad))  # bad is one row

@@ -35,8 +35,15 @@ def payloads(df: DataFrame, key: str, raw: str) -> tuple[DataFrame, DataFrame]:
     return calls, parsed.where(~known).select("call_id", F.lit("no known event").alias("refused"))
 
 
+#: Fixed value: a line of more bytes than this is no record.
+LONGEST_LINE = 4 << 20
+
+
 def coverage_log(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """The log's rows, and one row that counts the lines which are no JSON."""
+    """The log's records, and one row that counts the lines which are none: no JSON object, or longer than LONGEST_LINE.
+    Empty lines are neither. Fields that are missing are null, and those that aren't known are passed over."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    read = spark.read.text(list(paths)).select(F.from_json("value", f"{LOG}, _bad string", options).alias("r")).select("r.*")
-    return read.where("_bad IS NULL").drop("_bad"), read.agg(F.count("_bad").alias("bad_lines"))
+    lines = spark.read.text(list(paths)).where("trim(value) <> ''").withColumn("fits", F.octet_length("value") <= LONGEST_LINE)
+    read = lines.select("fits", F.from_json(F.when(F.col("fits"), F.col("value")), f"{LOG}, _bad string", options).alias("r"))
+    bad = ~F.col("fits") | F.col("r._bad").isNotNull() | F.col("r").isNull()
+    return read.where(~bad).select("r.*").drop("_bad"), read.agg(F.count_if(bad).alias("bad_lines"))
