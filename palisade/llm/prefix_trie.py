@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import columns, stored
 
 #: Different sequences that a container may hold; a fuller one is burst.
-CONTAINER = 2048
+CONTAINER = 256
 #: Ids that are joined into one text before they go to the task that hashes them.
 JOINED = 1 << 14
 #: Rows of a batch that Python gives back.
