@@ -9,9 +9,9 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from palisade.functions import validators
-from palisade.operators import redact, rule_documents, scan, spans
+from palisade.operators import globs, redact, rule_documents, scan, spans
 from palisade.plans.rules import load
-from palisade.queries import _BOTH, _CARD_RE, _CARDS, _IP_RE, _LUHN, _NOT_TEST, _PUBLIC, ANY_CARD, CARD, IPV4, _both, _ip_sql, _matches_sql, query, table
+from palisade.queries import _BOTH, _CARD_RE, _CARDS, _DIRS, _IP_RE, _LUHN, _NAMES, _NOT_TEST, _PUBLIC, ANY_CARD, CARD, IPV4, _both, _ip_sql, _matches_sql, query, table
 
 #: Rules as a user brings them: a group in the middle, one that is nested, one that may be absent.
 DOCUMENT = r"""{"rules": [
@@ -221,3 +221,26 @@ def coverage_log_read(spark, sf_dir):
     events.select(F.when(F.col("event_id") % 10 == 3, F.substring(line, 1, 40)).otherwise(line).alias("value")).write.text(path)
     records, bad = coverage_log(spark, [path])
     return coverage.summary(records).select("reason", "n").crossJoin(F.broadcast(bad))  # bad is one row
+
+
+#: Patterns, and what SQL says of each over whole paths; the fifth is refused.
+_GLOBS = (
+    ("/home/u*/.aws/*", r"/home/u[^/]*/\.aws/[^./][^/]*"), ("/home/u?/src/*.txt", r"/home/u[^/]/src/[^./][^/]*\.txt"), ("/home/u[0-4]/.*/.env*", r"/home/u[0-4]/\.[^/]*/\.env[^/]*"),
+    ("/home/u1[!1]/src/c*", r"/home/u1[^1/]/src/c[^/]*"), ("/home/{u1,u2}/src/x", ""), ("/home/u7/src/.env", r"/home/u7/src/\.env"),
+)
+
+
+@query(
+    f"""WITH i AS (SELECT DISTINCT '/home/u' || (p_partkey % 20) || '/' || ({list(_DIRS)})[1 + p_partkey % 4] || '/' || ({list(_NAMES)})[1 + p_partkey % 7] AS path FROM part),
+    a AS (SELECT n_nationkey, [{', '.join(map(_quoted, (r for _, r in _GLOBS)))}][1 + n_nationkey % 6] AS regex FROM nation)
+    SELECT n_nationkey, path, NULL::VARCHAR AS refused FROM a JOIN i ON regex <> '' AND regexp_full_match(path, regex)
+    UNION ALL SELECT n_nationkey, NULL, '{globs.BRACES}' FROM a WHERE regex = ''"""
+)
+def glob_matches(spark, sf_dir):
+    """A pattern of each nation, met with an inventory of paths made of the parts."""
+    pick = lambda own, k: F.element_at(F.array(*map(F.lit, own)), (k % len(own) + 1).cast("int"))
+    k = F.col("p_partkey")
+    path = F.concat(F.lit("/home/u"), (k % 20).cast("string"), F.lit("/"), pick(_DIRS, k), F.lit("/"), pick(_NAMES, k))
+    asked = table(spark, sf_dir, "nation").select("n_nationkey", pick([g for g, _ in _GLOBS], F.col("n_nationkey")).alias("pattern"))
+    found, refused = globs.expanded(asked, "n_nationkey", "pattern", table(spark, sf_dir, "part").select(path.alias("path")))
+    return found.withColumn("refused", F.lit(None).cast("string")).unionByName(refused.withColumn("path", F.lit(None).cast("string")))
