@@ -34,10 +34,10 @@ from .hashing import Table
 from .shingles import WIDTH, shingles
 
 #: Shingles whose frequency is known to all tasks: the table's bound.
-FREQUENT = 1 << 19
+FREQUENT = 1 << 20
 #: Shingles that a task counts together, and how many sets of those have to hold one for it to count.
-COUNTED = 1_000_000
-OFTEN = 3
+COUNTED = 2_000_000
+OFTEN = 2
 #: Sets that a task knows to have met.
 SEEN = 100_000
 #: Sets of a group that are opened together, and queries that are held against them together.
