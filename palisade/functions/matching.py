@@ -7,6 +7,7 @@ text, where it has none). Python's engine does not recurse over a text, works on
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -21,8 +22,9 @@ from palisade.plans.patterns import byte_spelled, for_python, for_spark
 from palisade.plans.rules import Rule
 
 MATCH = "array<struct<offset:bigint,end:bigint,line:bigint,value:string>>"
-#: What the UDF gives: rule_order numbers the rules; near holds the bytes before a match, for rules with labels alone.
-SPAN = "array<struct<rule_order:int,offset:bigint,end:bigint,line:bigint,value:string,near:string>>"
+#: What the UDF gives: rule_order numbers the rules; near holds the bytes before a match, for rules with labels alone, and bits
+#: its entropy, for rules that ask for some.
+SPAN = "array<struct<rule_order:int,offset:bigint,end:bigint,line:bigint,value:string,near:string,bits:double>>"
 #: Bytes before a match in which a label counts.
 NEAR = 64
 _RUN = re.compile(rb"[A-Za-z0-9_-]*")
@@ -81,7 +83,7 @@ class _Rule:
         self.regex = re.compile(for_python(rule.regex).encode("latin-1"))
         own = anchor(rule.regex)
         self.openings = own.openings if own else ()
-        self.labelled = any(rule.labels)
+        self.labelled, self.measured = any(rule.labels), rule.entropy > 0
         self.gate = None
         if gated and is_gated(rule) and not gate_is_implied(rule.regex, rule.keywords):
             words = [byte_spelled(k).encode("latin-1") for k in rule.keywords if k]
@@ -154,18 +156,24 @@ def _compiled(which: tuple[Rule, ...], gated: bool) -> tuple[_Rule, ...]:
     return tuple(_Rule(i, r, gated) for i, r in enumerate(which))
 
 
-_KIND = pa.struct([("rule_order", pa.int32()), ("offset", pa.int64()), ("end", pa.int64()), ("line", pa.int64()), ("value", pa.string()), ("near", pa.string())])
+_KIND = pa.struct([("rule_order", pa.int32()), ("offset", pa.int64()), ("end", pa.int64()), ("line", pa.int64()), ("value", pa.string()), ("near", pa.string()), ("bits", pa.float64())])
+
+
+def bits_of(value: bytes) -> float:
+    """Entropy in bits a byte: what validators.entropy() gives."""
+    n = len(value)
+    return math.log2(n) - sum(c * math.log2(c) for c in map(value.count, sorted(set(value)))) / n if n else 0.0
 
 
 def spans_of(text: bytes, which: tuple[Rule, ...], lines: bool = False, gated: bool = True) -> Iterator[tuple]:
-    """(rule_order, offset, end, line, value, near) of all rules' matches, rule by rule, ascending."""
+    """(rule_order, offset, end, line, value, near, bits) of all rules' matches, rule by rule, ascending."""
     for rule in _compiled(which, gated):
         at, line = 0, 1
         for lo, hi in rule.spans(text):
             if lines:
                 line, at = line + text.count(b"\n", at, lo), lo
             near = text[max(0, lo - NEAR) : lo].decode("latin-1") if rule.labelled else None
-            yield rule.order, lo, hi, line if lines else None, text[lo:hi].decode("latin-1"), near
+            yield rule.order, lo, hi, line if lines else None, text[lo:hi].decode("latin-1"), near, bits_of(text[lo:hi]) if rule.measured else None
 
 
 def spans(which: Sequence[Rule], raw: Column, lines: bool = False, gated: bool = True) -> Column:

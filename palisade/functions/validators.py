@@ -184,9 +184,11 @@ def register(name: str, check: Callable[[Column], Column]) -> None:
     REGISTERED.add(name)
 
 
-def passes(rule: Rule, v: Column, near: Column) -> Column:
-    """All checks of a rule, in its order; one it doesn't know is an error, not a rule that finds nothing."""
+def passes(rule: Rule, v: Column, near: Column, bits: Column | None = None, least: Column | None = None) -> Column:
+    """All checks of a rule, in its order; one it doesn't know is an error, not a rule that finds nothing. bits: the
+    value's entropy, where it is known; least: what it has to reach, if not the rule's own."""
     found = F.lit(True)
     for name in rule.validators:
-        found = found & REGISTRY[name](rule, v, near)
+        known = name == "entropy" and bits is not None
+        found = found & (bits >= (rule.entropy if least is None else least) if known else REGISTRY[name](rule, v, near))
     return found

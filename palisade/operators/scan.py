@@ -28,12 +28,18 @@ def found_in(raw: Column, which: Sequence[Rule], check: bool = True, lines: bool
     which = list(which)
     met = spans(which, raw, lines)
     if check:
-        # a condition for each rule, of which a candidate meets its own
+        # a condition for each kind of rule: those of one kind have the same checks, and differ in what entropy they ask for
+        kinds: dict[tuple, list[int]] = {}
+        for i, rule in enumerate(which):
+            kinds.setdefault((rule.validators, rule.labels), []).append(i)
+        floors = F.array(*(F.lit(float(r.entropy)) for r in which))
+
         def stays(m: Column) -> Column:
             tests = F.lit(True)
-            for i, rule in enumerate(which):
-                if rule.validators:
-                    tests = F.when(m["rule_order"] == i, passes(rule, m["value"], m["near"])).otherwise(tests)
+            for (checks, _), own in kinds.items():
+                if checks:
+                    passed = passes(which[own[0]], m["value"], m["near"], m["bits"], F.element_at(floors, m["rule_order"] + 1))
+                    tests = F.when(m["rule_order"].isin(own), passed).otherwise(tests)
             return tests
 
         met = F.filter(met, stays)
