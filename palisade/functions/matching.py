@@ -8,6 +8,7 @@ text, where it has none). Python's engine does not recurse over a text, works on
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -57,22 +58,26 @@ def may_match(which: Sequence[Rule], text: Column) -> Column:
     """Whether any rule can match the text at all, by what is cheap: the openings of its matches as they are written,
     or, for patterns without one over ASCII alone, the pattern itself. Never false where there is a match."""
     literals: set[str] = set()
-    looks: list[Column] = []
+    shapes: list[str] = []
     for rule in which:
         own = anchor(rule.regex)
         if own and all(x.isascii() for x in own.openings):
-            literals |= {x.decode() for x in own.openings}
+            shared = os.path.commonprefix(own.openings).decode()
+            literals |= {shared} if len(shared) >= 3 else {x.decode() for x in own.openings}
         elif is_ascii(rule.regex) and not is_deep(rule.regex):
-            looks.append(text.rlike(pattern(rule)))
+            shapes.append(pattern(rule))
         else:
             return text.isNotNull()
-    met = F.lit(False)
-    for x in sorted(literals):
-        if not any(y != x and y in x for y in literals):
-            met = met | text.contains(x)
-    for look in looks:
-        met = met | look
-    return met & text.isNotNull()
+    least = sorted(x for x in literals if not any(y != x and y in x for y in literals))
+
+    def looks(t: Column) -> Column:
+        met = F.lit(False)
+        for look in (*(t.contains(x) for x in least), *(t.rlike(x) for x in shapes)):
+            met = met | look
+        return met
+
+    # the text is bound once: where it is computed, each look would make it anew
+    return text.isNotNull() & F.exists(F.array(text), looks)
 
 
 class _Rule:
