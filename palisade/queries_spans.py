@@ -50,7 +50,7 @@ def loaded_rule_redacted(spark, sf_dir):
 
 #: Every address and card number, unchecked, and two rules that meet them: pairs of octets, and long runs around them.
 _ANY_IP, _ANY_CARD = replace(IPV4, validators=()), replace(CARD, validators=(), labels=())
-_PAIR_RE, _LINE_RE = r"\b\d{2,3}\.\d{1,3}\b", r"[A-Za-z ]{0,100}\d{3}[A-Za-z ]{0,100}"
+_PAIR_RE, _LINE_RE = r"\b\d{2,3}\.\d{1,3}\b", r"\d{3}[A-Za-z ]{0,100}"
 _PAIR, _LINE = replace(_ANY_IP, id="pair", regex=_PAIR_RE, group=0), replace(_ANY_IP, id="line", regex=_LINE_RE, group=0)
 
 
