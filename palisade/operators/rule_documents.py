@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,10 +27,21 @@ def ids_of(text: str | None) -> list[str]:
     return [] if problems_of(text) else [r["id"] for r in json.loads(text)["rules"]]
 
 
+#: Documents that a worker remembers, of this many characters at most.
+HELD, SHORT = 1024, 1 << 14
+
+
+@lru_cache(HELD)
+def _known(f: Callable[[str | None], list[str]], text: str | None) -> list[str]:
+    return f(text)
+
+
 def _each(text: Column, f) -> Column:
+    """f of each document: of one that comes again and again, once."""
+
     @F.arrow_udf("array<string>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([f(x.as_py()) for x in texts], pa.list_(pa.string()))
+        return pa.array([_known(f, x) if len(x or "") <= SHORT else f(x) for x in texts.to_pylist()], pa.list_(pa.string()))
 
     return run(text)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palisade.functions import validators
 from palisade.operators import globs, redact, rule_documents, scan, spans
 from palisade.plans.rules import load
-from palisade.queries import _BOTH, _CARD_RE, _CARDS, _DIRS, _IP_RE, _LUHN, _NAMES, _NOT_TEST, _PUBLIC, ANY_CARD, CARD, IPV4, _both, _ip_sql, _matches_sql, query, table
+from palisade.queries import _BOTH, _CARD_RE, _CARDS, _DIRS, _IP_RE, _LUHN, _NAMES, _NOT_TEST, _PUBLIC, ANY_CARD, CARD, IPV4, _both, _ip_sql, _matches_sql, query, spread, table
 
 #: Rules as a user brings them: a group in the middle, one that is nested, one that may be absent.
 DOCUMENT = r"""{"rules": [
@@ -175,7 +175,7 @@ def rule_problems(spark, sf_dir):
     for i, (old, new, _) in enumerate(_BROKEN):
         text = F.when(k == i, F.replace(good, F.lit(old), F.lit(new))).otherwise(text)
     text = F.when(k == 16, F.concat(good, F.lit(" {}"))).when(k == 17, '{"rules": []}').otherwise(text)
-    return rule_documents.problems(table(spark, sf_dir, "part").select("p_partkey", text.alias("document")), "p_partkey", "document")
+    return rule_documents.problems(spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", text.alias("document")), "p_partkey", "document")
 
 
 @query("SELECT 'r' || (p_partkey % 50) AS rule_id, count(*) AS documents, min(p_partkey) AS first FROM part WHERE p_partkey % 18 NOT IN (16, 17) GROUP BY 1 HAVING count(*) > 1")
@@ -184,7 +184,7 @@ def rule_ids_shared(spark, sf_dir):
     k = F.col("p_partkey")
     text = F.replace(F.lit(_document()), F.lit('"id": "r"'), F.concat(F.lit('"id": "r'), (k % 50).cast("string"), F.lit('"')))
     text = F.when((k % 18).isin(16, 17), F.concat(text, F.lit("x"))).otherwise(text)
-    return rule_documents.shared_ids(table(spark, sf_dir, "part").select("p_partkey", text.alias("document")), "p_partkey", "document")
+    return rule_documents.shared_ids(spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", text.alias("document")), "p_partkey", "document")
 
 
 def _even_digits(v):

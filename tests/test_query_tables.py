@@ -5,8 +5,12 @@ import random
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
-from palisade.queries import ORACLES, QUERIES
+from palisade.functions import text
+from palisade.operators import rule_documents, scan
+from palisade.plans.rules import BY_ID
+from palisade.queries import ORACLES, QUERIES, spread
 
 
 def same(spark, folder, name, **tables):
@@ -28,3 +32,25 @@ def test_card_stages_beyond_ascii(spark, tmp_path):
     texts = [None, "", *("".join(r.choice(words) for _ in range(r.randint(1, 40))) for _ in range(400))]
     rows = same(spark, tmp_path, "card_stages", documents={"doc_id": list(range(len(texts))), "text": texts})
     assert {x[4] for x in rows} == {True, False}
+
+
+def tasks_of(spark, df):
+    """Tasks that give rows of a table."""
+    return df.select(F.spark_partition_id()).distinct().count()
+
+
+def test_short_rows_of_one_file_go_to_several_tasks(spark, tmp_path):
+    n = 400_000
+    pq.write_table(pa.table({"k": [x * 7919 % (1 << 40) for x in range(n)]}), f"{tmp_path}/short.parquet")
+    given = spark.read.parquet(f"{tmp_path}/short.parquet")
+    assert tasks_of(spark, given) == 1 and tasks_of(spark, spread(given, "k")) > 1
+
+
+def test_equal_documents_are_checked_once(spark):
+    text = '{"rules": []}'
+    rule_documents._known.cache_clear()
+    for x in (text, None, text, "{", text, None):
+        assert rule_documents._known(rule_documents.problems_of, x) == rule_documents.problems_of(x)
+    assert rule_documents._known.cache_info().misses == 3
+    got = rule_documents.problems(spark.createDataFrame([(i, text) for i in range(20)] + [(20, None), (21, text + " " * rule_documents.SHORT)], "id int, text string"), "id", "text")
+    assert sorted(r["id"] for r in got.collect()) == list(range(22))
