@@ -54,3 +54,10 @@ def test_equal_documents_are_checked_once(spark):
     assert rule_documents._known.cache_info().misses == 3
     got = rule_documents.problems(spark.createDataFrame([(i, text) for i in range(20)] + [(20, None), (21, text + " " * rule_documents.SHORT)], "id int, text string"), "id", "text")
     assert sorted(r["id"] for r in got.collect()) == list(range(22))
+
+
+def test_clean_names_do_not_go_through_the_rules(spark):
+    names = [None, "", "notes.txt", "a_b", "ssn_212-09-1234.txt", "x\x07", "ghp_0123456789abcdefghijklmnopqrstuvwxyz", "ghp_0123456789abcdefghijklmnopqrstuvwxyz\n"]
+    shown = spark.createDataFrame(list(enumerate(names)), "i int, name string").select("i", scan.withheld(F.col("name")).alias("shown"))
+    assert [r["shown"] for r in shown.orderBy("i").collect()] == [None, "", "notes.txt", "a_b", *[scan.WITHHELD] * 4]
+    assert "UDF" in shown._jdf.queryExecution().toString() and "rlike" in shown._jdf.queryExecution().toString().lower().split("arrowevalpython")[-1]
