@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType
 
@@ -16,6 +15,19 @@ READ, BINARY, UTF32, UTF16_BINARY, READ_RAW = "", "binary", "utf-32", "utf-16 bi
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of an Arrow batch that goes to Python.
+BATCH = 2 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, once its session bounds the bytes of Arrow batches: texts may be long, and a worker holds a batch in several
+    forms. It only ever lowers the session's setting."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(df.sparkSession.conf.get(name).lower().removesuffix("b")) > BATCH:
+        df.sparkSession.conf.set(name, str(BATCH))
+    return df
+
+
 def column(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -51,16 +63,16 @@ def encoding(content: Column | str) -> Column:
     )
 
 
-@F.pandas_udf(BinaryType())
-def utf16_to_utf8(content: pd.Series, kind: pd.Series) -> pd.Series:
+@F.arrow_udf(BinaryType())
+def utf16_to_utf8(content: pa.Array, kind: pa.Array) -> pa.Array:
     """UTF-16 after its mark, null for other kinds; lone surrogates become U+FFFD, a last odd byte is dropped."""
 
-    def one(c, k: str) -> bytes | None:
-        if c is None or not k.startswith("utf-16"):
+    def one(c: bytes | None, k: str | None) -> bytes | None:
+        if c is None or not (k or "").startswith("utf-16"):
             return None
-        return bytes(c)[2 : len(c) // 2 * 2].decode(k, "replace").encode()
+        return c[2 : len(c) // 2 * 2].decode(k, "replace").encode()
 
-    return pd.Series([one(c, k) for c, k in zip(content, kind, strict=True)], dtype=object)
+    return pa.array((one(c.as_py(), k.as_py()) for c, k in zip(content, kind, strict=True)), pa.binary())
 
 
 def has_nul(content: Column) -> Column:

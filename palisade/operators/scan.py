@@ -56,7 +56,7 @@ def _exploded(df: DataFrame, found: str) -> DataFrame:
 
 def candidates(df: DataFrame, key: str, text: str, which: Sequence[Rule]) -> DataFrame:
     """key, rule_id, rule_order, offset, end, value, before (the bytes before it): all matches, unchecked."""
-    likely = df.where(may_match(which, F.col(text).cast("string"))).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    likely = T.small_batches(df).where(may_match(which, F.col(text).cast("string"))).select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = likely.withColumn("found", found_in(F.col("text"), which, check=False)).withColumn("view", T.byte_view("text"))
     near = F.transform("found", lambda m: m.withField("before", before(F.col("view"), m["offset"])))
     return _exploded(found.select("key", near.alias("found")), "found").select(F.col("key").alias(key), "m.*").drop("line")
@@ -66,7 +66,7 @@ def findings(df: DataFrame, key: str, text: str, which: Sequence[Rule] | None =
     """key, rule_id, offset, end (bytes of the text's UTF-8), digest, and the line, if asked for. Rules are independent:
     findings may overlap. Checks run where the text is, so rows of findings are small."""
     which = list(which if which is not None else rules())
-    likely = df.where(may_match(which, F.col(text).cast("string"))).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    likely = T.small_batches(df).where(may_match(which, F.col(text).cast("string"))).select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = _exploded(likely.select("key", found_in(F.col("text"), which, lines=line).alias("found")), "found")
     lines = ["m.line"] if line else []
     return found.select(F.col("key").alias(key), "m.rule_id", "m.offset", "m.end", digest(F.col("m.rule_id"), F.col("m.value")).alias("digest"), *lines)
@@ -77,7 +77,7 @@ def scan_content(df: DataFrame, key: str, content: str, which: Sequence[Rule] |
     in the content, and (key, skip) of what could not be read or was read raw. Nothing unread goes unsaid. Places are
     translated in the row of their content, so keys may repeat."""
     which = list(which if which is not None else rules())
-    judged = df.select(F.col(key).alias("key"), F.col(content).alias("content")).withColumn("skip", T.skipped("content", include_binary))
+    judged = T.small_batches(df).select(F.col(key).alias("key"), F.col(content).alias("content")).withColumn("skip", T.skipped("content", include_binary))
     readable = judged.where(F.col("skip").isin(T.READ, T.READ_RAW)).select("key", T.encoding("content").startswith("utf-16").alias("wide"), T.decoded("content").alias("text"))
     likely = readable.where(may_match(which, F.col("text").cast("string")))
     scanned = likely.withColumn("found", found_in(F.col("text"), which))

@@ -56,6 +56,20 @@ def test_equal_documents_are_checked_once(spark):
     assert sorted(r["id"] for r in got.collect()) == list(range(22))
 
 
+def test_batches_of_a_scan_are_small(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "268435456")
+        docs = spark.createDataFrame([(1, "8.8.8.8".encode("utf-16"))], "id int, content binary")
+        found, _ = scan.scan_content(docs, "id", "content", [BY_ID["ipv4-public"]])
+        assert int(spark.conf.get(name)) == text.BATCH and [r["offset"] for r in found.collect()] == [2]
+        spark.conf.set(name, "1000")
+        assert text.small_batches(docs) is docs and spark.conf.get(name) == "1000"
+    finally:
+        spark.conf.set(name, was)
+
+
 def test_clean_names_do_not_go_through_the_rules(spark):
     names = [None, "", "notes.txt", "a_b", "ssn_212-09-1234.txt", "x\x07", "ghp_0123456789abcdefghijklmnopqrstuvwxyz", "ghp_0123456789abcdefghijklmnopqrstuvwxyz\n"]
     shown = spark.createDataFrame(list(enumerate(names)), "i int, name string").select("i", scan.withheld(F.col("name")).alias("shown"))
