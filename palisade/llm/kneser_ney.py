@@ -11,7 +11,7 @@ scoring a join with partial sums: n-grams in a broadcast table of at most TABLE
 text is read; each other one that the model may hold becomes a row, is joined with the rest of the model by n-gram,
 and its value is added to the text's sum. A bitmap of fixed size turns away n-grams that the model surely doesn't hold.
 
-Trusted texts are dealt into two halves by a hash of their id. The model is fitted on a bounded sample of one half; the
+Trusted texts are dealt into two halves by a hash of their id. The model is fitted on all of one half; the
 thresholds are quantiles of the other, which the model has not seen.
 """
 
@@ -26,13 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, mixed, most_frequent, slices, stored
+from .common import columns, likely, mixed, most_frequent, slices, stored
 from .hashing import STEP, Table
 from .shingles import word_ids
 
 ORDER = 3
-#: The bound of the sample that the model is fitted on: labelled rows.
-TRAIN_DOCS = 1000
 #: N-grams in the broadcast table: its bound (12 bytes a slot, two to four slots an n-gram).
 TABLE = 1 << 17
 #: Bits of the bitmap of the other n-grams, as a power of two: 16 MB.
@@ -157,7 +155,7 @@ def _marks(rest: DataFrame) -> np.ndarray:
 
     table = np.zeros(1 << (MARK_BITS - 3), np.uint8)
     size = 1 << (bits - 3)
-    # the rest is bounded by the training sample
+    # 128 parts at most
     for i, marks in rest.select("key").mapInArrow(places, "part int, p int").groupBy("part").applyInArrow(part, "part int, marks binary").collect():
         table[i * size : (i + 1) * size] = np.frombuffer(marks, np.uint8)
     return table
@@ -230,12 +228,12 @@ def _in_training(doc_id: str = "doc_id") -> Column:
 
 def rate(
     df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality",
-    quantile: float = QUANTILE, docs: int = TRAIN_DOCS, table: int = TABLE,
+    quantile: float = QUANTILE, table: int = TABLE,
 ) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold and kept of each row.
 
     Trusted texts are those labelled 1 (of several labels of an id the worst counts). One half of their ids by hash
-    trains the model, `docs` texts at most, those with the smallest hashes. A row is kept if its perplexity is at most
+    trains the model, all of it. A row is kept if its perplexity is at most
     the `quantile` of the other half's texts of its language; in a language that the half does not have, of the whole
     half; if it is empty, every text is kept. Null texts and texts without a word have no perplexity
     and are not kept. Null languages are a language of their own; ids may be null (they have no label) or repeated.
@@ -245,10 +243,10 @@ def rate(
     known = columns(labels, doc_id=id_col, label=label_col).where("doc_id IS NOT NULL AND label IS NOT NULL")
     # The ids grow with the corpus: a merge join at every size, not a broadcast while they happen to be few.
     good = stored(known.groupBy("doc_id").agg(F.min("label").alias("label")).where("label > 0").select("doc_id")).hint("merge")
-    training = rows.where((F.col("text") != "") & _in_training()).withColumn("h", F.xxhash64("doc_id", "text"))
-    hashes = training.select("doc_id", "h").join(good, "doc_id", "left_semi").select("h").orderBy("h").limit(docs)
-    last = hashes.agg(F.max("h")).first()[0]
-    trusted = training.where(F.col("h") <= F.lit(last).cast("long")).join(good, "doc_id", "left_semi").select("text")
+    training = rows.where((F.col("text") != "") & _in_training())
+    # of the texts only those that likely have a label are shuffled
+    alike = good.select(F.col("doc_id").cast(rows.schema["doc_id"].dataType))  # hashes depend on the type
+    trusted = likely(training, "doc_id", alike).join(good, "doc_id", "left_semi").select("text")
     found = stored(perplexities(rows, trusted, table))
     rated = found.where("perplexity IS NOT NULL").where(~_in_training()).join(good, "doc_id", "left_semi")
     fence = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000))
