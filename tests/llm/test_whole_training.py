@@ -1,6 +1,8 @@
 """Models are fitted on all of their training texts, however many there are."""
 
-from palisade.llm import kneser_ney
+import numpy as np
+
+from palisade.llm import kneser_ney, lm_scoring
 
 
 def test_all_trusted_texts_of_a_half_are_fitted_on(spark, monkeypatch):
@@ -13,3 +15,9 @@ def test_all_trusted_texts_of_a_half_are_fitted_on(spark, monkeypatch):
     half = {r[0] for r in docs.where(kneser_ney._in_training()).select("doc_id").collect()}
     want = [f"text {i}" for i in range(n) if i in half and i % 7 and i % 10]
     assert sorted(fitted) == sorted(want) and len(want) > 1000
+
+
+def test_each_window_is_trained_on_in_one_round():
+    windows = np.arange(1000)
+    for seed in (0, 1, 12345, 0xFFFFFFFF):
+        assert sorted(np.concatenate([np.flatnonzero(lm_scoring._round_of(windows, seed) == k) for k in range(lm_scoring.ROUNDS)]).tolist()) == windows.tolist()
