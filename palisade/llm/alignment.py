@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, most_frequent, stored
-from .tokens import DOUBTFUL, _byte_of, _ranked, tokenizer
+from .tokens import DOUBTFUL, _byte_of, _ranked, specified, tokenizer
 
 #: Documents of a block, whose bitmaps have a bit for each, and postings after which a block closes earlier.
 DOCS = 1 << 16
@@ -40,7 +40,7 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
 
-        self.a, self.fast = tokenizer(path_a), _ranked(path_a)
+        self.a, self.fast = tokenizer(path_a), _ranked(specified(path_a))
         self.a.encode_special_tokens = True
         byte_of = _byte_of()
         vocabulary = {i: k for k, i in self.a.get_vocab().items()}

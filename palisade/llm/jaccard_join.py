@@ -68,7 +68,15 @@ def _sets(parts, width, kind):
     names = ["doc_id", *(x.split()[0] for x in MADE.split(", "))]
 
     def often():
-        values, times = np.unique(np.concatenate(held), return_counts=True)
+        every = np.concatenate(held)
+        held.clear()
+        every.sort()
+        # most occur once: they go before anything as long as the array is made of it
+        same = every[1:] == every[:-1]
+        some = np.zeros(len(every), bool)
+        some[1:] |= same
+        some[:-1] |= same
+        values, times = np.unique(every[some], return_counts=True)
         values, times = values[times >= OFTEN], times[times >= OFTEN]
         none = [pa.nulls(len(values), t) for t in types[:5]]
         return pa.RecordBatch.from_arrays([*none, pa.array(values.view(np.int64)), pa.array(times.astype(np.int64))], names)
@@ -98,7 +106,6 @@ def _sets(parts, width, kind):
             yield pa.RecordBatch.from_arrays([ids, *values, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], names)
             if n > COUNTED:
                 yield often()
-                held.clear()
                 n = 0
     if held:
         yield often()

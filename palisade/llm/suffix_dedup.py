@@ -462,20 +462,20 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return hashed.join(shared, "key", "left").withColumn("key", F.coalesce(anew, F.col("key"))).drop("also", "a"), hot
 
 
-def _with_runs(docs: DataFrame, runs: DataFrame, hot: DataFrame) -> DataFrame:
-    """docs with the runs of their text (null: none). Texts without runs are not shuffled, nor are those with many
-    copies while their runs are few enough to be sent."""
+def _with_runs(docs: DataFrame, runs: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with the runs of their text (some have none), and docs whose texts surely have none. Texts without runs are
+    not shuffled, nor are those with many copies while their runs are few enough to be sent. What has runs meets them
+    in a shuffle at every size: the bitmap's lookup and what cuts then run in different stages, and a task has one
+    Python worker, not two that both stay."""
     many = stored(runs.join(hot, "key", "left_semi"))
-    marked = likely(docs, "key", runs.select("key"), rest=True)
-    without = marked.where("NOT likely").withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType))
-    some = marked.where("likely")
+    of_many = None
     if 0 < (many.agg(F.sum(F.size("runs"))).first()[0] or 0) <= SENT:
-        sent = some.join(F.broadcast(many.withColumnRenamed("runs", "of_many")), "key", "left")
+        sent = docs.join(F.broadcast(many.withColumnRenamed("runs", "of_many")), "key", "left")
         of_many = sent.where("of_many IS NOT NULL").withColumnRenamed("of_many", "runs")
-        joined = sent.where("of_many IS NULL").drop("of_many").join(runs, "key", "left").unionByName(of_many)
-    else:
-        joined = some.join(runs, "key", "left")
-    return joined.unionByName(without)
+        docs = sent.where("of_many IS NULL").drop("of_many")
+    marked = likely(docs, "key", runs.select("key"), rest=True)
+    joined = marked.where("likely").drop("likely").join(runs.hint("merge"), "key", "left")
+    return joined if of_many is None else joined.unionByName(of_many), marked.where("NOT likely").drop("likely")
 
 
 def cut_repeats(
@@ -497,7 +497,7 @@ def cut_repeats(
     runs = repeated_runs(docs.select("key", "text").where(F.octet_length("text") >= width), width)
     runs = stored(runs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs")))
     kinds = ", ".join(f"{x} {docs.schema[x].dataType.simpleString()}" for x in ("doc_id", *own))
-    given = _with_runs(docs, runs, hot).select("doc_id", *own, "text", "runs")
+    given, whole = _with_runs(docs, runs, hot)
 
     def cut(parts):
         for batch in parts:
@@ -516,5 +516,8 @@ def cut_repeats(
                 [*map(batch.column, same), kept, size, gone, pa.array(spans, pa.int64())], [*same, "kept", "n_bytes", "n_removed", "n_spans"]
             )
 
-    found = given.mapInArrow(cut, f"{kinds}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
+    kind = "string" if as_text else "binary"
+    found = given.select("doc_id", *own, "text", "runs").mapInArrow(cut, f"{kinds}, kept {kind}, n_bytes long, n_removed long, n_spans long")
+    size, none = F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long")
+    found = found.unionByName(whole.select("doc_id", *own, F.col("text").cast(kind).alias("kept"), size, none.alias("n_removed"), none.alias("n_spans")))
     return found.withColumnsRenamed(dict(zip(own, carry, strict=True)))

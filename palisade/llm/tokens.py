@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -31,12 +31,15 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _ranked(path: str):
-    """The same vocabulary for the faster library, or None where the file isn't plain byte-level BPE."""
+def specified(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
+def _ranked(spec: dict):
+    """A file's vocabulary for the faster library, or None where the file isn't plain byte-level BPE."""
     import tiktoken
 
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
     plain = model["type"] == "BPE" and not spec.get("normalizer") and not model.get("end_of_word_suffix")
     if not (plain and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")):
@@ -50,11 +53,16 @@ class Encoder:
     """Ids of whole texts, without begin, end or added special tokens.
 
     Plain byte-level files run on the faster of the two libraries; texts with special strings or
-    characters that the two class differently go to the file's own library."""
+    characters that the two class differently go to the file's own library, which is loaded for those alone."""
 
     def __init__(self, path: str):
-        self.tok, self.ranked = tokenizer(path), _ranked(path)
-        self.special = special_strings(self.tok)
+        spec = specified(path)
+        self.path, self.ranked = path, _ranked(spec)
+        self.special = tuple(x["content"] for x in spec.get("added_tokens") or ())
+
+    @cached_property
+    def tok(self):
+        return tokenizer(self.path)
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:

@@ -115,3 +115,67 @@ def test_nothing_else_imports_this_package():
 def test_importing_needs_no_session():
     root = Path(__file__).parents[2]
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(); e.oracle_sql()"], cwd=root, check=True)
+
+
+def plans(node):
+    """Of a physical plan: (name, names of what it takes rows from within its stage)."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        node = node.initialPlan()
+    below = [node.children().apply(i) for i in range(node.children().size())]
+    own = node.nodeName()
+    inside = [] if "Exchange" in own else [x for b in below for x in (b.nodeName(), *plans(b)[0])]
+    return inside, [(own, inside), *(x for b in below for x in plans(b)[1])]
+
+
+def test_a_task_of_repeats_has_one_python_worker(spark, documents):
+    """Workers stay for the session: of two in a task both count for an executor's memory from then on."""
+    _, found = plans(P.repeats(spark, documents, DATA)._jdf.queryExecution().executedPlan())
+    cuts = [inside for name, inside in found if name.startswith("MapInArrow")]
+    assert cuts and any(name.startswith("ArrowEvalPython") for name, _ in found)
+    assert not [x for inside in cuts for x in inside if "Python" in x or "MapInArrow" in x]
+
+
+def test_small_tables_come_without_python_workers_of_another_kind(spark, documents, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("a list became an RDD that Python has to read")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    assert P.train(documents).names == ["de", "en"]
+
+
+def test_an_encoder_loads_the_slower_library_for_texts_that_need_it():
+    from palisade.llm.queries import tokenizer_path
+    from palisade.llm.tokens import Encoder, special_strings, tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    own, plain = Encoder(path), tokenizer(path)
+    assert sorted(own.special) == sorted(special_strings(plain))
+    assert own("a text, é 日本").tolist() == plain.encode("a text, é 日本", add_special_tokens=False).ids and "tok" not in vars(own)
+    for text in (f"a{own.special[0]}b", "x\x1cy"):
+        assert own(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert "tok" in vars(own)
+
+
+def test_counting_shingles_takes_little_memory(monkeypatch):
+    """What a task counts together, sorted in place: at most thrice the shingles themselves, values and all."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from palisade.llm import jaccard_join as J
+
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 1 << 62, 20_000).astype(np.uint64)) for _ in range(40)]
+    sets.append(sets[0][:500])
+    given = iter(sets)
+    monkeypatch.setattr(J, "shingles", lambda raw, width: next(given))
+    batch = pa.record_batch([pa.array(range(41), pa.int64()), pa.array(["x"] * 41)], ["doc_id", "text"])
+    made = J._sets(iter([batch]), 5, pa.int64())
+    next(made)
+    tracemalloc.start()
+    rows = next(made)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert dict(zip(rows.column("token").to_pylist(), rows.column("times").to_pylist())) == {int(x): 2 for x in sets[0][:500]}
+    assert peak < 3 * sum(x.nbytes for x in sets)
