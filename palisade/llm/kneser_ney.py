@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, likely, mixed, most_frequent, slices, stored
+from .common import columns, discarded, likely, mixed, most_frequent, slices, stored
 from .hashing import STEP, Table
 from .shingles import word_ids
 
@@ -112,6 +112,10 @@ def model(texts: DataFrame) -> tuple[DataFrame, float, float]:
     of_all = counts[1].agg(F.sum("n").alias("total"), gamma[1], F.count("*").alias("words")).first()
     # an unknown word is one of as many as there are, and one more
     share = (of_all["gamma"] or 1.0) / (of_all["words"] + 1)
+    start = 0.0
+    for m in range(2, ORDER + 1):
+        begun = contexts[m].where(reduce(lambda a, b: a & b, (F.col(w) == int(BEGIN) for w in WORDS[1:m]))).select(F.log("gamma")).first()
+        start += begun[0] if begun else 0.0
     below, found = None, []
     for m in range(1, ORDER + 1):
         own = counts[m]
@@ -125,14 +129,14 @@ def model(texts: DataFrame) -> tuple[DataFrame, float, float]:
         if m < ORDER:
             after = contexts[m + 1].select(*(F.col(x).alias(w) for x, w in zip(WORDS[1 : m + 1], WORDS, strict=False)), F.log("gamma").alias("as_context"))
             own = own.join(after, WORDS[:m], "left").withColumn("v", F.col("v") + F.coalesce("as_context", F.lit(0.0)))
-        below = stored(own.select(*WORDS[:m], "n", "p", "v", (F.col("v") + F.col("f_below")).alias("f")))
-        found.append(below.select(F.array(*WORDS[:m]).alias("words"), "n", "v", "f"))
-    start = 0.0
-    for m in range(2, ORDER + 1):
-        begun = contexts[m].where(reduce(lambda a, b: a & b, (F.col(w) == int(BEGIN) for w in WORDS[1:m]))).select(F.log("gamma")).first()
-        start += begun[0] if begun else 0.0
-    whole = stored(reduce(DataFrame.unionByName, found).mapInArrow(_keyed, "m int, key long, n long, v double, f double"))
-    return whole, start, math.log(share)
+        own = own.select(*WORDS[:m], "n", "p", "v", (F.col("v") + F.col("f_below")).alias("f"))
+        used = [counts[m], *([below] if below else [])]
+        if m < ORDER:
+            own = below = stored(own)
+        found.append(stored(own.select(F.array(*WORDS[:m]).alias("words"), "n", "v", "f").mapInArrow(_keyed, "m int, key long, n long, v double, f double")))
+        for table in used:
+            discarded(table)
+    return reduce(DataFrame.unionByName, found), start, math.log(share)
 
 
 def _marked_place(keys: np.ndarray) -> np.ndarray:

@@ -21,3 +21,16 @@ def test_each_window_is_trained_on_in_one_round():
     windows = np.arange(1000)
     for seed in (0, 1, 12345, 0xFFFFFFFF):
         assert sorted(np.concatenate([np.flatnonzero(lm_scoring._round_of(windows, seed) == k) for k in range(lm_scoring.ROUNDS)]).tolist()) == windows.tolist()
+
+
+def test_counts_go_once_the_model_is_made(spark, documents):
+    """Of what the model is made from only its own n-grams stay in the shared folder."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from palisade.llm.common import shared_dir
+
+    shared = Path(urlparse(shared_dir(spark)).path)
+    before = set(shared.iterdir())
+    whole, _, _ = kneser_ney.model(documents.where("text IS NOT NULL").select("text"))
+    assert len(set(shared.iterdir()) - before) == kneser_ney.ORDER and whole.where("m = 3").count() > 0
