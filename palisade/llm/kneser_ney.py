@@ -17,7 +17,6 @@ thresholds are quantiles of the other, which the model has not seen.
 from __future__ import annotations
 
 import math
-import re
 import struct
 import zlib
 from collections import defaultdict
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE, columns, discarded, likely, mixed, most_frequent, slices, stored
-from .hashing import STEP, Table
+from .hashing import SPACE, STEP, Table, hashed_words
 
 ORDER = 3
 #: Words in the broadcast table: its bound.
@@ -46,12 +45,6 @@ QUANTILE = 0.99
 #: Parts of the shards that are asked one after another; shards at least; positions that a task deals out at a time; and
 #: how often a word stands in trusted texts for each shard that it is dealt to.
 PASSES, SHARDS, CHUNK, HEAVY = 4, 24, 1 << 20, 1 << 20
-#: What words are known by: a number for each byte (white space: none), and a base whose powers stand for places.
-_BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
-_BYTES[[9, 10, 11, 12, 13, 32]] = 0
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_SPACE = re.compile(rb"[ \t\n\r\x0b\f]")
 _CODEC = pa.Codec("zstd", compression_level=1)
 _BLOCK = "m int, shard int, of int, start long, data binary"
 _COUNTED = "m int, shard int, first boolean, n1 long, n2 long, n3 long, n4 long, data binary"
@@ -137,20 +130,9 @@ def _laid(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """63 bits for each word of a text, parted by ASCII white space, and where words begin: sums of the numbers of bytes,
-    each times a power for its place, less the power of the word's first place."""
-    if len(raw) > len(_POWERS[0]):
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            _POWERS[k] = np.full(len(raw) + 1, base, np.uint64)
-            _POWERS[k][0] = 1
-            np.cumprod(_POWERS[k], out=_POWERS[k])
-    data = np.frombuffer(raw, np.uint8)
-    inside = _BYTES[data] != 0
-    starts = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
-    if not len(starts):
-        return np.empty(0, np.int64), starts
-    sums = np.add.reduceat(_BYTES[data] * _POWERS[0][: len(data)], starts) * _POWERS[1][starts]
-    return np.maximum((mixed(sums) >> np.uint64(1)).astype(np.int64), END + 1), starts
+    """Each word's number, and where words begin."""
+    words, starts, _ = hashed_words(raw)
+    return np.maximum(words, END + 1), starts
 
 
 def _words(texts: list[bytes]) -> list[np.ndarray]:
@@ -163,7 +145,7 @@ def _words(texts: list[bytes]) -> list[np.ndarray]:
         if len(x) > SLICE:
             own, at = [], 0
             while at < len(x):
-                cut = _SPACE.search(x, at + SLICE)
+                cut = SPACE.search(x, at + SLICE)
                 end = cut.start() if cut else len(x)
                 own.append(_hashed(x[at:end])[0])
                 at = end

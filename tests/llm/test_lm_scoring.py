@@ -196,3 +196,36 @@ def test_steps_sum_rows_of_a_leaf_together(monkeypatch):
     model._bias = None
     loss, g = model.gradients(x, y, weight)
     assert math.isclose(loss, safe[0], rel_tol=1e-4) and all(np.allclose(g[k], safe[1][k], rtol=1e-2, atol=1e-5) for k in g)
+
+
+def test_windows_are_fed_together_as_one_by_one():
+    """Steps are of the same windows, in the same order, however many come at a time."""
+    frame, chain = small_frame()
+    runs = [frame.leaf_of[chain[a : a + n + 1]] for a, n in ((0, 1), (5, WINDOW), (9, 70 * WINDOW + 3), (100, 700), (40, 0))]
+    one, many = (Trainer(Model(frame, initial())) for _ in range(2))
+    fed = 0
+    for run in runs:
+        which = np.flatnonzero(np.arange(-(-(len(run) - 1) // WINDOW)) % 7 != 3)
+        fed += len(which)
+        for k in which.tolist():
+            one.feed(run[k * WINDOW : (k + 1) * WINDOW + 1])
+        many.feed_windows(run, which)
+    one.step(), many.step()
+    assert (one.steps, one.windows) == (many.steps, many.windows) == (2, fed)
+    assert all(np.array_equal(x, many.model.w[k]) for k, x in one.model.w.items())
+
+
+def test_texts_read_together_have_the_ids_of_each():
+    know, r = Vocabulary(PATH), random.Random(7)
+    parts = list("ab Cd '\n\t  \x0b\x85\xa0\u3000é́İΣß1٣\x1c$") + ["foo.", "bar,", "é,", "²,", "日本", " the", "x" * 200, "<|endoftext|>"]
+    for _ in range(500):
+        raws = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))).encode().lower() for _ in range(r.randint(1, 6))]
+        found, ids, of = know.texts(raws)
+        keys = know.keys(ids)[0].tolist()
+        met = Counter((x // max(1, len(keys)), keys[x % max(1, len(keys))]) for x in of.tolist())
+        want = Counter()
+        for i, (raw, own) in enumerate(zip(raws, found)):
+            words = [w for part in split(raw) for w in part]
+            assert own.tolist() == [x for w in words for x in know.encoding.encode_ordinary(" " + w.decode())], raw
+            want.update((i, k) for k in know.keys(own)[0].tolist())
+        assert met == want
