@@ -198,6 +198,13 @@ def test_steps_sum_rows_of_a_leaf_together(monkeypatch):
     assert math.isclose(loss, safe[0], rel_tol=1e-4) and all(np.allclose(g[k], safe[1][k], rtol=1e-2, atol=1e-5) for k in g)
 
 
+def test_every_window_of_every_training_text_is_trained_on_once(documents, texts):
+    know = Vocabulary(PATH)
+    sizes = [1 + sum(len(know.encoding.encode_ordinary(" " + w)) for w in words_of(x)[:-1]) for i, x in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    model = train(encoded(documents, PATH, held_out()), PATH)
+    assert model.windows == sum(-(-n // WINDOW) for n in sizes) and 0 < len(sizes) < len(texts)
+
+
 def test_windows_are_fed_together_as_one_by_one():
     """Steps are of the same windows, in the same order, however many come at a time."""
     frame, chain = small_frame()
